@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillgraph.llm.licenses import scan_licenses
 from quillgraph.llm.minhash import near_duplicates
 
 
@@ -11,11 +12,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=3, num=85, den=100)
 
 
 QUERIES = {
+    "op3_license_scan": op3_license_scan,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}

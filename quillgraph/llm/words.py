@@ -57,3 +57,11 @@ def texts(column: pa.Array) -> list[bytes]:
 def shingle_set(text: bytes, k: int, hashes: WordHashes) -> np.ndarray:
     """Sorted distinct k-word shingles of a text as 64-bit hashes."""
     return np.unique(rolling(hashes.of(text.lower().split()), k))
+
+#: ASCII bytes that are not digits or letters become blanks, A-Z become a-z, other bytes stay: a word is
+#: then a run of ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]`` after lower-casing.
+PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+
+
+def plain_words(text: bytes) -> list[bytes]:
+    return text.translate(PLAIN).split()
