@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillgraph.llm.lattice import near_vectors
 from quillgraph.llm.licenses import scan_licenses
+from quillgraph.llm.lines import dedup_lines, dedup_lines_sql
 from quillgraph.llm.minhash import near_duplicates
+from quillgraph.llm.mixing import mix, mix_sql
+from quillgraph.llm.urls import filter_urls, filter_urls_sql
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,9 +29,28 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=3, num=85, den=100)
 
 
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(_table(spark, sf_dir, "documents")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_lattice_near_dedup": op1_lattice_near_dedup,
     "op3_license_scan": op3_license_scan,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op8_source_mixing": op8_source_mixing,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_url_filter": op10_url_filter,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op8_source_mixing": mix_sql(),
+    "op9_line_dedup": dedup_lines_sql(),
+    "op10_url_filter": filter_urls_sql(),
 }
-ORACLE_SQL: dict[str, str] = {}
