@@ -10,6 +10,7 @@ from quillgraph.llm.licenses import scan_licenses
 from quillgraph.llm.lines import dedup_lines, dedup_lines_sql
 from quillgraph.llm.minhash import near_duplicates
 from quillgraph.llm.mixing import mix, mix_sql
+from quillgraph.llm.toxicity import toxicity
 from quillgraph.llm.urls import filter_urls, filter_urls_sql
 
 
@@ -29,6 +30,10 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=3, num=85, den=100)
 
 
+def op7_toxicity_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
@@ -45,6 +50,7 @@ QUERIES = {
     "op1_lattice_near_dedup": op1_lattice_near_dedup,
     "op3_license_scan": op3_license_scan,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op7_toxicity_machine": op7_toxicity_machine,
     "op8_source_mixing": op8_source_mixing,
     "op9_line_dedup": op9_line_dedup,
     "op10_url_filter": op10_url_filter,
