@@ -10,6 +10,7 @@ from quillgraph.llm.licenses import scan_licenses
 from quillgraph.llm.lines import dedup_lines, dedup_lines_sql
 from quillgraph.llm.minhash import near_duplicates
 from quillgraph.llm.mixing import mix, mix_sql
+from quillgraph.llm.pii import find_pii
 from quillgraph.llm.toxicity import toxicity
 from quillgraph.llm.urls import filter_urls, filter_urls_sql
 
@@ -26,6 +27,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op5_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(_table(spark, sf_dir, "documents"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=3, num=85, den=100)
 
@@ -49,6 +54,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_lattice_near_dedup": op1_lattice_near_dedup,
     "op3_license_scan": op3_license_scan,
+    "op5_pii_bootstrap": op5_pii_bootstrap,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_toxicity_machine": op7_toxicity_machine,
     "op8_source_mixing": op8_source_mixing,
