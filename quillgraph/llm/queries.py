@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph.llm.decontaminate import decontaminate
 from quillgraph.llm.lattice import near_vectors
 from quillgraph.llm.licenses import scan_licenses
 from quillgraph.llm.lines import dedup_lines, dedup_lines_sql
@@ -23,6 +24,10 @@ def op1_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("row")
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
@@ -53,6 +58,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_lattice_near_dedup": op1_lattice_near_dedup,
+    "op2_decontamination": op2_decontamination,
     "op3_license_scan": op3_license_scan,
     "op5_pii_bootstrap": op5_pii_bootstrap,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
