@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm.decontaminate import decontaminate
+from quillgraph.llm.html import extract_text
 from quillgraph.llm.lattice import near_vectors
 from quillgraph.llm.licenses import scan_licenses
 from quillgraph.llm.lines import dedup_lines, dedup_lines_sql
@@ -32,6 +33,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op5_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(_table(spark, sf_dir, "documents"))
 
@@ -60,6 +65,7 @@ QUERIES = {
     "op1_lattice_near_dedup": op1_lattice_near_dedup,
     "op2_decontamination": op2_decontamination,
     "op3_license_scan": op3_license_scan,
+    "op4_html_extraction": op4_html_extraction,
     "op5_pii_bootstrap": op5_pii_bootstrap,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_toxicity_machine": op7_toxicity_machine,
