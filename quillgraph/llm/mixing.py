@@ -51,11 +51,13 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, m
     return s.select("source", "source_size", F.when(F.col("level").isNull(), cap).otherwise(F.least(cap, F.col("level") * F.col("weight"))).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, max_epochs: int = 2, size: Column | None = None) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken: words each document gives to the mix, repeats counted."""
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, max_epochs: int = 2, size: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken: words each document gives to the mix, repeats counted.
+
+    Columns named in ``carry`` go along."""
     st = Staging(docs.sparkSession, "mix")
     key = F.md5(F.col("doc_id").cast("string"))
-    d = docs.select("doc_id", "source", (word_count(F.col("text").cast("string")) if size is None else size).alias("size"))
+    d = docs.select("doc_id", "source", (word_count(F.col("text").cast("string")) if size is None else size).alias("size"), *carry)
     d = st.write(d.withColumn("key", F.coalesce(key, F.lit(""))), "sized")
     targets = source_targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, max_epochs)
     digits = 1
@@ -75,7 +77,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     rest = budget - epochs * F.col("source_size") - F.col("offset") - F.col("inner")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))
-    return run.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return run.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *carry)
 
 
 def mix_sql(docs: str = "documents", size: str | None = None) -> str:

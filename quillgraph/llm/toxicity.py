@@ -142,3 +142,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cut: floa
     """doc_id, held_out, score, predicted: one row per document."""
     out = score_toxicity(docs, train(docs, labels, sample))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, machine: Machine, cut: float = 0.5) -> DataFrame:
+    """``docs``, all its columns, without the rows whose text scores ``cut`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(machine)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, m = Terms(), shared.value
+        for batch in batches:
+            yield batch.filter(pa.array([m.score(terms.of(t)) < cut for t in texts(batch.column(at))], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
