@@ -1,5 +1,12 @@
 """Registered graph queries and the SQL each is compared with."""
 
+from __future__ import annotations
+
+from quillgraph.catalogs import analytics
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-FLAGSHIP = ""
+for part in (analytics,):
+    QUERIES |= part.QUERIES
+    ORACLE_SQL |= part.ORACLE_SQL
+FLAGSHIP = "ag10_interlock_org_pairs"
