@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillgraph.llm.words import CACHE_WORDS, MIX, scramble, texts
+from quillgraph.llm.words import CACHE_WORDS, MIX, scramble, slices, texts
 from quillgraph.plans.staging import Staging
 
 WINDOW, COVER, LEAST_WORDS = 5, 0.8, 4
@@ -114,7 +114,7 @@ def _finder(lengths: list[int], shared):
         tokens = Tokens()
         bitmap = shared.value
         shift = np.uint64(64 - int(len(bitmap)).bit_length() + 1)
-        for batch in batches:
+        for batch in slices(batches):
             ids, rows, pos, grams, values = [], [], [], [], []
             for doc_id, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2)), strict=True):
                 ids.append(doc_id), rows.append(row), pos.append(-1), grams.append(None), values.append(None)
@@ -145,7 +145,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     pairs = "gram long, item long, ipos int, n_windows int, slots array<boolean>, values array<bigint>"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows, _ = benchmark_windows(list(zip(*(c.to_pylist() for c in batch.columns), strict=True)), window, least_words)
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.bool_()), pa.list_(pa.int64())), strict=True)], ["gram", "item", "ipos", "n_windows", "slots", "values"])

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillgraph.llm.words import WordHashes, plain_words, rolling, texts
+from quillgraph.llm.words import WordHashes, plain_words, rolling, slices, texts
 
 # The base phrases and their labels.
 BASE_PHRASES = {
@@ -73,29 +73,25 @@ def templates(phrases: dict[str, str] | None = None, notices: dict[str, str] | N
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per k-gram; and one closing row per document: null gram, its id, its number of words."""
     hashes = WordHashes()
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            rows, ids, pos, grams, mask = [], [], [], [], []
-            for doc_id, text in zip(part.column(0).to_pylist(), texts(part.column(1)), strict=True):
-                row = np.uint64(xxhash.xxh3_64_intdigest(text, seed=(doc_id or 0) % 2**64) ^ (doc_id is None)).view(np.int64)
-                h = hashes.of(plain_words(text))
-                for g in [rolling(h, k) for k in (PHRASE_K, NOTICE_K) if len(h) >= k]:
-                    rows.append(np.full(len(g), row)), pos.append(np.arange(len(g), dtype=np.int32)), grams.append(g.view(np.int64))
-                    ids.append(np.zeros(len(g), np.int64)), mask.append(np.zeros(len(g), bool))
-                rows.append(np.array([row])), pos.append(np.array([len(h)], np.int32)), grams.append(np.zeros(1, np.int64))
-                ids.append(np.array([doc_id or 0], np.int64)), mask.append(np.array([True]))
-            if not rows:
-                continue
-            closing = np.concatenate(mask)
-            known = np.concatenate(ids)
-            no_id = ~closing
-            for i, doc_id in zip(np.flatnonzero(closing), part.column(0).to_pylist(), strict=True):
-                no_id[i] = doc_id is None
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(rows)), pa.array(known, mask=no_id), pa.array(np.concatenate(pos)), pa.array(np.concatenate(grams), mask=closing)],
-                ["row", "doc_id", "pos", "gram"],
-            )
+    for part in slices(batches, 256):
+        rows, ids, pos, grams, mask = [], [], [], [], []
+        for doc_id, text in zip(part.column(0).to_pylist(), texts(part.column(1)), strict=True):
+            row = np.uint64(xxhash.xxh3_64_intdigest(text, seed=(doc_id or 0) % 2**64) ^ (doc_id is None)).view(np.int64)
+            h = hashes.of(plain_words(text))
+            for g in [rolling(h, k) for k in (PHRASE_K, NOTICE_K) if len(h) >= k]:
+                rows.append(np.full(len(g), row)), pos.append(np.arange(len(g), dtype=np.int32)), grams.append(g.view(np.int64))
+                ids.append(np.zeros(len(g), np.int64)), mask.append(np.zeros(len(g), bool))
+            rows.append(np.array([row])), pos.append(np.array([len(h)], np.int32)), grams.append(np.zeros(1, np.int64))
+            ids.append(np.array([doc_id or 0], np.int64)), mask.append(np.array([True]))
+        closing = np.concatenate(mask)
+        known = np.concatenate(ids)
+        no_id = ~closing
+        for i, doc_id in zip(np.flatnonzero(closing), part.column(0).to_pylist(), strict=True):
+            no_id[i] = doc_id is None
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate(rows)), pa.array(known, mask=no_id), pa.array(np.concatenate(pos)), pa.array(np.concatenate(grams), mask=closing)],
+            ["row", "doc_id", "pos", "gram"],
+        )
 
 
 def scan_licenses(docs: DataFrame, phrases: dict[str, str] | None = None, notices: dict[str, str] | None = None, share: float = 0.6, gap: int = 2) -> DataFrame:

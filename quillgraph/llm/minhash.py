@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.words import WordHashes, rolling, scramble, shingle_set, texts
+from quillgraph.llm.words import WordHashes, rolling, scramble, shingle_set, slices, texts
 from quillgraph.operators.components import connected_components
 from quillgraph.plans.staging import Staging
 
@@ -59,7 +59,7 @@ def _signer(k: int, bands: int, rows: int, seed: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             size, key, keys, sigs = [], [], [], []
             for text in texts(batch.column(1)):
                 s = shingle_set(text, k, hashes)
@@ -88,7 +88,7 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int, seed: int = 11) -
 def _set_emitter(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_set(t, k, hashes).tobytes() for t in texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "shingles"])
 
@@ -113,7 +113,7 @@ def _overlap(a: bytes, b: bytes) -> tuple[int, int]:
 
 def _confirm(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ok = []
             for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 both, union = _overlap(a, b)
@@ -125,7 +125,7 @@ def _confirm(num: int, den: int):
 
 def _similar_signatures(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ok = [(np.frombuffer(a, np.uint8) == np.frombuffer(b, np.uint8)).mean() >= least for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 

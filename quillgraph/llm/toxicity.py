@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.words import CACHE_WORDS, plain_words, texts
+from quillgraph.llm.words import CACHE_WORDS, plain_words, slices, texts
 
 BITS, RANK = 20, 4
 #: Bound on labelled rows that are fitted on.
@@ -107,7 +107,7 @@ def held_out(doc_id) -> F.Column:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     terms = Terms()
-    for batch in batches:
+    for batch in slices(batches):
         yield pa.RecordBatch.from_arrays([pa.array([terms.of(t) for t in texts(batch.column(0))], pa.list_(pa.int32())), batch.column(1)], ["x", "y"])
 
 
@@ -129,7 +129,7 @@ def score_toxicity(docs: DataFrame, machine: Machine, keep: tuple[str, ...] = ("
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, m = Terms(), shared.value
-        for batch in batches:
+        for batch in slices(batches):
             score = pa.array([m.score(terms.of(t)) for t in texts(batch.column(0))], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], score], [*keep, "score"])
 
@@ -151,7 +151,7 @@ def drop_toxic(docs: DataFrame, machine: Machine, cut: float = 0.5) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, m = Terms(), shared.value
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array([m.score(terms.of(t)) < cut for t in texts(batch.column(at))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

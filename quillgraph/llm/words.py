@@ -6,13 +6,15 @@ and ASCII white space only, which is the word rule of the contracts: ``[^\\x20\\
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Entries the per-worker word cache may hold before it starts afresh.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 
 
 class WordHashes(dict):
@@ -49,6 +51,13 @@ def rolling(h: np.ndarray, k: int) -> np.ndarray:
     return scramble(out)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in short batches, so that a worker holds few texts, and results of few, at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
