@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from quillgraph.catalogs import analytics
+from quillgraph.catalogs import analytics, records
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for part in (analytics,):
+for part in (analytics, records):
     QUERIES |= part.QUERIES
     ORACLE_SQL |= part.ORACLE_SQL
 FLAGSHIP = "ag10_interlock_org_pairs"

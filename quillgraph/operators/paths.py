@@ -176,9 +176,11 @@ def staging_scope(g: Graph, centers: DataFrame, hops: int = 2) -> DataFrame:
 
 
 def follow_supersession(links: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """(id, live): the end of each chain in (id, superseded_by), by pointer jumping; rounds are logarithmic."""
+    """(id, live): the end of each chain in (id, superseded_by), by pointer jumping; rounds are logarithmic.
+
+    An id that is superseded by several records follows the largest; repeated rows count once."""
     st = Staging(links.sparkSession, "supersede")
-    at = st.write(links.select("id", F.coalesce("superseded_by", "id").alias("live")), "at")
+    at = st.write(links.groupBy("id").agg(F.coalesce(F.max("superseded_by"), "id").alias("live")), "at")
     for _ in range(max_rounds):
         nxt = at.select(F.col("id").alias("live"), F.col("live").alias("further"))
         new = st.write(at.join(nxt, "live", "left").select("id", F.coalesce("further", "live").alias("live"), (F.col("further") != F.col("live")).alias("moved")), "at")
