@@ -71,7 +71,7 @@ def test_chain_stream(spark, tmp_path):
     lines = chain(5)
     lines[3] = lines[3].replace('"test"', '"tost"')
     rows = spark.createDataFrame([("a", i, x) for i, x in enumerate(lines)], "shard string, seq long, raw string")
-    rows.where("seq < 2").write.parquet(str(tmp_path / "in"))
+    rows.where("seq < 2").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     q = chain_breaks(stream).writeStream.format("memory").queryName("breaks").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").start()
     q.processAllAvailable()
