@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from quillgraph.catalogs import analytics, records
+from quillgraph.catalogs import analytics, identity, records
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for part in (analytics, records):
+for part in (analytics, records, identity):
     QUERIES |= part.QUERIES
     ORACLE_SQL |= part.ORACLE_SQL
 FLAGSHIP = "ag10_interlock_org_pairs"
