@@ -257,5 +257,5 @@ def _(spark, d):
     from quillgraph.operators.enforcement import release_matches
 
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("uuid"), F.lit("").alias("title"), "text")
-    names = spark.createDataFrame([("N1", "Apache License Inc.", "ORGANIZATION"), ("N2", "Creative Commons", "ORGANIZATION"), ("N3", "General Public", "PERSON")], "id string, label string, entity_type string")
+    names = spark.createDataFrame([("N1", "Thanedble Inc.", "ORGANIZATION"), ("N2", "Disgusting Holdings", "ORGANIZATION"), ("N3", "MIT License", "PERSON"), ("N4", "Target", "ORGANIZATION")], "id string, label string, entity_type string")
     return release_matches(docs, names)

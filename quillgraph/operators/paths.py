@@ -39,7 +39,7 @@ def hop_distances(
     adj = st.write(adj.select("a", "b", "edge_id"), "adjacency")
     starts = sources.select("id").distinct()
     seen = st.write(starts.select("id", F.lit(0).alias("hops"), F.lit(None).cast("string").alias("prev"), F.lit(None).cast("string").alias("edge_id")), "seen")
-    front, hops = seen, 0
+    front, fronts, hops = seen, [seen], 0
     free = st.write(transparent.select(F.col("id").alias("b"), F.lit(0).alias("cost")), "free") if transparent is not None else None
     while hops < max_hops:
         hops += 1
@@ -48,7 +48,9 @@ def hop_distances(
             grow = grow.join(targets.select("id").join(starts, "id", "left_anti"), "id", "left_anti")
         new = grow.select(F.col("id").alias("a"), F.col("hops").alias("base")).join(adj, "a")
         if free is None:
-            new = new.join(seen.select(F.col("id").alias("b")), "b", "left_anti")
+            # Ways run both ways: what a front meets again lies in it or in the one before, unless targets stopped the search.
+            near = fronts[-2:] if targets is None else fronts
+            new = new.join(st.together(near).select(F.col("id").alias("b")), "b", "left_anti")
             new = new.groupBy("b").agg(F.min(F.struct("a", "edge_id")).alias("p")).select(F.col("b").alias("id"), F.lit(hops).alias("hops"), F.col("p.a").alias("prev"), F.col("p.edge_id").alias("edge_id"))
         else:
             # Zero-one costs: a node comes up again when a cheaper way to it is found.
@@ -59,9 +61,12 @@ def hop_distances(
         new = st.write(new, "front")
         if new.isEmpty():
             break
-        kept = seen if free is None else seen.join(new.select("id"), "id", "left_anti")
-        seen, front = st.write(kept.unionByName(new), "seen"), new
-    return seen
+        front = new
+        if free is None:
+            fronts.append(new)
+        else:
+            seen = st.write(seen.join(new.select("id"), "id", "left_anti").unionByName(new), "seen")
+    return st.together(fronts) if free is None else seen
 
 
 def strongest_distances(g: Graph, sources: DataFrame, targets: DataFrame | None = None, cost: Callable[[Column], Column] = edge_cost, max_rounds: int = 64) -> DataFrame:
@@ -111,7 +116,9 @@ def find_paths(g: Graph, sources: DataFrame, targets: DataFrame, mode: str = "ho
     else:
         found = strongest_distances(g, sources, ends)
     reached = found.join(ends, "id", "left_semi")
-    best = reached.orderBy("cost", "id").limit(limit * 4) if mode == "hops" else reached
+    # Only ends that can be among the best are walked: those no dearer than the last of them, ties included.
+    last = reached.orderBy("cost").limit(limit).agg(F.max("cost").alias("last"))
+    best = reached.join(F.broadcast(last), F.col("cost") <= F.col("last"))
     walk = path_rows(found, best.select("id"))
     nodes = walk.groupBy("end").agg(F.array_join(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("hop", "id")))), lambda x: x["id"]), ">").alias("nodes"), (F.count(F.lit(1)) - 1).cast("long").alias("hops"))
     out = nodes.join(reached.select(F.col("id").alias("end"), "cost"), "end")

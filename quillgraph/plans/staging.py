@@ -38,6 +38,10 @@ class Staging:
         out._staged_path = path
         return out
 
+    def together(self, frames: list[DataFrame]) -> DataFrame:
+        """Tables written here, of one schema, as one scan."""
+        return self.spark.read.schema(frames[0].schema).parquet(*[df._staged_path for df in frames])
+
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
             path = getattr(df, "_staged_path", None)
