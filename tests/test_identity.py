@@ -159,3 +159,13 @@ def test_versions(spark, tmp_path):
 def test_tallies(spark):
     f = spark.createDataFrame([("a", True, True), ("b", False, False), ("c", None, None)], "org string, related boolean, policy boolean")
     assert rows(tallies.disclosures(f)) == [("a", "related officers"), ("b", "no conflict policy")]
+
+
+def test_meeting_keys_lose_no_match(spark):
+    """Every pair against those that meet on a key."""
+    from quillgraph.functions.names import match_names, match_people
+
+    names = ["Bob Reed", "Robert Reed-Klages", "R Reed", "Margaret (Margo) Lee", "Margo Lee", "Peggy Lee", "Christopher J Smith", "Chris Smith", "C. Smith", "Ann Mary Smith", "Mary Smith", "Dick Lee-Smith", "Richard Smith", "Prince", "", None]
+    frame = spark.createDataFrame(list(enumerate(names)), "id long, name string")
+    want = sorted((i, j, match_names(a, b)) for i, a in enumerate(names) for j, b in enumerate(names) if match_names(a, b))
+    assert rows(match_people(frame, frame)) == want and len(want) > 20
