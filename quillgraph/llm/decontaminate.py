@@ -4,9 +4,13 @@ Words become template tokens: numbers, units and names turn into typed placehold
 lower-cased. Two templates are taken of every text, one with names as placeholders and one with names as
 words, so that a copy in other letter case still matches. Windows of consecutive tokens are hashed and
 joined with the windows of the benchmark items; matches are gathered per document, item and diagonal
-(neighbouring diagonals are merged). An item counts as found if enough of its windows match and its slots
-are consistent: each value of the item stands for one value of the document throughout. Other values in
-the slots mark a re-parameterised question.
+(neighbouring diagonals are merged). Around each match, the words of item and document are compared one by
+one. An item counts as found in any of three ways: enough of its words stand there verbatim; a run of
+``RUN`` of its words does; or matching windows cover enough of its words and its slots are consistent on one
+diagonal or over all: each value of the item stands for one value of the document throughout. Other values
+in consistent slots mark a re-parameterised question.
+
+Windows that are mostly placeholders would match anything of their shape; they are taken word by word.
 
 Before the join, windows pass a bitmap over the benchmark's hashes, so only likely matches leave the
 tasks; the bitmap has a bounded size and can only let too many through, never too few.
@@ -32,6 +36,8 @@ from quillgraph.llm.words import CACHE_WORDS, MIX, scramble, slices, texts
 from quillgraph.plans.staging import Staging
 
 WINDOW, COVER, LEAST_WORDS = 5, 0.8, 4
+#: Words verbatim in a row that make an item found however long it is.
+RUN = 13
 #: Benchmark windows that may be broadcast (some 150 bytes each).
 BROADCAST_WINDOWS = 500_000
 #: Largest bitmap in slots of one byte.
@@ -85,7 +91,9 @@ def _windows(h: np.ndarray, k: int) -> np.ndarray:
 
 
 def benchmark_windows(items: list[tuple[int, str]], k: int, least_words: int) -> tuple[list[tuple], list[int]]:
-    """(gram, item, ipos, n_windows, kinds, values) rows, and the window lengths in use."""
+    """(gram, item, ipos, n_words, n_typed, exact, slots, values) rows, and the window lengths in use.
+
+    Slots and values reach ``k - 1`` words beyond the window on both sides, as False and 0 outside the item."""
     rows, lengths, tokens = [], set(), Tokens()
     for item, text in items:
         t = tokens.of((text or "").encode())
@@ -94,22 +102,31 @@ def benchmark_windows(items: list[tuple[int, str]], k: int, least_words: int) ->
             continue
         size = min(k, n)
         lengths.add(size)
-        usable, new = [0, 0], {}
+        covered, windows, new = [np.zeros(n, bool), np.zeros(n, bool)], [0, 0], {}
+        exact = np.ones(n - size + 1, bool)
+        slots, values = np.zeros(n + 2 * (k - 1), bool), np.zeros(n + 2 * (k - 1), np.int64)
+        values[k - 1 : k - 1 + n] = t[2].view(np.int64)
         for form in (0, 1):
             grams = _windows(t[form], size).view(np.int64)
-            slots = (t[3] != WORD) if form == 0 else (t[3] == NUMBER) | (t[3] == UNIT)
+            kinds = (t[3] != WORD) if form == 0 else (t[3] == NUMBER) | (t[3] == UNIT)
+            slots[k - 1 : k - 1 + n] = kinds
             for i, g in enumerate(grams):
-                part = slots[i : i + size]
-                if part.sum() * 2 <= size:  # else mostly placeholders: it would match anything of that shape
-                    usable[form] += 1
-                    new.setdefault((int(g), i), (part.tolist(), t[2][i : i + size].view(np.int64).tolist()))
+                if kinds[i : i + size].sum() * 2 <= size:  # else mostly placeholders: it would match anything of that shape
+                    windows[form] += 1
+                    covered[form][i : i + size], exact[i] = True, False
+                    wide = slice(i, i + size + 2 * (k - 1))
+                    new.setdefault((int(g), i), (False, slots[wide].tolist(), values[wide].tolist()))
+        grams = _windows(t[2], size).view(np.int64)
+        for i in np.flatnonzero(exact).tolist():
+            wide = values[i : i + size + 2 * (k - 1)].tolist()
+            new.setdefault((int(grams[i]), i), (True, [False] * len(wide), wide))
         # An item is measured by its windows with names as placeholders, unless names leave too few of them.
-        n = usable[0] if usable[0] * 2 >= usable[1] else usable[1]
-        rows += [(g, int(item), i, n, *rest) for (g, i), rest in new.items()]
+        typed = int(covered[0 if windows[0] * 2 >= windows[1] else 1].sum())
+        rows += [(g, int(item), i, n, typed, *rest) for (g, i), rest in new.items()]
     return rows, sorted(lengths)
 
 
-def _finder(lengths: list[int], shared):
+def _finder(lengths: list[int], reach: int, exact: bool, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens()
         bitmap = shared.value
@@ -119,13 +136,17 @@ def _finder(lengths: list[int], shared):
             for doc_id, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2)), strict=True):
                 ids.append(doc_id), rows.append(row), pos.append(-1), grams.append(None), values.append(None)
                 t = tokens.of(text)
+                wide = np.pad(t[2].view(np.int64), reach)
                 for k in lengths:
                     if t.shape[1] < k:
                         continue
                     named, plain = _windows(t[0], k), _windows(t[1], k)
-                    for h, keep in ((named, named != plain), (plain, True)):
+                    forms = [(named, named != plain), (plain, True)]
+                    if exact:
+                        forms.append((h := _windows(t[2], k), h != plain))
+                    for h, keep in forms:
                         for i in np.flatnonzero(bitmap[h >> shift] & keep).tolist():
-                            ids.append(None), rows.append(row), pos.append(i), grams.append(int(h[i].view(np.int64))), values.append(t[2][i : i + k].view(np.int64))
+                            ids.append(None), rows.append(row), pos.append(i), grams.append(int(h[i].view(np.int64))), values.append(wide[i : i + k + 2 * reach])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(pos, pa.int32()), pa.array(grams, pa.int64()), pa.array(values, pa.list_(pa.int64()))],
                 ["doc_id", "row", "pos", "gram", "found"],
@@ -138,22 +159,24 @@ def row_key() -> F.Column:
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: float = COVER, least_words: int = LEAST_WORDS, gap: int = 3) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: float = COVER, least_words: int = LEAST_WORDS, gap: int = 3, run: int = RUN) -> DataFrame:
     """row, doc_id, contaminated, n_items, items, coverage, reparameterised: one row per document."""
     spark = docs.sparkSession
     st = Staging(spark, "decontaminate")
-    pairs = "gram long, item long, ipos int, n_windows int, slots array<boolean>, values array<bigint>"
+    pairs = "gram long, item long, ipos int, n_words int, n_typed int, exact boolean, slots array<boolean>, values array<bigint>"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows, _ = benchmark_windows(list(zip(*(c.to_pylist() for c in batch.columns), strict=True)), window, least_words)
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.bool_()), pa.list_(pa.int64())), strict=True)], ["gram", "item", "ipos", "n_windows", "slots", "values"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.bool_()), pa.list_(pa.int64())), strict=True)], ["gram", "item", "ipos", "n_words", "n_typed", "exact", "slots", "values"])
 
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string"))
     table = st.write(items.mapInArrow(cut, pairs), "windows")
     n = table.count()
-    lengths = [r.k for r in table.select(F.size("values").alias("k")).distinct().collect()]  # at most ``window`` of them
+    reach = window - 1
+    lengths = [r.k for r in table.select((F.size("values") - 2 * reach).alias("k")).distinct().collect()]  # at most ``window`` of them
+    exact = not table.where("exact").isEmpty()
     size = 1 << 16
     while size < min(n * 64, BITMAP_MOST):
         size *= 2
@@ -163,25 +186,38 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     bitmap[slots] = True
     shared = spark.sparkContext.broadcast(bitmap)
     found = docs.select(F.col("doc_id").cast("long"), row_key().alias("row"), F.col("text").cast("string")).mapInArrow(
-        _finder(sorted(lengths), shared), "doc_id long, row long, pos int, gram long, found array<bigint>"
+        _finder(sorted(lengths), reach, exact, shared), "doc_id long, row long, pos int, gram long, found array<bigint>"
     )
     hits = found.join(F.broadcast(table) if n <= BROADCAST_WINDOWS else table, "gram", "left").where("item is not null or pos < 0")
-    # Slot pairs of a window: the item's value and the document's.
-    zipped = F.filter(F.arrays_zip("slots", "values", "found"), lambda x: x["slots"])
-    hits = hits.select("row", "doc_id", "item", "ipos", "n_windows", (F.col("pos") - F.col("ipos")).alias("diag"), F.transform(zipped, lambda x: F.struct(x["values"].alias("a"), x["found"].alias("b"))).alias("pairs"))
-    by = hits.groupBy("row", "item", "diag").agg(
-        F.collect_set("ipos").alias("at"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"), F.max("n_windows").alias("n_windows"), F.max("doc_id").alias("doc_id")
+    # Slot pairs of a window: the item's value and the document's. Of words beyond it, only those that are equal count.
+    at = lambda i: F.col("ipos") - reach + i
+    within = lambda i: (i >= reach) & (i < F.size("values") - reach)
+    zipped = F.transform(F.arrays_zip("slots", "values", "found"), lambda x, i: F.when(x["slots"] & within(i), F.struct(x["values"].alias("a"), x["found"].alias("b"))))
+    same = F.transform(F.arrays_zip("values", "found"), lambda x, i: F.when((x["values"] == x["found"]) & (x["values"] != 0), at(i)))
+    typed = F.when(~F.col("exact"), F.sequence("ipos", F.col("ipos") + F.size("values") - 2 * reach - 1)).otherwise(F.array().cast("array<int>"))
+    hits = hits.select(
+        "row", "doc_id", "item", "n_words", "n_typed", (F.col("pos") - F.col("ipos")).alias("diag"),
+        F.when(F.col("item").isNotNull(), typed).alias("typed"), F.array_compact(same).alias("same"), F.array_compact(zipped).alias("pairs"),
     )
+    union = lambda c, of: F.array_distinct(F.flatten(of(c))).alias(c)
+    once = lambda pairs: F.size(F.array_distinct(F.transform(pairs, lambda x: x["a"]))) == F.size(pairs)
+    covered = F.when(F.col("n_typed") > 0, F.least(F.lit(1.0), F.size("typed") / F.col("n_typed"))).otherwise(F.lit(0.0))
+    most = [F.max(c).alias(c) for c in ("n_words", "n_typed", "doc_id")]
+    by = hits.groupBy("row", "item", "diag").agg(*[union(c, F.collect_set) for c in ("typed", "same", "pairs")], *most)
+    whole = (covered >= cover) & once("pairs")
+    by = by.withColumn("whole", whole).withColumn("whole_other", whole & F.exists("pairs", lambda x: x["a"] != x["b"]))
     w = Window.partitionBy("row", "item").orderBy("diag")
     fresh = F.lag("diag").over(w).isNull() | (F.col("diag") - F.lag("diag").over(w) > gap)
     spans = by.withColumn("run", F.sum(fresh.cast("int")).over(w)).groupBy("row", "item", "run").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"),
-        F.max("n_windows").alias("n_windows"), F.max("doc_id").alias("doc_id"),
+        *[union(c, F.collect_list) for c in ("typed", "same", "pairs")], *most, F.max("whole").alias("whole"), F.max("whole_other").alias("whole_other")
     )
-    cover_of = F.when(F.col("item").isNotNull(), F.least(F.lit(1.0), F.col("n") / F.col("n_windows")))
-    consistent = F.size(F.array_distinct(F.transform("pairs", lambda x: x["a"]))) == F.size("pairs")
-    ok = F.coalesce((cover_of >= cover) & consistent, F.lit(False))
-    other = F.exists("pairs", lambda x: x["a"] != x["b"])
+    verbatim = F.size("same") / F.col("n_words")
+    spans = spans.withColumn("same", F.array_sort("same"))
+    in_a_row = F.coalesce(F.exists(F.transform("same", lambda x, i: F.get("same", i + run - 1) - x == run - 1), lambda x: x), F.lit(False))
+    merged = (covered >= cover) & once("pairs")
+    ok = F.coalesce(F.col("item").isNotNull() & ((verbatim >= cover) | in_a_row | F.col("whole") | merged), F.lit(False))
+    cover_of = F.when(F.col("item").isNotNull(), F.greatest(covered, verbatim))
+    other = F.coalesce(F.col("whole_other") | (merged & F.exists("pairs", lambda x: x["a"] != x["b"])), F.lit(False))
     return spans.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"), F.coalesce(F.max(ok), F.lit(False)).alias("contaminated"), F.array_sort(F.collect_set(F.when(ok, F.col("item")))).alias("items"),
         F.coalesce(F.max(cover_of), F.lit(0.0)).alias("coverage"), F.coalesce(F.max(ok & other), F.lit(False)).alias("reparameterised"),
