@@ -2,9 +2,12 @@
 
 A page is cut into text blocks, each with its root-to-leaf path of block tags. Text length and punctuation
 are added up per path and divided by the path's nodes, smoothed over neighbouring paths in page order, fused
-to one score and held against a threshold: paths above it hold content. The innermost node that holds most of
-the content text is the article; all its blocks belong to the text, short ones too, apart from what is by its
-tag or its name no part of an article: menus, footers, sidebars, notices, adverts, forms, reader comments.
+to one score and held against a threshold: paths above it hold content. The innermost node that holds all of
+the content text is the article, or else the article or main element around the innermost node with most of
+it; all its blocks belong to the text, short ones too, apart from what is by its tag or its name no part of an
+article: menus, footers, sidebars, notices, adverts, forms, reader comments. A name counts for nothing on a
+heading, on a node around most text of article and main elements, and, on pages without these, on a node with half of the
+text unless it names comments; a name that a part of an article may have as well counts within one only off its content paths.
 
 Every page is handled on its own in one pass, so there is no shuffle and no group that could be hot.
 
@@ -43,6 +46,13 @@ NAMES = frozenset(
     " comment comments commentlist discussion disqus respond reply replies share sharing social related recommended recommendations trending popular"
     " footer masthead copyright legal widget widgets skip contentinfo complementary search form hidden".split()
 )
+# Those of them that parts of an article have too.
+SHARED = frozenset("alert discussion form legal notice notices popular related recommended recommendations reply replies respond search share sharing side social toc trending".split())
+# Those of them that never name what is around an article.
+READERS = frozenset("comment comments commentlist discussion disqus respond reply replies".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Share of a page's text from which a name does not mark a node out.
+MOST_NAMED = 0.5
 #: Share of the best path's score from which a path holds content; share of that text the article must hold.
 LEAST_SHARE, HOLDS = 0.3, 0.7
 
@@ -55,14 +65,17 @@ PLAIN_REST = re.compile(r"[^>]*>")
 NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
 PART = re.compile(r"[a-z]+")
+# Elements that a slash closes at once; the slash that ends an unquoted value does not.
+FOREIGN = frozenset(("svg", "math"))
+VALUE = re.compile(r"=\s*[^\s\"'=>]+$")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、؟]")
 
 
-def _named_out(tag: str, attrs: str) -> bool:
-    if not attrs or tag in ("html", "body", "article", "main"):
-        return False
-    names = {w for m in NAMED.finditer(attrs) for w in PART.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", m[2] or m[3] or m[4] or "").lower())}
-    return bool(names & NAMES) or bool(HIDDEN.search(attrs))
+def _names(tag: str, attrs: str) -> frozenset[str]:
+    """Words of class, id and role by which this element may be no part of an article."""
+    if not attrs or tag in ("html", "body", "article", "main") or tag in HEADINGS:
+        return frozenset()
+    return NAMES.intersection(w for m in NAMED.finditer(attrs) for w in PART.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", m[2] or m[3] or m[4] or "").lower()))
 
 
 def _tokens(page: str) -> Iterator[tuple[str, str, str, str]]:
@@ -85,7 +98,7 @@ def _tokens(page: str) -> Iterator[tuple[str, str, str, str]]:
             end = rest.end()
         tag, before = (m[3] or "").lower(), page[text_from : m.start()]
         attrs = page[m.end() : end - 1] if tag else ""
-        if tag in RAW and not m[2]:
+        if tag in RAW and not m[2] and not (tag in FOREIGN and attrs.endswith("/") and not VALUE.search(attrs)):
             close = RAW_END[tag].search(page, end)
             end = close.end() if close else len(page)
         yield before, m[2] or "", tag, attrs
@@ -93,20 +106,24 @@ def _tokens(page: str) -> Iterator[tuple[str, str, str, str]]:
     yield page[text_from:], "", "", ""
 
 
-def blocks(page: str) -> list[tuple[tuple[int, ...], tuple[str, ...], str, bool]]:
-    """(node ids from the root, tags from the root, text, out) of each block of text in page order."""
+def blocks(page: str) -> tuple[list[tuple[tuple[int, ...], tuple[str, ...], str, bool]], dict[int, frozenset[str]]]:
+    """(node ids from the root, tags from the root, text, out by tag) of each block of text in page order, and
+    the names of nodes that may be out by them."""
     found: list = []
     tags: list[str] = []
     nodes: list[int] = []
     outs: list[bool] = [False]
     text: list[str] = []
     open_tags: Counter[str] = Counter()
+    named: dict[int, frozenset[str]] = {}
     count = 0
 
     def flush() -> None:
         words = " ".join(entities.unescape("".join(text)).split())
         text.clear()
         if words:
+            if tags and tags[-1] == "head":  # text in a head begins the body
+                close("head")
             found.append((tuple(nodes), tuple(tags), words, outs[-1]))
 
     def close(tag: str, barriers: tuple[str, ...] = ()) -> None:
@@ -132,18 +149,44 @@ def blocks(page: str) -> list[tuple[tuple[int, ...], tuple[str, ...], str, bool]
         if end:
             close(tag)
             continue
+        if tag not in ("html", "head"):
+            close("head")  # its end tag may be left out
         close("p")  # any block ends a paragraph
         for other in CLOSES.get(tag, ()):
             close(other, ("ul", "ol", "dl", "table", "select"))
         if tag in VOID:
             continue
         inside = open_tags["article"] or open_tags["main"]
-        out = outs[-1] or tag in NEVER or (tag == "header" and not inside) or _named_out(tag, attrs)
+        out = outs[-1] or tag in NEVER or (tag == "header" and not inside) or (tag not in ("html", "body", "article", "main") and bool(HIDDEN.search(attrs)))
         count += 1
+        if names := _names(tag, attrs):
+            named[count] = names
         open_tags[tag] += 1
         tags.append(tag), nodes.append(count), outs.append(out)
     flush()
-    return found
+    return found, named
+
+
+def _out_by_name(kept: list, names: dict[int, frozenset[str]]) -> tuple[set[int], set[int]]:
+    """Nodes that their names mark out, and those within an article that they mark out off its content paths."""
+    held: Counter[int] = Counter()
+    around: Counter[int] = Counter()
+    inside: set[int] = set()
+    total = marked = 0
+    for nodes, tags, text, _ in kept:
+        articles = [d for d, t in enumerate(tags) if t in ("article", "main")]
+        total += len(text)
+        marked += len(text) * bool(articles)
+        for d, node in enumerate(nodes):
+            if node in names:
+                held[node] += len(text)
+                if articles and d < articles[-1]:
+                    around[node] += len(text)
+                if articles and d > articles[0]:
+                    inside.add(node)
+    out = {n for n in held if not (around[n] and around[n] >= MOST_NAMED * marked) and (marked or held[n] < MOST_NAMED * total or names[n] & READERS)}
+    unsure = {n for n in out & inside if names[n] <= SHARED}
+    return out - unsure, unsure
 
 
 def _smooth(x: np.ndarray) -> np.ndarray:
@@ -167,7 +210,15 @@ def content_paths(kept: list) -> set[tuple[str, ...]]:
 
 
 def main_text(page: str) -> str:
-    kept = [b for b in blocks(page) if not b[3]]
+    found, names = blocks(page)
+    kept = [b for b in found if not b[3]]
+    if names:
+        out, unsure = _out_by_name(kept, names)
+        kept = [b for b in kept if out.isdisjoint(b[0])]
+        if unsure and kept:
+            content = content_paths(kept)
+            unsure -= {n for nodes, tags, _, _ in kept if tags in content for n in nodes}
+            kept = [b for b in kept if unsure.isdisjoint(b[0])]
     if not kept:
         return ""
     content = content_paths(kept)
@@ -184,14 +235,14 @@ def main_text(page: str) -> str:
         total += len(text) * (tags in content)
     # The innermost node that holds most of the content; a node below a block's own parent is no container.
     leaves = {nodes[-1] for nodes, tags, _, _ in kept if nodes and tags[-1] in ("p", "li", "td", "th", "dd", "dt", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6")}
-    holding = [n for n, w in weight.items() if w >= HOLDS * total and n not in leaves]
-    root = max(holding, key=depth.__getitem__, default=None)
+    inner = lambda share: max((n for n, w in weight.items() if w >= share * total and n not in leaves), key=depth.__getitem__, default=None)
+    root = inner(HOLDS)
     if root is not None:
         # Inside an article or main element, the whole of it is the article.
         above = next((nodes[: nodes.index(root) + 1] for nodes, _, _, _ in kept if root in nodes), ())
         outer = [n for n in above if n in named]
-        root = outer[-1] if outer else root
-        kept = [b for b in kept if root in b[0]]
+        root = outer[-1] if outer else inner(1)
+        kept = [b for b in kept if root is None or root in b[0]]
     return "\n\n".join(text for _, _, text, _ in kept)
 
 
