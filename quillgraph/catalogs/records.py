@@ -237,7 +237,7 @@ def _(spark, d):
 
 @query("gr07_betweenness")
 def _(spark, d):
-    return central.betweenness(load_graph(spark, d).live(), sample=50)
+    return central.betweenness(load_graph(spark, d).live())
 
 
 @query("gr11_single_points")
