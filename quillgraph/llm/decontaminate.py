@@ -1,28 +1,34 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words become template tokens: numbers, units and names turn into typed placeholders, everything else is
-lower-cased. Two templates are taken of every text, one with names as placeholders and one with names as
-words, so that a copy in other letter case still matches. Windows of consecutive tokens are hashed and
-joined with the windows of the benchmark items; matches are gathered per document, item and diagonal
-(neighbouring diagonals are merged). Around each match, the words of item and document are compared one by
-one. An item counts as found in any of three ways: enough of its words stand there verbatim; a run of
-``RUN`` of its words does; or matching windows cover enough of its words and its slots are consistent on one
-diagonal or over all: each value of the item stands for one value of the document throughout. Other values
-in consistent slots mark a re-parameterised question.
-
-Windows that are mostly placeholders would match anything of their shape; they are taken word by word.
-
-Before the join, windows pass a bitmap over the benchmark's hashes, so only likely matches leave the
-tasks; the bitmap has a bounded size and can only let too many through, never too few.
-
-Odd input: a null text is empty and clean; an item without text or with fewer than ``least_words`` words
-matches nothing; an item shorter than a window is one window of its own length; items repeated with other
-ids are all reported; every distinct (doc_id, text) gives one row, so exact repeats of a row collapse; a
-null doc_id keeps its row; an empty benchmark finds nothing; extra columns are ignored.
+Every text is read in three forms. In two of them words become template tokens: a run of number and unit words
+(``7.5``, ``1,250``, ``30 km``, ``30km``, ``twenty-five``) turns into one placeholder of its type (number, unit, or
+measure), a run of names (capitalised words) into another, and everything else is lower-cased; the second form
+leaves names as words, so that a copy in other letter case still matches. The third form is the words themselves.
+Windows of ``window`` consecutive tokens are hashed and joined with the windows of the benchmark items; matches are
+gathered per document, item, form and diagonal (neighbouring diagonals are merged). An item counts as found if
+
+* ``cover`` of its words, or ``run`` of them in a row, stand in the document, compared one by one along the matches
+  of the third form and the words around them; or
+* matches of a template form cover ``cover`` of the template and its slots are consistent, on one diagonal or over
+  all: each value of the item stands for one value of the document throughout. Other values in consistent slots
+  mark a re-parameterised question.
+
+Template windows that are mostly placeholders would match anything of their shape and are left to the words. So is
+the whole template where such windows are over half of it or fewer than ``TEMPLATE_WORDS`` plain words remain.
+
+Before the join, windows pass a bitmap over the benchmark's hashes, so only likely matches leave the tasks; the
+bitmap has a bounded size, is put together in Spark, and can only let too many through, never too few.
+
+Odd input: a null text is empty and clean; an item without words matches nothing; one with fewer than
+``least_words`` words is found in a document that has just these words; an item shorter than a window is one window
+of its own length; items repeated with other ids are all reported; every row gives a row, exact repeats included; a
+null doc_id keeps its row, a null item_id drops the item; an empty benchmark finds nothing; extra columns are ignored.
+Names are told by letter case: in capitals only, or in scripts without case, other names count as other words.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,16 +38,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillgraph.llm.words import CACHE_WORDS, MIX, scramble, slices, texts
+from quillgraph.llm.words import CACHE_WORDS, MIX, scramble, texts
 from quillgraph.plans.staging import Staging
 
 WINDOW, COVER, LEAST_WORDS = 5, 0.8, 4
-#: Words verbatim in a row that make an item found however long it is.
-RUN = 13
-#: Benchmark windows that may be broadcast (some 150 bytes each).
-BROADCAST_WINDOWS = 500_000
-#: Largest bitmap in slots of one byte.
-BITMAP_MOST = 1 << 26
+#: Words verbatim in a row that make an item found however long it is; plain words that a template must have.
+RUN, TEMPLATE_WORDS = 13, 4
+#: Benchmark windows that may be broadcast (some 150 bytes each); beyond it each stands in ``SALTS`` copies, so that
+#: documents with one common window are dealt to as many tasks.
+BROADCAST_WINDOWS, SALTS = 500_000, 32
+#: Largest bitmap in bits; bits for each window up to there; bits of one piece.
+BITMAP_MOST, BITMAP_EACH, PIECE = 1 << 26, 256, 1 << 16
+#: Bytes of text read at a time.
+CHUNK = 1 << 21
 
 # Words that are units.
 UNITS = frozenset(
@@ -50,107 +59,228 @@ UNITS = frozenset(
     " cent cents dollar dollars euro euros usd eur gbp percent degree degrees mph kmh kph hz khz mhz watt watts volt volts".split()
 )
 # Words that are numbers.
-NUMBERS = frozenset("zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million".split())
+NUMBERS = frozenset(
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen"
+    " twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
+)
 
 #: Bytes that are neither digits nor letters nor beyond ASCII become blanks; letter case stays.
 CASED = bytes(b if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-WORD, NUMBER, UNIT, NAME = range(4)
+THOUSANDS = re.compile(rb"(?<=[0-9]),(?=[0-9]{3}(?![0-9]))")
+MEASURED = re.compile(r"[0-9]+([a-z]+)\Z")
+# Kinds of words as bits, so that a run's kinds add up; the forms.
+WORD, NUMBER, UNIT, NAME = 0, 1, 2, 4
+NAMED, PLAIN, VERBATIM, WHOLE = range(4)
+SLOTS = np.array([xxhash.xxh3_64_intdigest(b"slot", seed=kind) for kind in range(8)], np.uint64)
+
 
+class Words(dict):
+    """word -> number; hashes and kinds by number. Remembers the words of this worker's current texts."""
 
-class Tokens(dict):
-    """word -> (hash with names as placeholders, hash with names as words, hash of the value, kind)."""
+    def __init__(self):
+        self.hashes, self.kinds, self.words = np.empty(1024, np.uint64), np.empty(1024, np.uint8), []
 
-    def __missing__(self, word: bytes) -> tuple[int, int, int, int]:
+    def __missing__(self, word: bytes) -> int:
+        low = word.decode("utf-8", "replace").lower()
         text = word.decode("utf-8", "replace")
-        low = text.lower()
-        value = xxhash.xxh3_64_intdigest(low.encode())
+        measured = MEASURED.match(low)
         if low[0].isdigit() or low in NUMBERS:
-            kind = NUMBER
+            kind = NUMBER | UNIT if measured and measured[1] in UNITS else NUMBER
         elif low in UNITS:
             kind = UNIT
         else:
             kind = NAME if len(text) > 1 and text[0].isupper() and text[1:].islower() else WORD
-        typed = xxhash.xxh3_64_intdigest(b"slot", seed=kind)
-        out = self[word] = (value if kind == WORD else typed, typed if kind in (NUMBER, UNIT) else value, value, kind)
-        return out
+        n = self[word] = len(self.words)
+        self.words.append(low)
+        if n == len(self.kinds):
+            self.hashes, self.kinds = np.resize(self.hashes, 2 * n), np.resize(self.kinds, 2 * n)
+        self.hashes[n], self.kinds[n] = xxhash.xxh3_64_intdigest(low.encode()), kind
+        return n
 
-    def of(self, text: bytes) -> np.ndarray:
-        """(4, words) array of a text's tokens."""
-        if len(self) > CACHE_WORDS // 2:
+    def fresh(self) -> None:
+        if len(self) > CACHE_WORDS:
             self.clear()
-        words = text.translate(CASED).split()
-        flat = [x for w in words for x in self[w]]
-        return np.array(flat, np.uint64).reshape(len(words), 4).T
+            self.words.clear()
+
+    def split(self, text: bytes) -> list[bytes]:
+        return (THOUSANDS.sub(b"", text) if b"," in text else text).translate(CASED).split()
+
+
+class Stream:
+    """Several texts in one form: token hashes, with the text and the first word of each token."""
+
+    def __init__(self, words: Words, ids: np.ndarray, owner: np.ndarray, form: int):
+        self.words, self.ids, self.form = words, ids, form
+        kinds = words.kinds[ids]
+        if form == NAMED:
+            slot = (kinds > 0) + (kinds == NAME).astype(np.uint8)
+        elif form == PLAIN:
+            slot = ((kinds & (NUMBER | UNIT)) > 0).astype(np.uint8)
+        else:
+            slot = np.zeros(len(ids), np.uint8)
+        begins = np.ones(len(ids), bool)
+        begins[1:] = (slot[1:] == 0) | (slot[1:] != slot[:-1]) | (owner[1:] != owner[:-1])
+        self.start = np.flatnonzero(begins)
+        self.end = np.append(self.start[1:], len(ids))
+        self.owner, self.slot = owner[self.start], slot[self.start] > 0
+        self.token = words.hashes[ids[self.start]]
+        if self.slot.any():
+            run = np.bitwise_or.reduceat(kinds, self.start)
+            self.token = np.where(self.slot, SLOTS[run], self.token)
+        self._values: dict[int, int] = {}
 
+    def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, whether it lies in one text) of each run of k tokens."""
+        n = max(0, len(self.token) - k + 1)
+        out = self.token[:n].copy()
+        for i in range(1, k):
+            out = out * MIX + self.token[i : n + i]
+        return scramble(out + np.uint64(k * 8 + min(self.form, VERBATIM))), self.owner[:n] == self.owner[k - 1 : n + k - 1]
 
-def _windows(h: np.ndarray, k: int) -> np.ndarray:
-    out = h[: len(h) - k + 1].copy()
-    for i in range(1, k):
-        out = out * MIX + h[i : len(h) - k + 1 + i]
-    return scramble(out + np.uint64(k))
+    def crowded(self, k: int) -> np.ndarray:
+        """Whether placeholders are over half of each run of k tokens."""
+        sums = np.concatenate([[0], np.cumsum(self.slot)])
+        return (sums[k:] - sums[:-k]) * 2 > k if len(self.slot) >= k else np.zeros(0, bool)
 
+    def _value(self, at: int) -> int:
+        """A slot's value, its type in the last three bits: its words without what stands between, but for two numbers in a row."""
+        if at not in self._values:
+            out, kind = "", 0
+            for i in self.ids[self.start[at] : self.end[at]].tolist():
+                word = self.words.words[i]
+                out += "." + word if out and out[-1].isdigit() and word[0].isdigit() else word
+                kind |= int(self.words.kinds[i])
+            self._values[at] = xxhash.xxh3_64_intdigest(out.encode()) >> 4 << 3 | kind
+        return self._values[at]
 
-def benchmark_windows(items: list[tuple[int, str]], k: int, least_words: int) -> tuple[list[tuple], list[int]]:
-    """(gram, item, ipos, n_words, n_typed, exact, slots, values) rows, and the window lengths in use.
+    def around(self, at: np.ndarray, k: int, reach: int) -> list[list[int]]:
+        """Words of the windows ``at`` and ``reach`` beyond; values of slots, else 0, in template forms; 0 outside the text."""
+        i = at[:, None] + np.arange(-reach, k + reach)
+        safe = np.clip(i, 0, len(self.token) - 1)
+        same = (i == safe) & (self.owner[safe] == self.owner[at][:, None])
+        if self.form == VERBATIM:
+            return np.where(same, self.token[safe], 0).view(np.int64).tolist()
+        return [[self._value(x) if y else 0 for x, y in zip(xs, ys, strict=True)] for xs, ys in zip(safe.tolist(), (same & self.slot[safe]).tolist(), strict=True)]
 
-    Slots and values reach ``k - 1`` words beyond the window on both sides, as False and 0 outside the item."""
-    rows, lengths, tokens = [], set(), Tokens()
-    for item, text in items:
-        t = tokens.of((text or "").encode())
-        n = t.shape[1]
-        if n < max(1, least_words):
+
+def streams(words: Words, chunk: list[bytes]) -> list[Stream]:
+    """The texts of a chunk in the first three forms."""
+    words.fresh()
+    split = [words.split(t) for t in chunk]
+    ids = np.fromiter((words[w] for ws in split for w in ws), np.int32)
+    owner = np.repeat(np.arange(len(split), dtype=np.int32), [len(ws) for ws in split])
+    return [Stream(words, ids, owner, form) for form in (NAMED, PLAIN, VERBATIM)]
+
+
+ROW = "gram long, item long, form int, ipos int, size int, n long, values array<bigint>"
+
+
+def item_windows(item: int, text: str, words: Words, k: int, least_words: int) -> list[tuple]:
+    """(gram, item, form, ipos, size, n, values) of an item's windows; n: words or template tokens to be covered."""
+    out = []
+    for s in streams(words, [(text or "").encode()]):
+        n = len(s.token)
+        if s.form == VERBATIM:
+            if n and n < least_words:
+                out.append((int(s.windows(n)[0].view(np.int64)[0]), item, WHOLE, 0, n, n, s.around(np.zeros(1, int), n, 0)[0]))
+            elif n:
+                size = min(k, n)
+                at = np.arange(n - size + 1)
+                out += [(int(g), item, VERBATIM, i, size, n, v) for g, i, v in zip(s.windows(size)[0].view(np.int64), at.tolist(), s.around(at, size, k - 1), strict=True)]
+            continue
+        if n < least_words or (s.form == NAMED and not (s.words.kinds[s.ids] == NAME).any()):
             continue
         size = min(k, n)
-        lengths.add(size)
-        covered, windows, new = [np.zeros(n, bool), np.zeros(n, bool)], [0, 0], {}
-        exact = np.ones(n - size + 1, bool)
-        slots, values = np.zeros(n + 2 * (k - 1), bool), np.zeros(n + 2 * (k - 1), np.int64)
-        values[k - 1 : k - 1 + n] = t[2].view(np.int64)
-        for form in (0, 1):
-            grams = _windows(t[form], size).view(np.int64)
-            kinds = (t[3] != WORD) if form == 0 else (t[3] == NUMBER) | (t[3] == UNIT)
-            slots[k - 1 : k - 1 + n] = kinds
-            for i, g in enumerate(grams):
-                if kinds[i : i + size].sum() * 2 <= size:  # else mostly placeholders: it would match anything of that shape
-                    windows[form] += 1
-                    covered[form][i : i + size], exact[i] = True, False
-                    wide = slice(i, i + size + 2 * (k - 1))
-                    new.setdefault((int(g), i), (False, slots[wide].tolist(), values[wide].tolist()))
-        grams = _windows(t[2], size).view(np.int64)
-        for i in np.flatnonzero(exact).tolist():
-            wide = values[i : i + size + 2 * (k - 1)].tolist()
-            new.setdefault((int(grams[i]), i), (True, [False] * len(wide), wide))
-        # An item is measured by its windows with names as placeholders, unless names leave too few of them.
-        typed = int(covered[0 if windows[0] * 2 >= windows[1] else 1].sum())
-        rows += [(g, int(item), i, n, typed, *rest) for (g, i), rest in new.items()]
-    return rows, sorted(lengths)
-
-
-def _finder(lengths: list[int], reach: int, exact: bool, shared):
+        at = np.flatnonzero(~s.crowded(size))
+        covered = np.zeros(n, bool)
+        for i in at.tolist():
+            covered[i : i + size] = True
+        if covered.sum() * 2 >= n and (covered & ~s.slot).sum() >= TEMPLATE_WORDS:
+            grams = s.windows(size)[0].view(np.int64)
+            out += [(int(grams[i]), item, s.form, i, size, int(covered.sum()), v) for i, v in zip(at.tolist(), s.around(at, size, k - 1), strict=True)]
+    return out
+
+
+def _cut(k: int, least_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens()
-        bitmap = shared.value
-        shift = np.uint64(64 - int(len(bitmap)).bit_length() + 1)
-        for batch in slices(batches):
-            ids, rows, pos, grams, values = [], [], [], [], []
-            for doc_id, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2)), strict=True):
-                ids.append(doc_id), rows.append(row), pos.append(-1), grams.append(None), values.append(None)
-                t = tokens.of(text)
-                wide = np.pad(t[2].view(np.int64), reach)
-                for k in lengths:
-                    if t.shape[1] < k:
-                        continue
-                    named, plain = _windows(t[0], k), _windows(t[1], k)
-                    forms = [(named, named != plain), (plain, True)]
-                    if exact:
-                        forms.append((h := _windows(t[2], k), h != plain))
-                    for h, keep in forms:
-                        for i in np.flatnonzero(bitmap[h >> shift] & keep).tolist():
-                            ids.append(None), rows.append(row), pos.append(i), grams.append(int(h[i].view(np.int64))), values.append(wide[i : i + k + 2 * reach])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(pos, pa.int32()), pa.array(grams, pa.int64()), pa.array(values, pa.list_(pa.int64()))],
-                ["doc_id", "row", "pos", "gram", "found"],
-            )
+        words = Words()
+        for batch in batches:
+            rows = [r for item, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) for r in item_windows(item, text, words, k, least_words)]
+            if rows:
+                types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["gram", "item", "form", "ipos", "size", "n", "values"])
+
+    return run
+
+
+def _piece(table: pa.Table) -> pa.Table:
+    bits = np.zeros(PIECE, bool)
+    bits[table["slot"].to_numpy()] = True
+    return pa.table({"piece": table["piece"].slice(0, 1), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+
+def bitmap(grams: DataFrame, n: int) -> np.ndarray:
+    """Packed bits over the upper bits of ``n`` hashes, at most ``BITMAP_MOST`` of them; one task sets a piece."""
+    size = PIECE
+    while size < min(n * BITMAP_EACH, BITMAP_MOST):
+        size *= 2
+    slot = F.shiftrightunsigned("gram", 64 - (size.bit_length() - 1))
+    pieces = grams.select((slot / PIECE).cast("int").alias("piece"), (slot % PIECE).cast("int").alias("slot")).distinct().groupBy("piece").applyInArrow(_piece, "piece int, bits binary")
+    out = np.zeros((size // PIECE, PIECE // 8), np.uint8)
+    for r in pieces.toArrow().to_pylist():  # at most BITMAP_MOST / 8 bytes
+        out[r["piece"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
+
+
+def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[list, list[bytes]]]:
+    """Rows of a batch by some ``CHUNK`` bytes of text; a longer text is a chunk of its own."""
+    ids = list(zip(*(c.to_pylist() for c in batch.columns[:-1]), strict=True))
+    whole = texts(batch.column(batch.num_columns - 1))
+    at = size = 0
+    for i, n in enumerate(map(len, whole)):
+        if size and size + n > CHUNK:
+            yield ids[at:i], whole[at:i]
+            at, size = i, 0
+        size += n
+    if at < len(ids):
+        yield ids[at:], whole[at:]
+
+
+def _finder(lengths: list[int], k: int, least_words: int, shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        bits = np.unpackbits(shared.value).view(bool)
+        shift = np.uint64(64 - (len(bits).bit_length() - 1))
+        for batch in batches:
+            for ids, chunk in _chunks(batch):
+                out: list[list] = [[], [], [], [], []]
+                for s in streams(words, chunk):
+                    first = np.searchsorted(s.owner, np.arange(len(chunk)))
+                    for size in lengths:
+                        grams, good = s.windows(size)
+                        at = np.flatnonzero(good & bits[grams >> shift])
+                        if s.form == VERBATIM and size < least_words:
+                            # The windows of such items are whole texts.
+                            alone = np.bincount(s.owner, minlength=len(chunk))[s.owner[at]] == size
+                            form, at, reach = WHOLE, at[alone], 0
+                        else:
+                            form, reach = s.form, k - 1
+                        if len(at):
+                            out[0] += s.owner[at].tolist()
+                            out[1] += [form] * len(at)
+                            out[2] += (at - first[s.owner[at]]).tolist()
+                            out[3] += grams[at].view(np.int64).tolist()
+                            out[4] += s.around(at, size, reach)
+                uid = [ids[i][0] for i in out[0]]
+                closing = len(ids)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(uid + [i[0] for i in ids], pa.int64()), pa.array([None] * len(uid) + [i[1] for i in ids], pa.int64()), pa.array([None] * len(uid) + [i[2] for i in ids], pa.int64()),
+                        pa.array(out[1] + [None] * closing, pa.int32()), pa.array(out[2] + [None] * closing, pa.int32()), pa.array(out[3] + [None] * closing, pa.int64()),
+                        pa.array(out[4] + [None] * closing, pa.list_(pa.int64())),
+                    ],
+                    ["uid", "row", "doc_id", "dform", "pos", "dgram", "found"],
+                )
 
     return run
 
@@ -160,65 +290,59 @@ def row_key() -> F.Column:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: float = COVER, least_words: int = LEAST_WORDS, gap: int = 3, run: int = RUN) -> DataFrame:
-    """row, doc_id, contaminated, n_items, items, coverage, reparameterised: one row per document."""
+    """row, doc_id, contaminated, n_items, items, coverage, reparameterised: one row per document.
+
+    ``row`` is ``row_key()`` of the document, equal for exact repeats."""
     spark = docs.sparkSession
     st = Staging(spark, "decontaminate")
-    pairs = "gram long, item long, ipos int, n_words int, n_typed int, exact boolean, slots array<boolean>, values array<bigint>"
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            rows, _ = benchmark_windows(list(zip(*(c.to_pylist() for c in batch.columns), strict=True)), window, least_words)
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.bool_()), pa.list_(pa.int64())), strict=True)], ["gram", "item", "ipos", "n_words", "n_typed", "exact", "slots", "values"])
-
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    table = st.write(items.mapInArrow(cut, pairs), "windows")
+    table = st.write(items.mapInArrow(_cut(window, least_words), ROW), "windows")
     n = table.count()
-    reach = window - 1
-    lengths = [r.k for r in table.select((F.size("values") - 2 * reach).alias("k")).distinct().collect()]  # at most ``window`` of them
-    exact = not table.where("exact").isEmpty()
-    size = 1 << 16
-    while size < min(n * 64, BITMAP_MOST):
-        size *= 2
-    bits = size.bit_length() - 1
-    slots = table.select(F.shiftrightunsigned("gram", 64 - bits).alias("s")).distinct().toArrow()["s"].to_numpy()  # at most ``size``
-    bitmap = np.zeros(size, bool)
-    bitmap[slots] = True
-    shared = spark.sparkContext.broadcast(bitmap)
-    found = docs.select(F.col("doc_id").cast("long"), row_key().alias("row"), F.col("text").cast("string")).mapInArrow(
-        _finder(sorted(lengths), reach, exact, shared), "doc_id long, row long, pos int, gram long, found array<bigint>"
-    )
-    hits = found.join(F.broadcast(table) if n <= BROADCAST_WINDOWS else table, "gram", "left").where("item is not null or pos < 0")
-    # Slot pairs of a window: the item's value and the document's. Of words beyond it, only those that are equal count.
-    at = lambda i: F.col("ipos") - reach + i
-    within = lambda i: (i >= reach) & (i < F.size("values") - reach)
-    zipped = F.transform(F.arrays_zip("slots", "values", "found"), lambda x, i: F.when(x["slots"] & within(i), F.struct(x["values"].alias("a"), x["found"].alias("b"))))
-    same = F.transform(F.arrays_zip("values", "found"), lambda x, i: F.when((x["values"] == x["found"]) & (x["values"] != 0), at(i)))
-    typed = F.when(~F.col("exact"), F.sequence("ipos", F.col("ipos") + F.size("values") - 2 * reach - 1)).otherwise(F.array().cast("array<int>"))
-    hits = hits.select(
-        "row", "doc_id", "item", "n_words", "n_typed", (F.col("pos") - F.col("ipos")).alias("diag"),
-        F.when(F.col("item").isNotNull(), typed).alias("typed"), F.array_compact(same).alias("same"), F.array_compact(zipped).alias("pairs"),
-    )
+    lengths = [r["size"] for r in table.select("size").distinct().orderBy("size").collect()]  # at most ``window`` of them
+    shared = spark.sparkContext.broadcast(bitmap(table.select("gram"), n))
+    # The number of a row names it inside this job only; all that refers to it is in the one staged table.
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), row_key().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = rows.mapInArrow(_finder(lengths, window, least_words, shared), "uid long, row long, doc_id long, dform int, pos int, dgram long, found array<bigint>")
+    found = st.write(found, "found")
+    hits = found.where("dgram is not null")
+    same_window = (F.col("gram") == F.col("dgram")) & (F.col("form") == F.col("dform"))
+    if n <= BROADCAST_WINDOWS:
+        hits = hits.join(F.broadcast(table), same_window)
+    else:
+        salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        hits = hits.withColumn("dsalt", F.pmod(F.xxhash64("uid", "pos"), F.lit(SALTS)).cast("int")).join(salted, same_window & (F.col("salt") == F.col("dsalt")))
+
+    verbatim = F.col("form") >= VERBATIM
+    reach = F.when(F.col("form") == WHOLE, 0).otherwise(window - 1)
+    zipped = lambda keep, give: F.array_compact(F.transform(F.arrays_zip("values", "found"), lambda x, i: F.when((x["values"] != 0) & keep(x), give(x, i))))
+    words = zipped(lambda x: x["values"] == x["found"], lambda x, i: F.col("ipos") - reach + i)
+    typed = F.sequence("ipos", F.col("ipos") + F.col("size") - 1)
+    # Slots of a window's surroundings count where both texts have one of one type.
+    pairs = zipped(lambda x: (x["found"] != 0) & (x["values"].bitwiseAND(7) == x["found"].bitwiseAND(7)), lambda x, i: F.struct(x["values"].alias("a"), x["found"].alias("b")))
+    none = F.array().cast("array<struct<a:bigint,b:bigint>>")
+    hits = hits.select("uid", "item", "form", "n", (F.col("pos") - F.col("ipos")).alias("diag"), F.when(verbatim, words).otherwise(typed).alias("at"), F.when(verbatim, none).otherwise(pairs).alias("pairs"))
     union = lambda c, of: F.array_distinct(F.flatten(of(c))).alias(c)
-    once = lambda pairs: F.size(F.array_distinct(F.transform(pairs, lambda x: x["a"]))) == F.size(pairs)
-    covered = F.when(F.col("n_typed") > 0, F.least(F.lit(1.0), F.size("typed") / F.col("n_typed"))).otherwise(F.lit(0.0))
-    most = [F.max(c).alias(c) for c in ("n_words", "n_typed", "doc_id")]
-    by = hits.groupBy("row", "item", "diag").agg(*[union(c, F.collect_set) for c in ("typed", "same", "pairs")], *most)
-    whole = (covered >= cover) & once("pairs")
-    by = by.withColumn("whole", whole).withColumn("whole_other", whole & F.exists("pairs", lambda x: x["a"] != x["b"]))
-    w = Window.partitionBy("row", "item").orderBy("diag")
+    share = F.least(F.lit(1.0), F.size("at") / F.col("n"))
+    once = F.size(F.array_distinct(F.transform("pairs", lambda x: x["a"]))) == F.size("pairs")
+    other = F.exists("pairs", lambda x: x["a"] != x["b"])
+    by = hits.groupBy("uid", "item", "form", "diag").agg(union("at", F.collect_set), union("pairs", F.collect_set), F.max("n").alias("n"))
+    whole = ~verbatim & (share >= cover) & once
+    by = by.withColumn("whole", whole).withColumn("whole_other", whole & other)
+    w = Window.partitionBy("uid", "item", "form").orderBy("diag")
     fresh = F.lag("diag").over(w).isNull() | (F.col("diag") - F.lag("diag").over(w) > gap)
-    spans = by.withColumn("run", F.sum(fresh.cast("int")).over(w)).groupBy("row", "item", "run").agg(
-        *[union(c, F.collect_list) for c in ("typed", "same", "pairs")], *most, F.max("whole").alias("whole"), F.max("whole_other").alias("whole_other")
+    spans = by.withColumn("cluster", F.sum(fresh.cast("int")).over(w)).groupBy("uid", "item", "form", "cluster").agg(
+        union("at", F.collect_list), union("pairs", F.collect_list), F.max("n").alias("n"), F.max("whole").alias("whole"), F.max("whole_other").alias("whole_other")
+    ).withColumn("at", F.array_sort("at"))
+    in_a_row = F.coalesce(F.exists(F.transform("at", lambda x, i: F.get("at", i + run - 1) - x == run - 1), lambda x: x), F.lit(False))
+    merged = ~verbatim & (share >= cover) & once
+    spans = spans.withColumn("ok", F.when(verbatim, (share >= cover) | in_a_row).otherwise(F.col("whole") | merged))
+    spans = spans.select("uid", "item", "ok", share.alias("share"), (F.col("whole_other") | (merged & other)).alias("other"))
+    judged = spans.groupBy("uid").agg(
+        F.max("ok").alias("ok"), F.array_sort(F.collect_set(F.when(F.col("ok"), F.col("item")))).alias("items"), F.max("share").alias("share"), F.max("other").alias("other"),
+    )
+    every = found.where("dgram is null").select("uid", "row", "doc_id").join(judged, "uid", "left")
+    items = F.coalesce("items", F.array().cast("array<bigint>"))
+    return every.select(
+        "row", "doc_id", F.coalesce("ok", F.lit(False)).alias("contaminated"), F.size(items).cast("long").alias("n_items"), items.alias("items"),
+        F.coalesce("share", F.lit(0.0)).alias("coverage"), F.coalesce("other", F.lit(False)).alias("reparameterised"),
     )
-    verbatim = F.size("same") / F.col("n_words")
-    spans = spans.withColumn("same", F.array_sort("same"))
-    in_a_row = F.coalesce(F.exists(F.transform("same", lambda x, i: F.get("same", i + run - 1) - x == run - 1), lambda x: x), F.lit(False))
-    merged = (covered >= cover) & once("pairs")
-    ok = F.coalesce(F.col("item").isNotNull() & ((verbatim >= cover) | in_a_row | F.col("whole") | merged), F.lit(False))
-    cover_of = F.when(F.col("item").isNotNull(), F.greatest(covered, verbatim))
-    other = F.coalesce(F.col("whole_other") | (merged & F.exists("pairs", lambda x: x["a"] != x["b"])), F.lit(False))
-    return spans.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.coalesce(F.max(ok), F.lit(False)).alias("contaminated"), F.array_sort(F.collect_set(F.when(ok, F.col("item")))).alias("items"),
-        F.coalesce(F.max(cover_of), F.lit(0.0)).alias("coverage"), F.coalesce(F.max(ok & other), F.lit(False)).alias("reparameterised"),
-    ).select("row", "doc_id", "contaminated", F.size("items").cast("long").alias("n_items"), "items", "coverage", "reparameterised")
