@@ -1,18 +1,25 @@
 """Personal data by fixed patterns and by bootstrapped contexts.
 
-The base kinds are found by their patterns. Then contexts take over: every value that looks like an
-identifier (it holds a digit) stands in a lexical pattern, made of the word and punctuation before it, its
-shape, and the character after it. Values of the base kinds and of a few seed contexts are seeds; in Spark,
-patterns and values score each other over the pattern-value graph for some rounds, a pattern by the mean
-score of its values, a value by the noisy-or of its patterns; patterns that score high and hold several
-values then mark all their values, seen before or not.
+The base kinds are found by their patterns. Then contexts take over. Candidates are the values of the base kinds,
+all tokens that hold a digit, and whatever follows a label (``word:`` or ``word=``): a token of any length, with or
+without digits, or a run of capitalised words, with a house number before it or not. Every candidate stands in a
+lexical pattern, made of the word and punctuation before it, its shape, and the character after it; after a label
+also in the pattern of that label for values of any shape.
+
+Seed entities are the values of the base kinds, tokens with the known beginnings of ``SEED_HEADS``, long runs of hex
+digits that are assigned to something, and values after the few labels of ``SEED_LABELS``. In Spark, patterns and
+values score each other over the pattern-value graph for some rounds: a pattern by the mean score of its values, a
+value by the noisy-or of its patterns. Patterns that score high and hold several values are trusted, and all their
+values are spans, seen before or not. Assigned hex runs are evidence only: they are spans where their pattern is
+trusted. Base spans always stay; no other span overlaps one.
 
 One pass over the texts writes a small table of spans and candidates; the rounds and the final marking work
 on that. Aggregations combine before the shuffle, so a pattern with a third of all candidates is no hot spot.
 
 Odd input: a null text is empty; a text without findings has zero counts, the SHA-256 of the empty string
 and an empty ``spans``; every row gives a row, exact repeats of a row included; a null doc_id stays null;
-extra columns are ignored. Regular expressions run in linear time on any text.
+extra columns are ignored. Regular expressions run in linear time on any text. Not found are values without a digit
+that no label stands before, and patterns with fewer than ``least_values`` distinct values.
 """
 
 from __future__ import annotations
@@ -29,13 +36,16 @@ from pyspark.sql import functions as F
 from quillgraph.plans.staging import Staging
 
 KINDS = ("email", "ip", "card", "phone")
-# Contexts whose values are seeds, with their kind.
-SEED_CONTEXTS = {"password=": "secret", 'token = "': "secret", "api_key=": "secret", "ssn: ": "ssn"}
+# Labels whose values are seeds, with their kind.
+SEED_LABELS = {"password=": "secret", "api_key=": "secret", "ssn: ": "ssn", "patient: ": "name", "residence: ": "address"}
 # Beginnings of values that are seeds themselves, with their kind.
 SEED_HEADS = {"AKIA": "secret", "ghp_": "secret", "xoxb-": "secret"}
+#: Hex digits in a row from which an assigned value is taken for a secret.
+LEAST_HEX = 32
 #: Rounds of scoring; least score of a pattern that marks values; least number of distinct values it holds.
 ROUNDS, LEAST_SCORE, LEAST_VALUES = 3, 0.6, 3
-LEAST_LENGTH = 6
+#: Trusted patterns that may be broadcast (some 60 bytes each).
+BROADCAST_PATTERNS = 500_000
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -46,6 +56,9 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 VALUE = re.compile(r"[A-Za-z0-9_-]*")
 VALUE_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-")
+LABEL = re.compile(r"(?<=[^\W\d])[\"']?[ ]?[=:][ ]?[\"']?(?=[^\s=:\"'/,;.!?)])")
+TOKEN = re.compile(r"[^\s\"'<>,;(){}\[\]|]+")
+RUN = re.compile(r"(?:[0-9]{1,6} )?[^\W\d_][^\W\d_]*(?:[ -][^\W\d_]+){1,3}")
 BEFORE = re.compile(r"([^\W\d]{0,24})([^\w]{0,4})\Z")
 HEX = re.compile(r"[0-9a-fA-F]+\Z")
 SPACE = re.compile(r"\s+")
@@ -96,9 +109,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def _shape(value: str) -> str:
     if "@" in value:
         return "mail"
+    if " " in value and value[-1].isalpha():
+        return "place" if value[0].isdigit() else "names"
     if not any(c.isalpha() for c in value):
         return "num" + "".join(sorted({c for c in value if not c.isdigit()}))
-    return "hex" if HEX.match(value) else "mix"
+    return "hex" if HEX.match(value) else "word" if value.isalpha() else "mix"
 
 
 def _pattern(text: str, start: int, end: int) -> tuple[str, str]:
@@ -109,28 +124,76 @@ def _pattern(text: str, start: int, end: int) -> tuple[str, str]:
     return f"{left}|{_shape(text[start:end])}|{'' if after.isalnum() else SPACE.sub(' ', after)}", left
 
 
+def _seed(text: str, start: int, end: int, left: str) -> str | None:
+    """Kind of a value that is a seed and a span at once."""
+    return next((kind for head, kind in SEED_HEADS.items() if text.startswith(head, start)), None) or SEED_LABELS.get(left)
+
+
+def _capitalised(run: str) -> bool:
+    return all(w[0].isupper() or w[0].isdigit() for w in re.split("[ -]", run))
+
+
+def _labelled(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of what follows each label: a run of capitalised words if there is one, else a token; none within another."""
+    end = 0
+    for m in LABEL.finditer(text):
+        start = m.end()
+        if start < end:
+            continue
+        run = RUN.match(text, start)
+        while run and not _capitalised(run[0]):
+            # The run ends before its first word in small letters.
+            cut = max(run[0].rfind(" "), run[0].rfind("-"))
+            run = RUN.fullmatch(text, start, start + cut) if cut > 0 else None
+        found = run or TOKEN.match(text, start)
+        end = found.end() if found else start
+        while end > start and text[end - 1] in ".:!?":
+            end -= 1
+        if end > start:
+            yield start, end
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple]:
-    """(pattern, value, seed kind or None, start, end): base spans, and other values that hold a digit."""
-    out = [(_pattern(text, s, e)[0], text[s:e], KINDS[k], s, e) for k, s, e in base]
+    """(pattern, value, seed kind or None, span kind or None, start, end): base spans, labelled values, tokens with a digit."""
+    out = [(_pattern(text, s, e)[0], text[s:e], KINDS[k], KINDS[k], s, e) for k, s, e in base]
     taken = sorted((s, e) for _, s, e in base)
-    at, i = 0, 0
-    while m := DIGIT.search(text, at):
-        start, end = m.start(), VALUE.match(text, m.start()).end()
-        while start > at and text[start - 1] in VALUE_CHARS:
-            start -= 1
-        at = end
-        while i < len(taken) and taken[i][1] <= start:
-            i += 1
-        if end - start < LEAST_LENGTH or (i < len(taken) and taken[i][0] < end):
-            continue
+
+    def free(spans: list[tuple[int, int]], found: Iterator[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+        """Those that touch none of ``spans``; both in order."""
+        i = 0
+        for start, end in found:
+            while i < len(spans) and spans[i][1] <= start:
+                i += 1
+            if i == len(spans) or spans[i][0] >= end:
+                yield start, end
+
+    def with_digit() -> Iterator[tuple[int, int]]:
+        at = 0
+        while m := DIGIT.search(text, at):
+            start, end = m.start(), VALUE.match(text, m.start()).end()
+            while start > at and text[start - 1] in VALUE_CHARS:
+                start -= 1
+            at = end
+            yield start, end
+
+    labelled = []
+    for start, end in free(taken, _labelled(text)):
+        labelled.append((start, end))
+        pattern, left = _pattern(text, start, end)
+        own = _seed(text, start, end, left)
+        hex_run = end - start >= LEAST_HEX and HEX.match(text[start:end])
+        seed = own or ("secret" if hex_run else None)
+        out.append((pattern, text[start:end], seed, own, start, end))
+        out.append((f"{left}||", text[start:end], seed, own, start, end))
+    for start, end in free(sorted(taken + labelled), with_digit()):
         pattern, left = _pattern(text, start, end)
-        head = next((kind for h, kind in SEED_HEADS.items() if text.startswith(h, start)), None)
-        out.append((pattern, text[start:end], head or SEED_CONTEXTS.get(left), start, end))
+        own = _seed(text, start, end, left)
+        out.append((pattern, text[start:end], own, own, start, end))
     return out
 
 
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
-CAND = pa.struct([("pattern", pa.string()), ("value", pa.int64()), ("seed", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())])
+CAND = pa.struct([("pattern", pa.string()), ("value", pa.int64()), ("seed", pa.string()), ("own", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())])
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +206,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows.append(xxhash.xxh3_64_intdigest(f"{doc_id}\n{text}") - 2**63)
             bases.append([{"kind": k, "start": s, "end": e} for k, s, e in found])
             shas.append(hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in found).encode()).hexdigest())
-            cands.append([{"pattern": p, "value": xxhash.xxh3_64_intdigest(v) - 2**63, "seed": k, "start": s, "end": e, "base": n < len(base)} for n, (p, v, k, s, e) in enumerate(candidates(text, base))])
+            cands.append([{"pattern": p, "value": xxhash.xxh3_64_intdigest(v) - 2**63, "seed": k, "own": o, "start": s, "end": e, "base": n < len(base)} for n, (p, v, k, o, s, e) in enumerate(candidates(text, base))])
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.int64()), pa.array(bases, pa.list_(SPAN)), pa.array(shas), pa.array(cands, pa.list_(CAND))], ["doc_id", "row", "base", "base_sha256", "cands"])
 
 
@@ -164,23 +227,27 @@ def trusted_patterns(occurrences: DataFrame, st: Staging, rounds: int = ROUNDS,
 
 
 def find_pii(docs: DataFrame, rounds: int = ROUNDS, least_score: float = LEAST_SCORE, least_values: int = LEAST_VALUES) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found: one row per document."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found, n_spans: one row per document.
+
+    ``n_found`` counts the spans beyond the base kinds, ``n_spans`` all."""
     st = Staging(docs.sparkSession, "pii")
     rows = st.write(
         docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
             _find, "doc_id long, row long, base array<struct<kind:string,start:long,end:long>>, base_sha256 string,"
-            " cands array<struct<pattern:string,value:long,seed:string,start:long,end:long,base:boolean>>",
+            " cands array<struct<pattern:string,value:long,seed:string,own:string,start:long,end:long,base:boolean>>",
         ), "rows",
     )
     occurrences = rows.select("row", F.explode("cands").alias("c")).select("row", "c.*")
-    trusted = trusted_patterns(occurrences.select("pattern", "value", "seed"), st, rounds, least_score, least_values)
-    marked = occurrences.where("not base").join(trusted, "pattern", "left").withColumn("kind", F.coalesce("seed", "kind")).where("kind is not null")
-    marked = marked.select("row", F.struct("kind", "start", "end").alias("s")).distinct()
-    more = marked.groupBy("row").agg(F.collect_list("s").alias("more"))
+    trusted = st.write(trusted_patterns(occurrences.select("pattern", "value", "seed"), st, rounds, least_score, least_values), "trusted")
+    trusted = F.broadcast(trusted) if trusted.count() <= BROADCAST_PATTERNS else trusted
+    marked = occurrences.where("not base").join(trusted, "pattern", "left").withColumn("kind", F.coalesce("own", "kind")).where("kind is not null")
+    # One kind a place, that of the best pattern.
+    marked = marked.groupBy("row", "start", "end").agg(F.max_by("kind", F.struct(F.coalesce("score", F.lit(1.0)), "kind")).alias("kind"))
+    more = marked.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("more"))
     rank = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
     every = F.concat("base", F.coalesce("more", F.array().cast("array<struct<kind:string,start:long,end:long>>")))
     ordered = F.array_sort(F.transform(every, lambda s: F.struct(F.coalesce(rank[s["kind"]], F.lit(len(KINDS))).alias("r"), s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
     out = rows.join(more, "row", "left").withColumn("every", ordered)
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     text = F.array_join(F.transform("every", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    return out.select("doc_id", *[count(k) for k in KINDS], "base_sha256", text.alias("spans"), (F.size("every") - F.size("base")).cast("long").alias("n_found"))
+    return out.select("doc_id", *[count(k) for k in KINDS], "base_sha256", text.alias("spans"), (F.size("every") - F.size("base")).cast("long").alias("n_found"), F.size("every").cast("long").alias("n_spans"))
