@@ -6,8 +6,8 @@ template position); votes are counted per diagonal, neighbouring diagonals of lo
 (an inserted or missing word moves the diagonal by one), and a span counts once enough of the
 template's k-grams stand on it: all of them for a phrase, a share for a long notice.
 
-Odd input: a null text is empty and has no words; every distinct (doc_id, text) gives one row, so exact
-repeats of a row collapse; a null doc_id keeps its row; extra columns are ignored. A document without
+Odd input: a null text is empty and has no words; every row gives a row, exact repeats included; a null
+doc_id keeps its row; extra columns are ignored. A document without
 hits has n_base 0, null first_word and last_word, empty labels and score 0.
 """
 
@@ -17,7 +17,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -74,22 +73,19 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per k-gram; and one closing row per document: null gram, its id, its number of words."""
     hashes = WordHashes()
     for part in slices(batches, 256):
-        rows, ids, pos, grams, mask = [], [], [], [], []
-        for doc_id, text in zip(part.column(0).to_pylist(), texts(part.column(1)), strict=True):
-            row = np.uint64(xxhash.xxh3_64_intdigest(text, seed=(doc_id or 0) % 2**64) ^ (doc_id is None)).view(np.int64)
+        uids, ids = part.column(0).to_pylist(), part.column(1)
+        owner, pos, grams, n_words = [], [], [], []
+        for uid, text in zip(uids, texts(part.column(2)), strict=True):
             h = hashes.of(plain_words(text))
+            n_words.append(len(h))
             for g in [rolling(h, k) for k in (PHRASE_K, NOTICE_K) if len(h) >= k]:
-                rows.append(np.full(len(g), row)), pos.append(np.arange(len(g), dtype=np.int32)), grams.append(g.view(np.int64))
-                ids.append(np.zeros(len(g), np.int64)), mask.append(np.zeros(len(g), bool))
-            rows.append(np.array([row])), pos.append(np.array([len(h)], np.int32)), grams.append(np.zeros(1, np.int64))
-            ids.append(np.array([doc_id or 0], np.int64)), mask.append(np.array([True]))
-        closing = np.concatenate(mask)
-        known = np.concatenate(ids)
-        no_id = ~closing
-        for i, doc_id in zip(np.flatnonzero(closing), part.column(0).to_pylist(), strict=True):
-            no_id[i] = doc_id is None
+                owner.append(np.full(len(g), uid)), pos.append(np.arange(len(g), dtype=np.int32)), grams.append(g.view(np.int64))
+        found = sum(map(len, grams))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(rows)), pa.array(known, mask=no_id), pa.array(np.concatenate(pos)), pa.array(np.concatenate(grams), mask=closing)],
+            [
+                pa.array(np.concatenate([*owner, np.array(uids, np.int64)])), pa.concat_arrays([pa.nulls(found, pa.int64()), ids]),
+                pa.array(np.concatenate([*pos, np.array(n_words, np.int32)])), pa.concat_arrays([pa.array(np.concatenate([*grams, np.empty(0, np.int64)])), pa.nulls(len(uids), pa.int64())]),
+            ],
             ["row", "doc_id", "pos", "gram"],
         )
 
@@ -104,7 +100,9 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] | None = None, notice
     table = spark.createDataFrame(rows, "gram long, template int, tpos int, grams int, label string, base boolean, phrase boolean")
     if len(rows) <= BROADCAST_POSITIONS:
         table = F.broadcast(table)
-    grams = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_grams, "row long, doc_id long, pos int, gram long")
+    # All that refers to a row's number comes from the one task that reads it.
+    read = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    grams = read.mapInArrow(_grams, "row long, doc_id long, pos int, gram long")
     hits = grams.join(table, "gram", "left").where("template is not null or gram is null")
 
     # Votes by diagonal. The closing row of a document goes along as the group without a template.

@@ -150,7 +150,9 @@ def test_licenses(spark):
     notice = licenses.NOTICES["mit"]
     texts = ["The MIT License; mit-license, GNU general PUBLIC license", "cc é by, CC BY", notice.replace("free of charge", "at no charge"), None, "", "mit " * 5000 + "license", "gnu general public"]
     d = docs(spark, texts)
-    got = {r.doc_id: r for r in licenses.scan_licenses(d.union(d)).collect()}
+    both = licenses.scan_licenses(d.union(d)).collect()
+    got = {r.doc_id: r for r in both}
+    assert len(both) == 2 * len(texts) and sorted(map(repr, both[:])) == sorted(2 * [repr(r) for r in got.values()])
     for i, t in enumerate(texts):
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOW))
         at = [(n, label) for p, label in BASE.items() for n in range(len(w)) if w[n : n + len(p.split())] == p.split()]
