@@ -28,6 +28,7 @@ Names are told by letter case: in capitals only, or in scripts without case, oth
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -54,23 +55,24 @@ CHUNK = 1 << 21
 
 # Words that are units.
 UNITS = frozenset(
-    "mm cm m km inch inches ft foot feet yard yards mile miles mg g kg gram grams kilogram kilograms lb lbs pound pounds oz ounce ounces ton tons"
-    " ml l liter liters litre litres gallon gallons second seconds minute minutes hour hours day days week weeks month months year years"
-    " cent cents dollar dollars euro euros usd eur gbp percent degree degrees mph kmh kph hz khz mhz watt watts volt volts".split()
+    b"mm cm m km inch inches ft foot feet yard yards mile miles mg g kg gram grams kilogram kilograms lb lbs pound pounds oz ounce ounces ton tons"
+    b" ml l liter liters litre litres gallon gallons second seconds minute minutes hour hours day days week weeks month months year years"
+    b" cent cents dollar dollars euro euros usd eur gbp percent degree degrees mph kmh kph hz khz mhz watt watts volt volts".split()
 )
 # Words that are numbers.
 NUMBERS = frozenset(
-    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen"
-    " twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
+    b"zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen"
+    b" twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
 )
 
 #: Bytes that are neither digits nor letters nor beyond ASCII become blanks; letter case stays.
 CASED = bytes(b if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 THOUSANDS = re.compile(rb"(?<=[0-9]),(?=[0-9]{3}(?![0-9]))")
-MEASURED = re.compile(r"[0-9]+([a-z]+)\Z")
+MEASURED = re.compile(rb"[0-9]+([a-z]+)\Z")
 # Kinds of words as bits, so that a run's kinds add up; the forms.
 WORD, NUMBER, UNIT, NAME = 0, 1, 2, 4
 NAMED, PLAIN, VERBATIM, WHOLE = range(4)
+SAYING = dict.fromkeys(UNITS, UNIT) | dict.fromkeys(NUMBERS, NUMBER)
 SLOTS = np.array([xxhash.xxh3_64_intdigest(b"slot", seed=kind) for kind in range(8)], np.uint64)
 
 
@@ -81,24 +83,26 @@ class Words(dict):
         self.hashes, self.kinds, self.words = np.empty(1024, np.uint64), np.empty(1024, np.uint8), []
 
     def __missing__(self, word: bytes) -> int:
-        low = word.decode("utf-8", "replace").lower()
-        text = word.decode("utf-8", "replace")
-        measured = MEASURED.match(low)
-        if low[0].isdigit() or low in NUMBERS:
-            kind = NUMBER | UNIT if measured and measured[1] in UNITS else NUMBER
-        elif low in UNITS:
-            kind = UNIT
-        else:
-            kind = NAME if len(text) > 1 and text[0].isupper() and text[1:].islower() else WORD
         n = self[word] = len(self.words)
-        self.words.append(low)
         if n == len(self.kinds):
             self.hashes, self.kinds = np.resize(self.hashes, 2 * n), np.resize(self.kinds, 2 * n)
-        self.hashes[n], self.kinds[n] = xxhash.xxh3_64_intdigest(low.encode()), kind
+        low, kind = word, WORD
+        if not (word.isalpha() and word.islower()):  # of ASCII only; else letter case and digits tell more
+            text = word.decode("utf-8", "replace")
+            low = text.lower().encode()
+            if text[0].isdigit():
+                measured = MEASURED.match(low)
+                kind = NUMBER | UNIT if measured and measured[1] in UNITS else NUMBER
+            elif len(text) > 1 and text[0].isupper() and text[1:].islower():
+                kind = NAME
+        if low in SAYING:
+            kind = SAYING[low]
+        self.words.append(low)
+        self.hashes[n], self.kinds[n] = xxhash.xxh3_64_intdigest(low), kind
         return n
 
     def fresh(self) -> None:
-        if len(self) > CACHE_WORDS:
+        if len(self) > 3 * CACHE_WORDS:
             self.clear()
             self.words.clear()
 
@@ -145,12 +149,12 @@ class Stream:
     def _value(self, at: int) -> int:
         """A slot's value, its type in the last three bits: its words without what stands between, but for two numbers in a row."""
         if at not in self._values:
-            out, kind = "", 0
+            out, kind = b"", 0
             for i in self.ids[self.start[at] : self.end[at]].tolist():
                 word = self.words.words[i]
-                out += "." + word if out and out[-1].isdigit() and word[0].isdigit() else word
+                out += b"." + word if out[-1:].isdigit() and word[:1].isdigit() else word
                 kind |= int(self.words.kinds[i])
-            self._values[at] = xxhash.xxh3_64_intdigest(out.encode()) >> 4 << 3 | kind
+            self._values[at] = xxhash.xxh3_64_intdigest(out) >> 4 << 3 | kind
         return self._values[at]
 
     def around(self, at: np.ndarray, k: int, reach: int) -> list[list[int]]:
@@ -167,7 +171,7 @@ def streams(words: Words, chunk: list[bytes]) -> list[Stream]:
     """The texts of a chunk in the first three forms."""
     words.fresh()
     split = [words.split(t) for t in chunk]
-    ids = np.fromiter((words[w] for ws in split for w in ws), np.int32)
+    ids = np.fromiter(map(words.__getitem__, itertools.chain.from_iterable(split)), np.int32)
     owner = np.repeat(np.arange(len(split), dtype=np.int32), [len(ws) for ws in split])
     return [Stream(words, ids, owner, form) for form in (NAMED, PLAIN, VERBATIM)]
 
@@ -249,7 +253,8 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[list, list[bytes]]]:
 def _finder(lengths: list[int], k: int, least_words: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
-        bits = np.unpackbits(shared.value).view(bool)
+        packed, known = shared.value
+        bits = np.unpackbits(packed).view(bool)
         shift = np.uint64(64 - (len(bits).bit_length() - 1))
         for batch in batches:
             for ids, chunk in _chunks(batch):
@@ -259,6 +264,9 @@ def _finder(lengths: list[int], k: int, least_words: int, shared):
                     for size in lengths:
                         grams, good = s.windows(size)
                         at = np.flatnonzero(good & bits[grams >> shift])
+                        if known is not None:
+                            near = np.minimum(np.searchsorted(known, grams[at]), len(known) - 1)
+                            at = at[known[near] == grams[at]]
                         if s.form == VERBATIM and size < least_words:
                             # The windows of such items are whole texts.
                             alone = np.bincount(s.owner, minlength=len(chunk))[s.owner[at]] == size
@@ -299,7 +307,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     table = st.write(items.mapInArrow(_cut(window, least_words), ROW), "windows")
     n = table.count()
     lengths = [r["size"] for r in table.select("size").distinct().orderBy("size").collect()]  # at most ``window`` of them
-    shared = spark.sparkContext.broadcast(bitmap(table.select("gram"), n))
+    # The hashes themselves, where they may be broadcast, spare the join what the bitmap lets through.
+    known = np.sort(table.select("gram").distinct().toArrow()["gram"].to_numpy().view(np.uint64)) if 0 < n <= BROADCAST_WINDOWS else None
+    shared = spark.sparkContext.broadcast((bitmap(table.select("gram"), n), known))
     # The number of a row names it inside this job only; all that refers to it is in the one staged table.
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), row_key().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = rows.mapInArrow(_finder(lengths, window, least_words, shared), "uid long, row long, doc_id long, dform int, pos int, dgram long, found array<bigint>")
