@@ -14,20 +14,38 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set (tests)."""
+    """The cluster's shared checkpoint folder. Only a local session, whose tasks share the machine, may do without it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quillgraph-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+#: Folders of the tables this process has staged.
+_ROOTS: list[str] = []
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables staged so far; frames that still read them fail from here on."""
+    while _ROOTS:
+        _delete(spark, _ROOTS.pop())
+
+
 class Staging:
-    """Tables of one job, each under its own folder; ``drop`` removes those no longer read."""
+    """Tables of one job, each under its own folder; ``drop`` removes those no longer read, ``clear`` all of them."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        _ROOTS.append(self.root)
         self._n = 0
 
     def write(self, df: DataFrame, name: str = "t") -> DataFrame:
@@ -46,6 +64,4 @@ class Staging:
         for df in frames:
             path = getattr(df, "_staged_path", None)
             if path:
-                jvm = self.spark.sparkContext._jvm
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+                _delete(self.spark, path)
