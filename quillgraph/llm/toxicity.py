@@ -11,7 +11,7 @@ Scoring is one pass over the texts without a shuffle.
 
 Odd input: null and empty texts have no features and get the bias alone; ids without a label are only
 scored; a label row with a null label, or an id with both labels, is not fitted on; rows sharing a doc_id
-are scored each; a null doc_id is never held out; with no usable labels the score is 0 everywhere; extra
+are scored each, and the text that sorts first is fitted on; a null doc_id is never held out; with no usable labels the score is 0 everywhere; extra
 columns are ignored.
 """
 
@@ -57,6 +57,8 @@ class Machine:
     factors: np.ndarray
 
     def score(self, features: np.ndarray) -> float:
+        if self.bias == -np.inf:  # fitted on nothing
+            return 0.0
         if not len(features):
             z = self.bias
         else:
@@ -115,12 +117,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     """A machine from a bounded sample of labelled rows outside the held-out fold."""
     y = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.min("toxic").alias("lo"), F.max("toxic").alias("y")).where("lo = y")
     y = y.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", F.col("y").cast("double").alias("y"))
-    found = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(y), "doc_id")
+    found = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(y), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     got = found.select("text", "y").mapInArrow(_features, "x array<int>, y double").toArrow()
     rows = [np.asarray(x.values) for x in got["x"]]
     y = got["y"].to_numpy()
     order = sorted(range(len(rows)), key=lambda i: (rows[i].tobytes(), y[i]))  # tasks end in any order
-    return fit([rows[i] for i in order], y[order]) if rows else Machine(-30.0, np.zeros(1 << BITS, np.float32), np.zeros((1 << BITS, RANK), np.float32))
+    return fit([rows[i] for i in order], y[order]) if rows else Machine(-np.inf, np.zeros(1 << BITS, np.float32), np.zeros((1 << BITS, RANK), np.float32))
 
 
 def score_toxicity(docs: DataFrame, machine: Machine, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -1,12 +1,15 @@
 """URL filter by hashed host-suffix and path-prefix expressions, with DataFrame functions only.
 
-Each distinct URL is expanded into every suffix of its host at a dot, times every prefix of its path of a
-length that some rule has. Expressions meet the rules by an equi-join on the first four bytes of their
-SHA-256, the full digest confirms, and the longest fitting rule wins: by host, then by path. Where no rule
-fits, the further rules (of lower precedence, same form) are asked, and then the verdict is ``default``.
+Each distinct URL is expanded into the suffixes of its host at a dot that have no more labels than the longest
+rule, times every prefix of its path of a length that some rule has. Expressions meet the rules by an equi-join on
+the first four bytes of their SHA-256, the full digest confirms, and the longest fitting rule wins: by host, then by
+path. Where no rule fits, the further rules (of lower precedence, same form) are asked, and then the verdict is
+``default``. URLs that many pages share are judged once; their pages join the verdict by URL, the pages' side being
+the one that adaptive execution splits where a URL is frequent.
 
 Odd input: a null URL or one without ``://`` has an empty host and path and fits no rule; an empty rule list
-fits nothing; pages repeated in the input repeat in the result; extra columns pass through if named in ``keep``.
+fits nothing; pages repeated in the input repeat in the result; hosts of any number of labels cost time in
+proportion to their length; extra columns pass through if named in ``keep``, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.llm.columns import unused
+
 # The base rules, as (host, path, verdict).
 BASE_RULES = (
     ("net", "/", "block"),
@@ -21,11 +26,8 @@ BASE_RULES = (
     ("example.com", "/de/", "block"),
     ("org", "/fr/", "allow"),
 )
-# Further rules, asked only where no base rule fits.
-FURTHER_RULES = (
-    ("spam-farm.example.org", "", "block"),
-    ("cheap-pills.example.com", "", "block"),
-)
+# Further rules, asked only where no base rule fits: top-level domains for adult content and gambling.
+FURTHER_RULES = tuple((host, "", "block") for host in ("xxx", "porn", "adult", "sex", "sexy", "casino", "bet", "poker", "bingo"))
 #: Rules that may be broadcast (a digest and a short text each).
 BROADCAST_RULES = 1_000_000
 #: Rule path lengths as an expression; longer lists of lengths would repeat the URL too often.
@@ -58,11 +60,12 @@ def filter_urls(pages: DataFrame, rules=BASE_RULES, further=FURTHER_RULES, defau
     table = table.withColumn("rule_digest", digest).withColumn("short", F.substring("rule_digest", 1, 2 * PREFIX_BYTES))
     table = F.broadcast(table) if len(rows) <= BROADCAST_RULES else table
     lengths = sorted({len(r[1]) for r in rows})
+    most = max((r[0].count(".") + 1 for r in rows), default=1)
 
     host, path = host_and_path(F.col("u"))
     urls = pages.select(F.col(url).cast("string").alias("u")).where("u is not null").distinct().select("u", host.alias("host"), path.alias("path"))
     labels = F.split("host", "\\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    suffixes = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(most))), lambda i: F.array_join(F.slice(labels, -i, i), "."))
     prefixes = F.array_distinct(F.array(*[F.substring("path", 1, n) if n else F.lit("") for n in lengths] or [F.lit("")]))
     expanded = urls.withColumn("h", F.explode(suffixes)).withColumn("p", F.explode(prefixes))
     hashed = expanded.withColumn("digest", F.sha2(F.concat_ws("\n", "h", "p"), 256)).withColumn("short", F.substring("digest", 1, 2 * PREFIX_BYTES))
@@ -70,12 +73,14 @@ def filter_urls(pages: DataFrame, rules=BASE_RULES, further=FURTHER_RULES, defau
     best = fits.groupBy("u").agg(
         F.min_by(F.struct("rule_host", "rule_path", "rule_verdict", "rank"), F.struct("rank", -F.length("rule_host"), -F.length("rule_path"), "rule_host", "rule_path")).alias("b")
     )
-    out = pages.select(*keep, F.col(url).cast("string").alias("__url")).join(best, F.col("__url") == F.col("u"), "left")
-    host, path = host_and_path(F.col("__url"))
-    name = F.concat("b.rule_host", "b.rule_path")
+    at_url, u, b = unused([*keep], "at_url", "u", "b")
+    best = best.toDF(u, b)
+    out = pages.select(*keep, F.col(url).cast("string").alias(at_url)).join(best, F.col(at_url) == F.col(u), "left")
+    host, path = host_and_path(F.col(at_url))
+    name = F.concat(f"{b}.rule_host", f"{b}.rule_path")
     return out.select(
-        *keep, host.alias("host"), path.alias("path"), F.when(F.col("b.rank") == 0, name).alias("rule"),
-        F.coalesce("b.rule_verdict", F.lit(default)).alias("verdict"), F.when(F.col("b.rank") == 1, name).alias("further_rule"),
+        *keep, host.alias("host"), path.alias("path"), F.when(F.col(f"{b}.rank") == 0, name).alias("rule"),
+        F.coalesce(f"{b}.rule_verdict", F.lit(default)).alias("verdict"), F.when(F.col(f"{b}.rank") == 1, name).alias("further_rule"),
     )
 
 
