@@ -7,7 +7,8 @@ it again as the next one's input, so a lost executor costs at most a stage.
 Odd input, beside what the operators state: a null text is never toxic, boilerplate, a duplicate or a leak
 and stays up to the mix; a document that loses all its lines stays with an empty text; exact repeats of a row
 leave one row at the near-duplicate stage; extra columns stay, whatever their names. In the last stage a
-document of which nothing is taken (an empty one too) is not part of the mix and goes.
+document of which nothing is taken (an empty one too) is not part of the mix and goes; exact repeats of a row, of which
+the stage before leaves none, share evenly what the mix takes of them, less the remainder.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph.llm.columns import at, unused
 from quillgraph.llm.decontaminate import decontaminate
 from quillgraph.llm.lines import dedup_lines
 from quillgraph.llm.minhash import near_duplicates
@@ -36,10 +38,11 @@ def _key(docs: DataFrame) -> F.Column:
 
 def _without(docs: DataFrame, on: F.Column, dropped: DataFrame) -> DataFrame:
     """``docs`` without the rows whose ``on`` is in the one column of ``dropped``."""
-    dropped = Staging(docs.sparkSession, "dropped").write(dropped.toDF("__gone").distinct())
+    key, gone = unused(docs.columns, "key", "gone")
+    dropped = Staging(docs.sparkSession, "dropped").write(dropped.toDF(gone).distinct())
     few = dropped.count() <= BROADCAST_DROPPED
-    keyed = docs.withColumn("__key", on)
-    return keyed.join(F.broadcast(dropped) if few else dropped, F.col("__key") == F.col("__gone"), "left_anti").drop("__key")
+    keyed = docs.withColumn(key, on)
+    return keyed.join(F.broadcast(dropped) if few else dropped, F.col(key) == F.col(gone), "left_anti").select(*[at(docs, c) for c in docs.columns])
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +51,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = dedup_lines(docs)
-    return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*docs.columns) if "n_chars" in docs.columns else out
+    counted = F.length("text").cast(dict(docs.dtypes).get("n_chars", "long"))
+    return out.select(*[counted.alias(c) if c == "n_chars" else at(out, c) for c in out.columns])
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,14 +68,16 @@ def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: its documents' columns and size, source_size, target and taken."""
-    plan = mix(docs.withColumn("__key", _key(docs)), carry=("__key",)).where("taken > 0")
-    plan = plan.select(F.col("__key").alias("__mixed"), *[F.col(c).alias(f"__{c}") for c in ("size", "source_size", "target", "taken")])
-    # Rows with one key are equal in id and text, so any of their plans will do for each; none is lost.
-    plan = plan.groupBy("__mixed").agg(*[F.max(f"__{c}").alias(f"__{c}") for c in ("size", "source_size", "target", "taken")])
-    keyed = docs.withColumn("__key", _key(docs))
-    out = keyed.join(plan, F.col("__key") == F.col("__mixed"))
-    named = {c: c if c not in docs.columns else f"mix_{c}" for c in ("size", "source_size", "target", "taken")}
-    return out.select(*[docs[c] for c in docs.columns], *[F.col(f"__{c}").alias(name) for c, name in named.items()])
+    figures = ("size", "source_size", "target", "taken")
+    of_row = F.xxhash64(_key(docs), docs["source"].cast("string"))
+    slim = docs.select("doc_id", "source", "text", of_row.alias("row_key"))
+    plan = mix(slim, carry=("row_key",)).groupBy("row_key").agg(F.floor(F.avg("taken")).cast("long").alias("taken"), *[F.max(c).alias(c) for c in figures[:3]]).where("taken > 0")
+    key, mixed_key, *inner = unused(docs.columns, "key", "mixed_key", *(f"the_{c}" for c in figures))
+    plan = plan.select(F.col("row_key").alias(mixed_key), *[F.col(c).alias(i) for c, i in zip(figures, inner, strict=True)])
+    out = docs.withColumn(key, of_row).join(plan, F.col(key) == F.col(mixed_key))
+    taken_names = {c.lower() for c in docs.columns}
+    named = [c if c not in taken_names else f"mix_{c}" for c in figures]
+    return out.select(*[at(docs, c) for c in docs.columns], *[F.col(i).alias(name) for i, name in zip(inner, named, strict=True)])
 
 
 STAGES = [
