@@ -7,10 +7,13 @@ the other. Everyone who meets is compared by cosine in double precision. A pair
 counts once, at its first common cell, which each side can tell from the cells both carry; so links are
 counted inside the block and never written out as pairs, and a block returns one row per vector.
 
-The scale follows the number of distinct vectors, so that a cell's expected content stays put; the number
-of tables is then set from the measured rate at which two vectors right at the threshold meet.
+The scale grows with the eighth root of the number of distinct vectors (a cell's volume with its inverse), so that
+what unrelated vectors a cell holds stays put; the number of probes and of tables is then set from the measured rate
+at which two vectors right at the threshold meet, so that a vector has as few keys as will do.
 
-Equal vectors are one class with a multiplicity. Cells with many members are dealt out as block pairs.
+Only keys and ids are shuffled to find the cells with two members or more; vectors are fetched for those alone. Equal
+vectors are one class with a multiplicity; classes of many rows meet their rows by broadcast. Cells with many members
+are dealt out as block pairs: m mutually near vectors in one cell are compared in (m / BLOCK)^2 / 2 blocks.
 
 Odd input: vectors that are null, empty, all zero, or hold null or non-finite components link with nothing
 (n_links 0, component_id their own id, kept true); vectors of unequal length never meet; each row counts
@@ -33,7 +36,10 @@ from quillgraph.llm.words import scramble
 from quillgraph.operators.components import connected_components
 from quillgraph.plans.staging import Staging
 
-PROBES = 2
+#: Cells of a table in which a vector stands: the home and its nearest neighbours.
+PROBES = (2, 4, 8, 16)
+#: Rows of an equal-vector class from which it is matched by broadcast, and how many classes may be.
+HEAVY, BROADCAST_CLASSES = 10_000, 2_000_000
 #: Members of a cell per block.
 BLOCK = 4096
 #: Cells with more members than a block: this many may be broadcast (16 bytes each).
@@ -67,7 +73,7 @@ def decode(x: np.ndarray) -> np.ndarray:
 class Tables:
     """Cell keys of unit vectors of one length in all tables."""
 
-    def __init__(self, dim: int, tables: int, scale: float, seed: int, probes: int = PROBES):
+    def __init__(self, dim: int, tables: int, scale: float, seed: int, probes: int = 2):
         rng = np.random.default_rng([seed, dim])
         self.maps = []
         for _ in range(tables):
@@ -100,21 +106,26 @@ def meets(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, :1] == b).any(axis=2) | (b[:, :, :1] == a).any(axis=2)
 
 
-def table_plan(threshold: float, n: int, miss: float = 1e-4, seed: int = 5) -> tuple[int, float]:
-    """(tables, scale): the scale from the number of vectors, the tables from the measured meeting rate."""
-    scale = 4.0 * max(1.0, n / 50_000) ** (1 / 16)
+def table_plan(threshold: float, n: int, miss: float = 1e-4, seed: int = 5) -> tuple[int, float, int]:
+    """(tables, scale, probes): the scale from the number of vectors, the rest from measured meeting rates."""
+    scale = 4.0 * max(1.0, n / 50_000) ** (1 / 8)
     rng = np.random.default_rng(seed)
     u = rng.normal(size=(2000, 64))
     v = rng.normal(size=(2000, 64))
     u /= np.linalg.norm(u, axis=1)[:, None]
     v -= (u * v).sum(axis=1)[:, None] * u
     v /= np.linalg.norm(v, axis=1)[:, None]
-    some = Tables(64, 4, scale, seed)
-    rate = meets(some.keys(u), some.keys(threshold * u + math.sqrt(1 - threshold**2) * v)).mean()
-    return math.ceil(math.log(miss) / math.log(1 - rate)), scale
+    plans = []
+    for probes in PROBES:
+        some = Tables(64, 4, scale, seed, probes)
+        rate = meets(some.keys(u), some.keys(threshold * u + math.sqrt(1 - threshold**2) * v)).mean()
+        tables = math.ceil(math.log(miss) / math.log(1 - min(max(rate, 1e-3), 1 - 1e-9)))
+        plans.append((tables * probes, tables, probes))
+    _, tables, probes = min(plans)
+    return tables, scale, probes
 
 
-def _cells(tables: int, scale: float, seed: int):
+def _cells(tables: int, scale: float, probes: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, Tables] = {}
         for batch in batches:
@@ -122,15 +133,15 @@ def _cells(tables: int, scale: float, seed: int):
             lengths = np.array([len(x) for x in flat], np.int64) if len(flat) else np.zeros(0, np.int64)
             values = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             ends = np.cumsum(lengths)
-            keys = np.empty((len(lengths), tables * PROBES), np.int64)
+            keys = np.empty((len(lengths), tables * probes), np.int64)
             for dim in np.unique(lengths):
                 rows = np.flatnonzero(lengths == dim)
                 x = values[(ends[rows] - dim)[:, None] + np.arange(dim)]
                 # Scaled by the largest component first, so that no square over- or underflows.
                 x = x / np.abs(x).max(axis=1)[:, None]
-                t = made.setdefault(int(dim), Tables(int(dim), tables, scale, seed))
+                t = made.setdefault(int(dim), Tables(int(dim), tables, scale, seed, probes))
                 keys[rows] = t.keys(x / np.linalg.norm(x, axis=1)[:, None]).reshape(len(rows), -1)
-            nested = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, tables * PROBES), pa.int32()), pa.array(keys.ravel()))
+            nested = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, tables * probes), pa.int32()), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), nested], ["id", "mult", "vec", "keys"])
 
     return run
@@ -150,7 +161,7 @@ def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
-def _compare(threshold: float, tables: int):
+def _compare(threshold: float, tables: int, probes: int):
     def block(key: int, own: int, ids, mult, part, unit, keys):
         """(ids, links, roots) of the members of one block that have links there."""
         order = np.argsort(ids, kind="stable")
@@ -191,7 +202,7 @@ def _compare(threshold: float, tables: int):
         return (
             *(batch.column(c).to_numpy(zero_copy_only=False) for c in range(6)), lengths,
             np.split(flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.cumsum(lengths)[:-1]) if len(lengths) else [],
-            batch.column(7).flatten().to_numpy(zero_copy_only=False).reshape(len(lengths), tables, PROBES),
+            batch.column(7).flatten().to_numpy(zero_copy_only=False).reshape(len(lengths), tables, probes),
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,23 +263,45 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, miss: float = 1e-4
     classes = st.write(
         keyed.where("h1 is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("mult"), F.min_by("embedding", "vec_id").alias("vec")), "classes"
     )
-    tables, scale = table_plan(threshold, classes.count(), miss)
-    cells = st.write(classes.select("id", "mult", "vec").mapInArrow(_cells(tables, scale, seed), f"id long, mult long, vec {dict(classes.dtypes)['vec']}, keys array<bigint>"), "cells")
-    at = cells.select("id", "mult", "vec", "keys", F.explode(F.array_distinct("keys")).alias("key"))
-    crowded = st.write(at.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > BLOCK).select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts")), "crowded")
-    crowded = F.broadcast(crowded) if crowded.count() <= BROADCAST_CELLS else crowded
-    dealt = at.join(crowded, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    tables, scale, probes = table_plan(threshold, classes.count(), miss)
+    cells = st.write(classes.select("id", "mult", "vec").mapInArrow(_cells(tables, scale, probes, seed), f"id long, mult long, vec {dict(classes.dtypes)['vec']}, keys array<bigint>"), "cells")
+    # Cells of two members or more, and of how many blocks.
+    places = st.write(cells.select("id", F.explode(F.array_distinct("keys")).alias("key")), "places")
+    shared = places.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts"))
+    crowded = st.write(shared.where("parts > 1"), "crowded")
+    crowded_ = F.broadcast(crowded) if crowded.count() <= BROADCAST_CELLS else crowded
+    # What stands in a crowded cell joins it by broadcast, so that no task gets such a cell whole.
+    few = places.join(crowded_, "key", "left_anti").join(shared.where("parts = 1"), "key")
+    at = few.select("id", "key", "parts").unionByName(places.join(crowded_, "key").select("id", "key", "parts"))
+    at = at.groupBy("id").agg(F.collect_list(F.struct("key", "parts")).alias("at"))  # at most tables * probes entries
+    dealt = at.join(cells, "id").select("id", "mult", "vec", "keys", F.inline("at"))
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     blocks = dealt.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "mult", "vec", "keys")
-    found = blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_compare(threshold, tables), "id long, links long, root long")
+    found = blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_compare(threshold, tables, probes), "id long, links long, root long")
     found = st.write(found, "found")
-
+    st.drop(places)
+
+    # Rows and their classes; a class's smallest vec_id stands for it, so components are those of the classes.
+    ids = classes.select("h1", "h2", "id", "mult")
+    heavy = st.write(ids.where(F.col("mult") >= HEAVY), "heavy")
+    heavy_ = F.broadcast(heavy) if heavy.count() <= BROADCAST_CLASSES else heavy
+    good_rows = keyed.where("h1 is not null").select("vec_id", "h1", "h2")
+    many = good_rows.join(heavy_, ["h1", "h2"]).select("vec_id", "id", "mult")
+    rest = good_rows.join(heavy_, ["h1", "h2"], "left_anti").join(ids.where(F.col("mult") < HEAVY), ["h1", "h2"]).select("vec_id", "id", "mult")
+    own = st.write(many.unionByName(rest), "own")
+    # Rows that share a vec_id are one node, so their classes are linked.
+    twice = own.groupBy("vec_id").agg(F.min("id").alias("lo"), F.collect_set("id").alias("all")).where(F.size("all") > 1)
+    edges = found.where("id <> root").select(F.col("id").alias("src"), F.col("root").alias("dst")).union(twice.select("lo", F.explode("all")))
+    comp = connected_components(edges, st)
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    own = keyed.where("h1 is not null").select("vec_id", "h1", "h2").join(classes.select("h1", "h2", "id", "mult"), ["h1", "h2"])
-    own = st.write(own.select("vec_id", "id", "mult", "h1", "h2"), "own")
-    edges = found.where("id <> root").select(F.col("id").alias("src"), F.col("root").alias("dst"))
-    comp = connected_components(edges.union(own.where("vec_id <> id").select(F.col("vec_id").alias("src"), F.col("id").alias("dst"))), st)
-    counted = own.join(links, "id", "left").select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"))
+    state = st.write(links.join(comp, links["id"] == comp["node"], "full").select(F.coalesce("id", "node").alias("id"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "id").alias("component")), "state")
+    of_heavy = state.join(heavy_.select("id"), "id", "left_semi")
+    of_heavy = F.broadcast(of_heavy) if heavy.count() <= BROADCAST_CLASSES else of_heavy
+    known = own.where(F.col("mult") >= HEAVY).join(of_heavy, "id", "left").unionByName(own.where(F.col("mult") < HEAVY).join(state, "id", "left"))
+    good_out = known.select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     bad = keyed.where("h1 is null").select("vec_id", F.lit(0).cast("long").alias("n_links"))
-    out = counted.union(bad).join(comp, F.col("vec_id") == F.col("node"), "left").withColumn("component_id", F.coalesce("component", "vec_id"))
+    # A bad row whose vec_id stands on good rows too belongs to their component.
+    twins = own.join(bad.select("vec_id").distinct(), "vec_id", "left_semi").select("vec_id", "id").join(state, "id", "left").groupBy("vec_id").agg(F.min(F.coalesce("component", "id")).alias("component_id"))
+    bad_out = bad.join(twins, "vec_id", "left").select("vec_id", "n_links", F.coalesce("component_id", "vec_id").alias("component_id"))
+    out = good_out.unionByName(bad_out)
     return out.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -113,6 +113,36 @@ def test_lattice_splits_crowded_cells(spark, monkeypatch):
     assert {(r.n_links, r.component_id) for r in got} == {(59, 0)}
 
 
+@pytest.mark.parametrize("dim", [8, 64, 384])
+def test_lattice_recall_at_the_threshold(spark, dim, monkeypatch):
+    monkeypatch.setattr(lattice, "HEAVY", 3)
+    r = np.random.default_rng(dim)
+    u = r.normal(size=(1500, dim))
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    w = r.normal(size=u.shape)
+    w -= (w * u).sum(axis=1)[:, None] * u
+    w /= np.linalg.norm(w, axis=1)[:, None]
+    x = np.concatenate([u, 0.9505 * u + math.sqrt(1 - 0.9505**2) * w, u[:2].repeat(4, axis=0)]).astype(np.float32)
+    y = x.astype(np.float64)
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    degree = (y @ y.T >= 0.95).sum(axis=1) - 1
+    got = {v.vec_id: v.n_links for v in lattice.near_vectors(vectors(spark, [(i, v.tolist(), 0, 0) for i, v in enumerate(x)])).collect()}
+    assert all(got[i] <= degree[i] for i in got) and sum(got.values()) >= 0.995 * degree.sum()
+
+
+def test_lattice_plan_at_scale():
+    """Unrelated vectors that share a cell grow far slower than the table: measured on random pairs."""
+    r = np.random.default_rng(6)
+    u, v = (x / np.linalg.norm(x, axis=1)[:, None] for x in (r.normal(size=(4000, 64)), r.normal(size=(4000, 64))))
+    met, keys = {}, {}
+    for n in (50_000, 5_000_000):
+        tables, scale, probes = lattice.table_plan(0.95, n)
+        t = lattice.Tables(64, tables, scale, 3, probes)
+        met[n], keys[n] = n * lattice.meets(t.keys(u), t.keys(v)).any(axis=1).mean(), tables * probes
+    print(met, keys)
+    assert met[5_000_000] < 10 * met[50_000] and keys[5_000_000] < 20 * keys[50_000]
+
+
 def test_decoder_finds_the_nearest_point():
     x = np.random.default_rng(2).normal(size=(300, 8)) * 2
     c = lattice.decode(x)
