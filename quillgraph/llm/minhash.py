@@ -6,9 +6,10 @@ The plan, with only ids and hashes moving through shuffles until pairs are to be
    keys and an 8-bit signature. Documents with equal sets form a class; its smallest id stands for it.
 2. Each band bucket links its members to its smallest id (a star, never all pairs). Stars whose
    signatures agree enough are confirmed on the full shingle sets; confirmed links give components.
-3. A bucket may still hold several components. Those documents are compared exactly, component
-   against component, in blocks of bounded size; a block returns at most one link per document and
-   component, so a group's pairs are never written out.
+3. A bucket of three or more may still hold several components. Inside it, the documents outside its largest
+   component are held against all, first by signature, then, those that have a likely partner of another component,
+   on the full sets; both in blocks of bounded size, each pair only in the first bucket it shares. A block returns
+   at most one link per document and component, so a group's pairs are never written out.
 4. Components by alternating large-star and small-star, then back to every document of each class.
 
 Handling of odd input (all cases give a row per input row): null or blank text has an empty set and
@@ -27,14 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.words import WordHashes, rolling, scramble, shingle_set, slices, texts
+from quillgraph.llm.words import WordHashes, runs, scramble, shingle_set, slices, texts
 from quillgraph.operators.components import connected_components
 from quillgraph.plans.staging import Staging
 
 #: Ids up to this many (8 bytes each) may be broadcast; beyond it they join by shuffle.
 BROADCAST_IDS = 4_000_000
-#: Shingles a block of the exact comparison holds, about.
-BLOCK_SHINGLES, BLOCK_STRAYS = 1_000_000, 250_000
+#: Documents of a bucket that a block holds, and those outside its largest component; shingles of either.
+BLOCK_MEMBERS, BLOCK_STRAYS, BLOCK_SHINGLES = 2048, 512, 1_000_000
 
 
 def band_plan(threshold: float, miss: float = 1e-5) -> tuple[int, int]:
@@ -132,28 +133,66 @@ def _similar_signatures(least: float):
     return run
 
 
-def _block_links(num: int, den: int):
+def _likely(least: float):
+    """(band, bucket, id) of the documents with a likely partner of another component, by signature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts, ends in runs(batches, 4):
+            band, bucket, ids, labels, lead, stray = (table[c].to_numpy() for c in ("band", "bucket", "id", "label", "lead", "stray"))
+            sigs = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(len(ids), -1)
+            keys = table["bands"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+            wanted = np.zeros(len(ids), bool)
+            for lo, hi in zip(starts, ends, strict=True):
+                members = lo + np.flatnonzero(~stray[lo:hi])
+                for i in (lo + np.flatnonzero(stray[lo:hi])).tolist():
+                    # Pairs with the bucket's lead are known from the stars.
+                    if ids[i] == lead[i]:
+                        continue
+                    at = members[(labels[members] != labels[i]) & (ids[members] != lead[i])]
+                    if len(at):
+                        hit = (sigs[at] == sigs[i]).mean(axis=1) >= least
+                        hit &= (keys[at] == keys[i]).argmax(axis=1) == band[i]
+                        wanted[at[hit]] = True
+                        wanted[i] |= hit.any()
+            some = np.flatnonzero(wanted)
+            yield pa.RecordBatch.from_arrays([pa.array(band[some], pa.int32()), pa.array(bucket[some], pa.int64()), pa.array(ids[some], pa.int64())], ["band", "bucket", "id"])
+
+    return run
+
+
+def _links_of(ids: np.ndarray, labels: np.ndarray, stray: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> tuple[list, list]:
     """Links of one block's strays with its members of other components, one per stray and component."""
+    src, dst = [], []
+    members, strays = np.flatnonzero(~stray), np.flatnonzero(stray)
+    if len(members) and len(strays):
+        size = np.array([len(s) for s in sets])
+        every, codes = np.unique(np.concatenate([sets[i] for i in members]), return_inverse=True)
+        starts = np.concatenate([[0], np.cumsum(size[members])[:-1]])
+        for i in strays:
+            at = np.minimum(np.searchsorted(every, sets[i]), len(every) - 1)
+            mark = np.zeros(len(every), np.int32)
+            mark[at[every[at] == sets[i]]] = 1
+            both = np.add.reduceat(mark[codes], starts)
+            hit = members[(den * both >= num * (size[i] + size[members] - both)) & (labels[members] != labels[i])]
+            _, first = np.unique(labels[hit], return_index=True)
+            src += [ids[i]] * len(first)
+            dst += ids[hit[first]].tolist()
+    return src, dst
+
 
-    def run(table: pa.Table) -> pa.Table:
-        ids, labels, stray = (table[c].to_numpy() for c in ("id", "label", "stray"))
-        sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
-        src, dst = [], []
-        members, strays = np.flatnonzero(~stray), np.flatnonzero(stray)
-        if len(members) and len(strays):
-            size = np.array([len(s) for s in sets])
-            every, codes = np.unique(np.concatenate([sets[i] for i in members]), return_inverse=True)
-            starts = np.concatenate([[0], np.cumsum(size[members])[:-1]])
-            for i in strays:
-                at = np.minimum(np.searchsorted(every, sets[i]), len(every) - 1)
-                mark = np.zeros(len(every), np.int32)
-                mark[at[every[at] == sets[i]]] = 1
-                both = np.add.reduceat(mark[codes], starts)
-                hit = members[(den * both >= num * (size[i] + size[members] - both)) & (labels[members] != labels[i])]
-                _, first = np.unique(labels[hit], return_index=True)
-                src += [ids[i]] * len(first)
-                dst += ids[hit[first]].tolist()
-        return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
+def _block_links(num: int, den: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts, ends in runs(batches, 4):
+            ids, labels, stray = (table[c].to_numpy() for c in ("id", "label", "stray"))
+            held = table["shingles"]
+            src, dst = [], []
+            for lo, hi in zip(starts, ends, strict=True):
+                if hi - lo > 1:
+                    sets = [np.frombuffer(x, np.uint64) for x in held.slice(lo, hi - lo).to_pylist()]
+                    a, b = _links_of(ids[lo:hi], labels[lo:hi], stray[lo:hi], sets, num, den)
+                    src += a
+                    dst += b
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
     return run
 
@@ -181,7 +220,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     stars = members.where("id <> lead").select(F.col("lead").alias("src"), F.col("id").alias("dst")).distinct()
     t = num / den
     floor = max(0.0, t - 5 * math.sqrt(t * (1 - t) / (bands * rows)))
-    sig = reps.select("doc_id", "sig").dropDuplicates(["doc_id"])
+    sig = reps.select("doc_id", "sig", "bands").dropDuplicates(["doc_id", "sig"])
     pairs = stars.join(sig.select(F.col("doc_id").alias("dst"), F.col("sig").alias("b")), "dst").join(sig.select(F.col("doc_id").alias("src"), F.col("sig").alias("a")), "src")
     pairs = st.write(pairs.select("src", "dst", "a", "b").mapInArrow(_similar_signatures(floor), "src long, dst long"), "pairs")
     ids = st.write(pairs.select(F.col("src").alias("id")).union(pairs.select(F.col("dst").alias("id"))).distinct(), "ids")
@@ -193,12 +232,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     same = rep_of.where("id <> rep").select(F.col("id").alias("src"), F.col("rep").alias("dst"))
     comp = st.write(connected_components(links.union(same), st), "comp")
 
-    # 3. buckets that still hold several components.
+    # 3. buckets that still hold several components, and pairs without their lead.
     labelled = members.join(comp, members.id == comp.node, "left").select("band", "bucket", "id", "lead", F.coalesce("component", "id").alias("label"))
-    mixed = labelled.groupBy("band", "bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").drop("lo", "hi")
-    open_ = st.write(labelled.join(mixed, ["band", "bucket"]).select("id", "lead", "label").distinct(), "open")
+    mixed = labelled.groupBy("band", "bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi and n > 2").select("band", "bucket")
+    open_ = st.write(labelled.join(mixed, ["band", "bucket"]).distinct(), "open")
     if not open_.isEmpty():
-        more = _across(docs, st, open_, signed, k, num, den)
+        more = _across(docs, st, open_, live, sig, k, num, den, floor)
         comp = connected_components(links.union(same).union(more), st)
 
     out = signed.select("doc_id", "n_shingles").join(comp, signed.doc_id == comp.node, "left")
@@ -208,19 +247,33 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     )
 
 
-def _across(docs: DataFrame, st: Staging, open_: DataFrame, signed: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Links between components that share a bucket, found by exact comparison in bounded blocks."""
-    group = connected_components(open_.select(F.col("id").alias("src"), F.col("lead").alias("dst")).where("src <> dst"), st)
-    sizes = signed.groupBy(F.col("doc_id").alias("id")).agg(F.max("n_shingles").alias("n"))
-    nodes = open_.select("id", "label").distinct().join(group, F.col("id") == F.col("node")).join(sizes, "id").select("id", "label", F.col("component").alias("g"), "n")
-    nodes = st.write(nodes, "nodes")
-    counts = nodes.groupBy("g", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"))
-    main = counts.groupBy("g").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.max_by("n", F.struct("c", "label")).alias("n_main"), F.sum("n").alias("n_all"))
-    plan = main.select("g", "main", F.ceil(F.col("n_all") / BLOCK_SHINGLES).cast("int").alias("parts"), F.greatest(F.lit(1), F.ceil((F.col("n_all") - F.col("n_main")) / BLOCK_STRAYS)).cast("int").alias("cuts"))
-    sets = shingle_sets(docs, nodes.select("id"), nodes.count(), k)
-    full = nodes.join(plan, "g").join(sets, "id")
-    slot = F.xxhash64("id", "g")
-    every = F.sequence(F.lit(0), F.col("cuts") - 1)
-    members = full.select("g", F.explode(every).alias("cut"), F.pmod(slot, F.col("parts")).cast("int").alias("part"), "id", "label", F.lit(False).alias("stray"), "shingles")
-    strays = full.where("label <> main").select("g", F.pmod(slot, F.col("cuts")).cast("int").alias("cut"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", "label", F.lit(True).alias("stray"), "shingles")
-    return st.write(members.union(strays).groupBy("g", "cut", "part").applyInArrow(_block_links(num, den), "src long, dst long"), "across")
+def _blocks(rows: DataFrame, size: str | None) -> DataFrame:
+    """(band, bucket, cut, part, stray, columns of ``rows``): each bucket's members, and those outside its largest
+    component, dealt out so that each of these meets each of those in one block."""
+    own = ["band", "bucket"]
+    of = rows.groupBy(*own, "label").agg(F.count(F.lit(1)).alias("c"), (F.sum(size) if size else F.lit(0)).alias("n"))
+    plan = of.groupBy(*own).agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.max(F.struct("c", "label", "n")).alias("top"), F.sum("c").alias("c"), F.sum("n").alias("n"))
+    parts = lambda c, n, most: F.greatest(F.lit(1), F.ceil(c / most), F.ceil(n / BLOCK_SHINGLES)).cast("int")
+    plan = plan.select(*own, "main", parts(F.col("c"), F.col("n"), BLOCK_MEMBERS).alias("parts"), parts(F.col("c") - F.col("top.c"), F.col("n") - F.col("top.n"), BLOCK_STRAYS).alias("cuts"))
+    full = rows.join(plan, own)
+    slot = F.xxhash64("id", "bucket")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    rest = [c for c in rows.columns if c not in own]
+    members = full.select(*own, every("cuts").alias("cut"), F.pmod(slot, F.col("parts")).cast("int").alias("part"), F.lit(False).alias("stray"), *rest)
+    strays = full.where("label <> main").select(*own, F.pmod(slot, F.col("cuts")).cast("int").alias("cut"), every("parts").alias("part"), F.lit(True).alias("stray"), *rest)
+    return members.unionByName(strays)
+
+
+def _across(docs: DataFrame, st: Staging, open_: DataFrame, live: DataFrame, sig: DataFrame, k: int, num: int, den: int, floor: float) -> DataFrame:
+    """Links between components inside the buckets ``open_``."""
+    signed = open_.join(sig.withColumnRenamed("doc_id", "id"), "id").select("band", "bucket", "id", "label", "lead", "sig", "bands")
+    keys = ["band", "bucket", "cut", "part"]
+    dealt = _blocks(signed, None).select(*keys, "stray", "id", "label", "lead", "sig", "bands").repartition(*keys).sortWithinPartitions(*keys)
+    likely = dealt.mapInArrow(_likely(floor), "band int, bucket long, id long")
+    likely = st.write(likely.distinct(), "likely")
+    sizes = live.groupBy(F.col("doc_id").alias("id")).agg(F.max("n_shingles").alias("n"))
+    wanted = st.write(open_.drop("lead").join(likely, ["band", "bucket", "id"]).join(sizes, "id"), "wanted")
+    ids = wanted.select("id").distinct()
+    dealt = _blocks(wanted, "n").join(shingle_sets(docs, ids, ids.count(), k), "id")
+    dealt = dealt.select(*keys, "stray", "id", "label", "shingles").repartition(*keys).sortWithinPartitions(*keys)
+    return st.write(dealt.mapInArrow(_block_links(num, den), "src long, dst long"), "across")

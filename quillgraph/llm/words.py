@@ -58,6 +58,40 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """(table, starts, ends): rows sorted by their first ``keys`` integer columns, cut so that no run of equal keys is
+    torn; a run is held whole, so callers bound their number of rows."""
+    held: list[pa.RecordBatch] = []
+
+    def cut(parts: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+        table = pa.Table.from_batches(parts).combine_chunks()
+        changes = np.zeros(table.num_rows, bool)
+        changes[:1] = True
+        for c in range(keys):
+            changes[1:] |= np.diff(table.column(c).to_numpy()) != 0
+        starts = np.flatnonzero(changes)
+        return table, starts, np.append(starts[1:], table.num_rows)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(keys)]
+        before = [held[-1].column(c)[held[-1].num_rows - 1].as_py() for c in range(keys)] if held else None
+        new = np.zeros(batch.num_rows, bool)
+        for c in range(keys):
+            new[1:] |= np.diff(columns[c]) != 0
+            new[0] |= before is not None and columns[c][0] != before[c]
+        at = np.flatnonzero(new)
+        last = int(at[-1]) if len(at) else 0  # where the last run of this batch begins
+        if len(at):
+            done = [*held, batch.slice(0, last)] if last else held
+            yield cut(done)
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield cut(held)
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

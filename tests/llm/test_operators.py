@@ -343,3 +343,15 @@ def test_urls(spark):
         fit = max((r for r in rules if (host == r[0] or host.endswith("." + r[0])) and path.startswith(r[1])), key=lambda r: len(r[0] + r[1]), default=None)
         assert got[i] == (host, path, fit and fit[0] + fit[1], fit[2] if fit else "block" if host.endswith(".casino") else "allow")
     assert urls.filter_urls(d.limit(0)).count() == 0 and urls.filter_urls(d, rules=(), further=()).where("rule is not null").count() == 0
+
+
+def test_minhash_blocks_of_one_bucket(spark, monkeypatch):
+    """Loose families, in which no star reaches every link, with blocks of a few documents."""
+    for name, n in (("BLOCK_MEMBERS", 5), ("BLOCK_STRAYS", 3), ("BLOCK_SHINGLES", 900)):
+        monkeypatch.setattr(minhash, name, n)
+    texts = family(words(150, 61), 70, 8, 62) + family(words(80, 63), 50, 5, 64)
+    d = docs(spark, texts)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(d, 3, 85).collect()}
+    s = [shingles(t, 3) for t in texts]
+    linked = [(i, j) for i in range(len(s)) for j in range(i) if 100 * len(s[i] & s[j]) >= 85 * len(s[i] | s[j])]
+    assert got == components(range(len(s)), linked) and 5 < len(set(got.values())) < len(texts)
