@@ -99,21 +99,6 @@ def apply_merges(edges: DataFrame, merges: DataFrame, keys: tuple[str, ...] = ("
     return e.where("source <> target").groupBy("source", "target", *keys).agg(F.count(F.lit(1)).alias("seen"))
 
 
-GENERATIONS = ("jr", "sr", "ii", "iii", "iv")
-
-
-def name_facts(a: Column, b: Column, kind: Column) -> Column:
-    """full, first_last or initials (every initial agrees, three words or more); null where generations differ."""
-    split = lambda c: F.filter(F.split(F.lower(F.regexp_replace(c, r"\(.*?\)|[.,]", " ")), r"\s+"), lambda w: w != "")
-    names = lambda c: F.filter(split(c), lambda w: ~w.isin(*GENERATIONS))
-    generation = lambda c: F.array_sort(F.array_distinct(F.filter(split(c), lambda w: w.isin(*GENERATIONS))))
-    firsts = lambda c: F.transform(F.slice(names(c), F.lit(1), F.greatest(F.size(names(c)) - 1, F.lit(0))), lambda w: F.substring(w, 1, 1))
-    one = generation(a) == generation(b)
-    clash = (F.size(generation(a)) > 0) & (F.size(generation(b)) > 0) & ~one
-    initials = (kind == "initial") & one & (F.size(names(a)) >= 3) & (F.size(names(b)) >= 3) & (firsts(a) == firsts(b))
-    return F.when(clash, None).when(kind.isin("full", "first_last"), kind).when(initials, "initials")
-
-
 def _shared_orgs(pairs: DataFrame, ties: DataFrame) -> DataFrame:
     t = ties.select("person", "org").distinct()
     a = pairs.join(t.withColumnRenamed("person", "a"), "a").join(t.withColumnRenamed("person", "b"), ["b", "org"])
@@ -127,12 +112,11 @@ def same_person(people: DataFrame, ties: DataFrame, listed: DataFrame | None = N
     Equal official ids: no row; different ones: held, and only if they share an organisation. Otherwise a shared
     organisation or a listing merges, where initials alone need the organisation; the rest is held. ``keep`` is the official record, else
     the longer name, else the smaller id. A record takes part in one merge: the first by (keep, other) of either."""
-    found = match_people(people.select("id", "name"), people.select("id", "name")).where("left_id < right_id").select(F.col("left_id").alias("a"), F.col("right_id").alias("b"), "kind")
+    found = match_people(people.select("id", "name"), people.select("id", "name"), facts=True).where("left_id < right_id").select(F.col("left_id").alias("a"), F.col("right_id").alias("b"), "kind")
     official = lambda c: F.map_filter(F.coalesce(c, F.create_map().cast("map<string,string>")), lambda k, v: k.isin(*OFFICIAL) & (v != ""))
     facts = people.select("id", "name", F.length("name").alias("long"), F.array_join(F.array_sort(F.transform(F.map_entries(official(F.col("ids"))), lambda x: F.concat_ws(":", x["key"], x["value"]))), ",").alias("off"))
     for end in ("a", "b"):
         found = found.join(facts.withColumnsRenamed({"id": end, "name": f"name_{end}", "long": f"long_{end}", "off": f"off_{end}"}), end)
-    found = found.withColumn("kind", name_facts(F.col("name_a"), F.col("name_b"), F.col("kind"))).where("kind is not null")
     found = found.join(_shared_orgs(found.select("a", "b"), ties), ["a", "b"], "left")
     found = found.join(listed.select("a", "b", F.lit(True).alias("listing")), ["a", "b"], "left") if listed is not None else found.withColumn("listing", F.lit(None).cast("boolean"))
     both, one = (F.col("off_a") != "") & (F.col("off_b") != ""), (F.col("off_a") != "") != (F.col("off_b") != "")

@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from quillgraph.functions import scalars
-from quillgraph.functions.names import match_names
+from quillgraph.functions.names import agreement, evidence, parsed
 from quillgraph.functions.weights import conflict_weight
 from quillgraph.operators import integrity, records, textlint
 from quillgraph.sources import markdown
@@ -26,11 +26,20 @@ def test_identifier_preference_and_weights(spark):
     assert [r[0] for r in w.collect()] == [1.0, 0.5, 0.0, 0.72, 0.2, 0.3]
 
 
-def test_names():
-    assert match_names("Margaret (Margo) H. Georgiadis", "Margo Georgiadis") == "first_last"
-    assert match_names("John A. Doe", "John A Doe") == "full" and match_names("John A. Doe", "John B. Doe") is None
-    assert match_names("Chris Smith", "Brenda Smith") is None and match_names("Prince", None) is None
-    assert match_names("Bret Jones", "Brenda Jones") is None and match_names("S Catz", "Safra Catz") == "initial"
+NAME_PAIRS = [
+    ("Dorothea (Dot) Q. Marlowe", "Dot Marlowe", "first_last", "first_last"), ("Ivo A. Brandt", "Ivo A Brandt", "full", "full"), ("Ivo A. Brandt", "Ivo B. Brandt", None, None),
+    ("Mike Osei", "Brenda Osei", None, None), ("Sting", None, None, None), ("Bram Tolle", "Brenda Tolle", None, None), ("F Quill", "Fenna Quill", "initial", None),
+    ("Dr. Bob Reed-Klages, Ph.D.", "Robert Reed", "first_last", "first_last"), ("Mia Lund Berg", "Ana Lund Berg", None, None), ("Jo Lund Berg", "J. L. Berg", "initial", "initials"),
+    ("Ivo Brandt Jr.", "Ivo Brandt Sr", "first_last", None), ("Ivo Brandt Jr.", "Ivo Brandt", "first_last", "first_last"), ("Steve Oss", "Stephen Oss", "first_last", "first_last"),
+    ("Alexandra Moe", "Alex Moe", "first_last", "first_last"), ("Ivo K. Brandt", "Karl Ivo Brandt", "full", "full"), ("Fenna Maria Quill", "Maria Quill", "first_last", "first_last"),
+]
+
+
+def test_names(spark):
+    d = spark.createDataFrame([(i, a, b) for i, (a, b, _, _) in enumerate(NAME_PAIRS)], "i int, a string, b string").select("i", parsed(F.col("a")).alias("x"), parsed(F.col("b")).alias("y"))
+    kind = agreement(F.col("x"), F.col("y"))
+    got = {r.i: (r.kind, r.fact) for r in d.select("i", kind.alias("kind"), evidence(F.col("x"), F.col("y"), kind).alias("fact")).collect()}
+    assert got == {i: (k, f) for i, (_, _, k, f) in enumerate(NAME_PAIRS)}
 
 
 def test_edge_hash_ignores_later_fields(spark):
@@ -85,6 +94,9 @@ def test_wording(spark):
     text = "## 1. Text\nThis is illegal and secretly done, in plain words.\nNo fraud was found; \"illegal\" is their word. jane@example.com\n| a | hidden | guilty |\n## 7. Sources\nillegal"
     got = sorted((r.line, r.rule) for r in textlint.wording(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")).collect())
     assert got == [(2, "crime"), (2, "secrecy"), (3, "email"), (4, "guilt")]
+    more = [(1, "He knowingly did so, but not secretly; clearly hidden. Never a fraud 3.5 scam", []), (2, "without doubt a scam", None), (3, "Secret Fund Inc paid; the secret fund did not. No crime, call (212) 555-0100", ["Secret Fund Inc", "Sec"]), (4, "a qui tam case of over-billing, isn't a scheme", [])]
+    got = sorted((r.doc, r.rule, r.word) for r in textlint.wording(spark.createDataFrame(more, "doc_id long, text string, known array<string>"), names="known").collect())
+    assert got == [(1, "certainty", "clearly"), (1, "motive", "knowingly"), (1, "scheme", "scam"), (1, "secrecy", "hidden"), (2, "certainty", "without doubt"), (3, "phone", "(212) 555-0100"), (3, "secrecy", "secret"), (4, "public money", "over-billing"), (4, "public money", "qui tam")]
     hold = spark.createDataFrame([(1, "Medicare invoices"), (2, "medicare\nlegal consult: 2026-01-01 cleared"), (3, "x")], "doc_id long, text string")
     assert [(r.doc, r.hold) for r in textlint.claims_hold(hold).orderBy("doc").collect()] == [(1, True), (2, False)]
 
