@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from quillgraph.catalogs import analytics, identity, records
+from quillgraph.catalogs import analytics, changes, identity, records, values
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for part in (analytics, records, identity):
+for part in (analytics, records, identity, values, changes):
     QUERIES |= part.QUERIES
     ORACLE_SQL |= part.ORACLE_SQL
 FLAGSHIP = "ag10_interlock_org_pairs"

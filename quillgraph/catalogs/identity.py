@@ -55,12 +55,19 @@ def _(spark, d):
     return x.where(predicates.is_recent(current, last, filed, F.lit(AS_OF).cast("date"))).select("l_orderkey", "l_linenumber")
 
 
-@query("fl12_name_kinds", """with n as (select doc_id, array_to_string(regexp_extract_all(text, '[A-Za-z0-9]+')[1:3], ' ') as name from documents)
-select doc_id, regexp_matches(name, '(?i)\\b(""" + "|".join(predicates.ORG_WORDS) + """)\\b') as org, (len(string_split(name, ' ')) between 2 and 6 and not regexp_matches(name, '(?i)\\b(""" + "|".join(predicates.NOT_NAMES) + """)\\b')
-  and not regexp_matches(name, '[0-9]') and length(string_split(name, ' ')[-1]) > 1) as person from n""")
+NAME_SQL = "trim(array_to_string(regexp_extract_all(line, '[A-Za-z0-9]+'), ' '))"
+
+
+@query("fl12_name_kinds", f"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line from documents), n as (select doc_id, {NAME_SQL} as name from l), k as (select doc_id, name, len(string_split(name, ' ')) as words from n where name <> ''),
+j as (select doc_id, regexp_matches(name, '(?i)\\b(""" + "|".join(predicates.ORG_WORDS) + """)\\b') as org, (words between 2 and 6 and not regexp_matches(name, '(?i)\\b(""" + "|".join(predicates.NOT_NAMES) + """)\\b')
+  and not regexp_matches(name, '[0-9]') and length(string_split(name, ' ')[-1]) > 1) as person from k)
+select doc_id, count(*) as lines, count(*) filter (org) as orgs, count(*) filter (person) as persons from j group by 1""")
 def _(spark, d):
-    n = table(spark, d, "documents").select("doc_id", F.array_join(F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), 0), 1, 3), " ").alias("name"))
-    return n.select("doc_id", predicates.looks_like_org(F.col("name")).alias("org"), predicates.plausible_person(F.col("name")).alias("person"))
+    """Every line of every document, taken as a name."""
+    lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    n = lines.select("doc_id", F.array_join(F.regexp_extract_all("line", F.lit("[A-Za-z0-9]+"), 0), " ").alias("name")).where("name <> ''")
+    k = n.select("doc_id", predicates.looks_like_org(F.col("name")).alias("org"), predicates.plausible_person(F.col("name")).alias("person"))
+    return k.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.count(F.when(F.col("org"), 1)).alias("orgs"), F.count(F.when(F.col("person"), 1)).alias("persons"))
 
 
 FORMS = (" Inc.", " & Sons, LLC", " (UK) Holdings", " Global Foods Group", "/DE/", " Co. Ltd", " The N.A. Trust")

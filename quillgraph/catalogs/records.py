@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from quillgraph.functions import scalars
 from quillgraph.functions.names import match_people
-from quillgraph.operators import central, claims, classify, integrity, records, textlint
+from quillgraph.operators import central, claims, classify, integrity, records, tallies, textlint
 from quillgraph.sources.tables import AS_OF, graph_sql, load_graph, table
 
 QUERIES: dict = {}
@@ -125,13 +125,13 @@ TOKENS = "regexp_extract_all(text, '[A-Za-z]+')"
 
 
 @query("jn14_all_tokens_match", f"""with tok as (select distinct doc_id as doc, lower(unnest({TOKENS})) as token from documents),
-want as (select distinct item_id as name, lower(unnest({TOKENS}[1:6])) as token from benchmark), need as (select name, count(*) as n from want group by 1)
+want as (select distinct item_id as name, lower(unnest({TOKENS})) as token from benchmark), need as (select name, count(*) as n from want group by 1)
 select doc, name from tok join want using (token) join need using (name) group by doc, name, n having count(*) = n""")
 def _(spark, d):
     words = F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0), lambda x: F.lower(x))
     tok = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.explode(F.array_distinct(words)).alias("token")).distinct()
-    want = table(spark, d, "benchmark").select(F.col("item_id").alias("name"), F.explode(F.array_distinct(F.slice(words, 1, 6))).alias("token"))
-    return records.all_tokens_match(tok, F.broadcast(want))
+    want = table(spark, d, "benchmark").select(F.col("item_id").alias("name"), F.explode(F.array_distinct(words)).alias("token"))
+    return records.all_tokens_match(tok, want)
 
 
 RANGES = ", ".join(f"({lo}, {hi}, '{','.join('DOM_' + c for c in letters)}', {n})" for n, (lo, hi, letters) in enumerate(classify.SIC_RANGES))
@@ -183,11 +183,7 @@ def _(spark, d):
   array_to_string(list_reverse(list_sort(array_agg({'d': o_orderdate, 'k': o_orderkey})))[1:12].list_transform(lambda x: x.k), ',') as trail from orders group by 1""")
 def _(spark, d):
     o = table(spark, d, "orders")
-    newest = F.reverse(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey"))))
-    return o.groupBy("o_custkey").agg(
-        F.count(F.lit(1)).alias("orders"), F.array_join(F.array_sort(F.collect_set("o_orderpriority")), ",").alias("priorities"), F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("latest"),
-        F.array_join(F.transform(F.slice(newest, 1, 12), lambda x: x["o_orderkey"].cast("string")), ",").alias("trail"),
-    )
+    return tallies.newest_trail(o, "o_custkey", "o_orderdate", "o_orderkey", "o_orderpriority").withColumnsRenamed({"n": "orders", "kinds": "priorities"})
 
 
 @query("ag20_top_countries", "select n_name, count(*) as n from customer join nation on c_nationkey = n_nationkey group by 1 order by n desc, n_name limit 40")
@@ -200,13 +196,13 @@ def _(spark, d):
     return table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
-CLAIMS = """, claim as (select row_number() over (order by edge_id) as n, edge_id as claim_id, source as person, target as org, relationship_type as role from edges where percent >= 9),
+CLAIMS = """, claim as (select ('0x' || substr(md5(edge_id), 1, 8))::bigint as n, edge_id as claim_id, source as person, target as org, relationship_type as role from edges where percent >= 9),
 cl as (select claim_id, case when n % 11 = 0 then 'PER_0' else person end as person, case when n % 7 = 0 then 'ORG_999999' else org end as org, case when n % 5 = 0 then 'TRUSTEE_OF' else role end as role from claim)
 """
 
 
 def _claims(g):
-    c = g.edges.where("percent >= 9").select(F.row_number().over(Window.orderBy("edge_id")).alias("n"), F.col("edge_id").alias("claim_id"), F.col("source").alias("person"), F.col("target").alias("org"), F.col("relationship_type").alias("role"))
+    c = g.edges.where("percent >= 9").select(F.conv(F.substring(F.md5(F.col("edge_id").cast("binary")), 1, 8), 16, 10).cast("long").alias("n"), F.col("edge_id").alias("claim_id"), F.col("source").alias("person"), F.col("target").alias("org"), F.col("relationship_type").alias("role"))
     return c.select("claim_id", F.when(F.col("n") % 11 == 0, "PER_0").otherwise(F.col("person")).alias("person"), F.when(F.col("n") % 7 == 0, "ORG_999999").otherwise(F.col("org")).alias("org"), F.when(F.col("n") % 5 == 0, "TRUSTEE_OF").otherwise(F.col("role")).alias("role"))
 
 
@@ -283,7 +279,8 @@ def _(spark, d):
     return state(e).join(state(e.where("event_id % 3 <> 0")), ["user_id", "event_type", "n"], "left_anti").select("user_id", "event_type", "n")
 
 
-@query("hs05_claims_fingerprint", BASE + "select target, count(*) as rows, sha256(string_agg(edge_id || '|' || active::varchar || '|' || filings_seen, chr(10) order by edge_id || '|' || active::varchar || '|' || filings_seen)) as sha256 from edges group by 1")
+@query("hs05_claims_fingerprint", BASE + """, m as (select target, md5(edge_id || '|' || active::varchar || '|' || filings_seen) as m from edges)
+select target, count(*) as rows, sha256(count(*) || ':' || sum(('0x' || substr(m, 1, 15))::hugeint) || ':' || sum(('0x' || substr(m, 16, 15))::hugeint)) as sha256 from m group by 1""")
 def _(spark, d):
     return integrity.fingerprint(load_graph(spark, d).edges, "target", ["edge_id", "active", "filings_seen"])
 
@@ -293,27 +290,6 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
 
 
-@query("au01_chain_verification")
-def _(spark, d):
-    """Chains of each user's events, every 97th event altered after it was hashed."""
-    import json
-
-    import pandas as pd
-
-    def build(rows: pd.DataFrame) -> pd.DataFrame:
-        out, tip = [], ""
-        for e in rows.sort_values("event_id").itertuples():
-            body = {"event_id": int(e.event_id), "event": e.event_type, "prev": tip}
-            body["hash"] = tip = integrity._sha(integrity.canonical(body, compact=True))
-            if e.event_id % 97 == 0:
-                body["event"] += " altered"
-            out.append((str(e.user_id), int(e.event_id), json.dumps(body)))
-        return pd.DataFrame(out, columns=["shard", "seq", "raw"])
-
-    log = table(spark, d, "events").select("user_id", "event_id", "event_type").groupBy("user_id").applyInPandas(build, "shard string, seq long, raw string")
-    return integrity.verify_chain(log, shard="shard")
-
-
 @query("tx01_wording_review")
 def _(spark, d):
     return textlint.wording(table(spark, d, "documents"))
@@ -336,11 +312,30 @@ def _(spark, d):
     return textlint.rule_counts(table(spark, d, "documents"), {"license": r"(?i)\blicense"})
 
 
-PEOPLE = [(1, "Margaret (Margo) H. Georgiadis"), (2, "Chris Smith"), (3, "Dr. Robert Reed-Klages, Ph.D."), (4, "S Catz"), (5, "John A. Doe"), (6, None), (7, "Prince")]
-OTHERS = [(11, "Margo Georgiadis"), (12, "Christopher J Smith"), (13, "Bob Reed"), (14, "Safra Catz"), (15, "John B. Doe"), (16, "Brenda Smith"), (17, "")]
+FIRSTS = {"Robert": "robert", "Bob": "bob robert", "Ann": "ann", "Anna": "anna", "R.": "r", "Elizabeth": "elizabeth", "Liz": "liz elizabeth", "A.": "a"}
+MIDDLES = ("", "J. ", "James ", "K. ")
+
+
+def _person(index_first, index_middle, nation):
+    pick = lambda values, i: F.array(*[F.lit(v) for v in values])[i.cast("int")]
+    return F.concat(pick(FIRSTS, index_first % len(FIRSTS)), F.lit(" "), pick(MIDDLES, index_middle % len(MIDDLES)), F.initcap(F.replace(nation, F.lit(" "), F.lit(""))))
+
+
+def _nicks(first, last):
+    """DuckDB: whether two first names meet: equal in some form, or one the start of the other, or by initial."""
+    return f"""case when len({first}[1]) = 1 or len({last}[1]) = 1 then list_has_any(list_transform({first}, lambda f: f[1:1]), list_transform({last}, lambda f: f[1:1]))
+  else list_has_any({first}, {last}) or list_has_any(list_transform({first}, lambda f: f[1:3]), list_transform({last}, lambda f: f[1:3])) end"""
 
 
-@query("jn11_person_name_match", "select * from (values (1::bigint, 11::bigint, 'first_last'), (2, 12, 'first_last'), (3, 13, 'first_last'), (4, 14, 'initial')) as t(left_id, right_id, kind)")
+@query("jn11_person_name_match", f"""with c as (select c_custkey, replace(n_name, ' ', '') as last, c_custkey // 10 as k from customer join nation on n_nationkey = c_nationkey),
+p as (select c_custkey as id, last, [{", ".join(str(f.split()) for f in FIRSTS.values())}][(k % 8 + 1)::int] as f, (k // 8 % 4)::int as m from c),
+x as (select * from p where id % 10 = 0), y as (select * from p where id % 10 = 1)
+select x.id as left_id, y.id as right_id, case when len(x.f[1]) = 1 or len(y.f[1]) = 1 then 'initial' when x.m = 0 or y.m = 0 then 'first_last' else 'full' end as kind from x join y using (last) where {_nicks("x.f", "y.f")}
+  and (len(x.f[1]) = 1 or len(y.f[1]) = 1 or x.m = 0 or y.m = 0 or (x.m = 3) = (y.m = 3))""")
 def _(spark, d):
-    frame = lambda rows: spark.createDataFrame(rows, "id long, name string")
-    return match_people(frame(PEOPLE), frame(OTHERS))
+    """Names made of short forms, initials and middle names, every tenth customer against every other tenth; the three
+    letters of any two first names differ unless one begins the other."""
+    c = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    k = F.floor(F.col("c_custkey") / 10)
+    names = c.select(F.col("c_custkey").alias("id"), _person(k, F.floor(k / 8), F.col("n_name")).alias("name"))
+    return match_people(names.where("id % 10 = 0"), names.where("id % 10 = 1"))

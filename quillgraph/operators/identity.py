@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillgraph.functions.names import match_people
+from quillgraph.functions.names import match_people, parsed
 from quillgraph.functions.predicates import ID_FORMS, NODE_ID, TYPE_FORM, identifier_ok, looks_like_org
 from quillgraph.functions.scalars import ID_PRIORITY, norm_name, pad_cik
+from quillgraph.functions.texts import alias_key
 from quillgraph.operators.components import connected_components
 from quillgraph.plans.staging import Staging
 
@@ -216,3 +217,38 @@ def inherited_domains(roles: DataFrame, orgs: DataFrame) -> DataFrame:
     d = roles.select(F.col("source").alias("person"), F.col("target").alias("id")).distinct().join(orgs.select("id", F.explode("domains").alias("d")), "id").where(F.col("d").startswith("DOM_"))
     s = d.groupBy("person").agg(F.array_sort(F.collect_set("d")).alias("domains"))
     return s.withColumn("domains", F.when(F.size("domains") >= 2, F.concat("domains", F.array(F.lit("BRIDGE_HUMAN")))).otherwise(F.col("domains")))
+
+
+def known_aliases(labels: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(id, alias): aliases worth keeping: one per set of words, none that only reorders the label; mixed case before capitals.
+
+    labels: id, label; aliases: id, alias."""
+    a = aliases.select("id", "alias", alias_key(F.col("alias")).alias("key")).where("key <> ''")
+    own = labels.select("id", alias_key(F.col("label")).alias("key"))
+    a = a.join(own, ["id", "key"], "left_anti")
+    return a.groupBy("id", "key").agg(F.min(F.struct((F.col("alias") == F.upper("alias")).alias("loud"), "alias")).alias("best")).select("id", F.col("best.alias").alias("alias"))
+
+
+def earlier_surnames(people: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(id, surname): other surnames a person with an official id is known by, with the first name it has now.
+
+    people: id, name, ids; aliases: id, alias."""
+    official = F.map_filter(F.coalesce("ids", F.create_map().cast("map<string,string>")), lambda k, v: k.isin(*OFFICIAL) & (v != ""))
+    now = people.where(F.size(official) > 0).select("id", parsed(F.col("name")).alias("x")).where("x is not null")
+    then = aliases.select("id", parsed(F.col("alias")).alias("y")).where("y is not null")
+    return now.join(then, "id").where("arrays_overlap(x.firsts, y.firsts) and not arrays_overlap(x.surnames, y.surnames)").select("id", F.col("y.last").alias("surname")).distinct()
+
+
+def by_any_identifier(wanted: DataFrame, held: DataFrame, merged: DataFrame) -> DataFrame:
+    """(key, id): the node of each wanted record (key, scheme, value) by any identifier: a node that was not merged away
+    first, then by scheme and id. held: id, scheme, value; merged: id."""
+    h = held.join(merged.select("id", F.lit(1).alias("gone")).distinct(), "id", "left")
+    hits = wanted.join(h, ["scheme", "value"])
+    return hits.groupBy("key").agg(F.min_by("id", F.struct(F.coalesce("gone", F.lit(0)), "scheme", "id")).alias("id"))
+
+
+def index_of(nodes: DataFrame) -> DataFrame:
+    """(scheme, value, id, holders): who owns each identifier of nodes (id, identity map, merged): the smallest node that
+    was not merged away, which alone keep their identifiers, and how many there are."""
+    one = nodes.where(~F.coalesce("merged", F.lit(False))).select("id", F.explode("identity").alias("scheme", "value")).where("value <> ''")
+    return one.groupBy("scheme", "value").agg(F.min("id").alias("id"), F.countDistinct("id").alias("holders"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillgraph.plans.graph import OWN, ROLE, STANDARDS, Graph
+from quillgraph.plans.ranks import numbered
 
 
 def degree_count(g: Graph) -> DataFrame:
@@ -96,5 +97,4 @@ def flag_ranking(g: Graph, tenure_years: float, seats: int, outside: int, hhi_hi
         flags = flags.unionByName(p)
     totals = flags.groupBy("id").agg(F.count(F.lit(1)).alias("total"), F.countDistinct("kind").alias("kinds"))
     out = totals.join(degree_count(g), "id").join(g.nodes.select("id", "label"), "id")
-    w = Window.orderBy(F.desc("total"), F.desc("kinds"), F.desc("degree"), "label", "id")
-    return out.select("id", "total", "kinds", "degree", F.row_number().over(w).alias("rank"))
+    return numbered(out, F.desc("total"), F.desc("kinds"), F.desc("degree"), "label", "id").select("id", "total", "kinds", "degree", "rank")

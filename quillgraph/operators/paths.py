@@ -23,12 +23,13 @@ def component_labels(g: Graph) -> DataFrame:
 
 
 def hop_distances(
-    g: Graph, sources: DataFrame, targets: DataFrame | None = None, allowed: DataFrame | None = None, max_hops: int = 64,
+    g: Graph, sources: DataFrame, targets: DataFrame | None = None, allowed: DataFrame | None = None, max_hops: int | None = None,
     transparent: DataFrame | None = None,
 ) -> DataFrame:
     """(id, hops, prev, edge_id) of every node found from ``sources`` by breadth-first rounds.
 
     A target that is no source is not expanded; with ``allowed`` only those nodes, and targets, are entered.
+    The search ends when a round finds nothing new, or after ``max_hops`` rounds if given.
     Among equal predecessors the smallest (prev, edge_id) wins. ``transparent`` nodes cost nothing to enter.
     """
     st = Staging(g.nodes.sparkSession, "hops")
@@ -41,7 +42,7 @@ def hop_distances(
     seen = st.write(starts.select("id", F.lit(0).alias("hops"), F.lit(None).cast("string").alias("prev"), F.lit(None).cast("string").alias("edge_id")), "seen")
     front, fronts, hops = seen, [seen], 0
     free = st.write(transparent.select(F.col("id").alias("b"), F.lit(0).alias("cost")), "free") if transparent is not None else None
-    while hops < max_hops:
+    while max_hops is None or hops < max_hops:
         hops += 1
         grow = front
         if targets is not None:
@@ -69,7 +70,7 @@ def hop_distances(
     return st.together(fronts) if free is None else seen
 
 
-def strongest_distances(g: Graph, sources: DataFrame, targets: DataFrame | None = None, cost: Callable[[Column], Column] = edge_cost, max_rounds: int = 64) -> DataFrame:
+def strongest_distances(g: Graph, sources: DataFrame, targets: DataFrame | None = None, cost: Callable[[Column], Column] = edge_cost) -> DataFrame:
     """(id, cost, prev, edge_id): least total cost from any source, by relaxation until nothing improves.
 
     Improvements must exceed 1e-12. A target that is no source is not expanded."""
@@ -78,7 +79,7 @@ def strongest_distances(g: Graph, sources: DataFrame, targets: DataFrame | None
     starts = sources.select("id").distinct()
     best = st.write(starts.select("id", F.lit(0.0).alias("cost"), F.lit(None).cast("string").alias("prev"), F.lit(None).cast("string").alias("edge_id")), "best")
     front = best
-    for _ in range(max_rounds):
+    while True:
         grow = front
         if targets is not None:
             grow = grow.join(targets.select("id").join(starts, "id", "left_anti"), "id", "left_anti")
@@ -91,19 +92,21 @@ def strongest_distances(g: Graph, sources: DataFrame, targets: DataFrame | None
     return best
 
 
-def path_rows(found: DataFrame, ends: DataFrame, max_hops: int = 64) -> DataFrame:
+def path_rows(found: DataFrame, ends: DataFrame) -> DataFrame:
     """(end, hop, id, edge_id): the nodes of the path to each of ``ends``, hop 0 at the end, walked by predecessor."""
     step = found.select("id", "prev", "edge_id")
     row = ends.select(F.col("id").alias("end")).join(step, F.col("end") == F.col("id")).select("end", F.lit(0).alias("hop"), "id", "prev", "edge_id")
     st = Staging(found.sparkSession, "walk")
-    out = row = st.write(row, "row")
-    for hop in range(1, max_hops):
+    row = st.write(row, "row")
+    rows, hop = [row], 0
+    while True:
+        hop += 1
         row = row.where("prev is not null").select("end", F.col("prev").alias("at")).join(step, F.col("at") == F.col("id")).select("end", F.lit(hop).alias("hop"), "id", "prev", "edge_id")
         row = st.write(row, "row")
         if row.isEmpty():
             break
-        out = out.unionByName(row)
-    return out.drop("prev")
+        rows.append(row)
+    return st.together(rows).drop("prev")
 
 
 def find_paths(g: Graph, sources: DataFrame, targets: DataFrame, mode: str = "hops", allowed: DataFrame | None = None, limit: int = 5) -> DataFrame:
@@ -122,8 +125,8 @@ def find_paths(g: Graph, sources: DataFrame, targets: DataFrame, mode: str = "ho
     walk = path_rows(found, best.select("id"))
     nodes = walk.groupBy("end").agg(F.array_join(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("hop", "id")))), lambda x: x["id"]), ">").alias("nodes"), (F.count(F.lit(1)) - 1).cast("long").alias("hops"))
     out = nodes.join(reached.select(F.col("id").alias("end"), "cost"), "end")
-    w = Window.orderBy("cost", "hops", "end")
-    return out.select(F.row_number().over(w).alias("rank"), F.col("end").alias("target"), F.round("cost", 6).alias("cost"), "hops", "nodes").where(F.col("rank") <= limit)
+    best = out.orderBy("cost", "hops", "end").limit(limit)
+    return best.select(F.row_number().over(Window.orderBy("cost", "hops", "end")).alias("rank"), F.col("end").alias("target"), F.round("cost", 6).alias("cost"), "hops", "nodes")
 
 
 def crossings(walk: DataFrame, g: Graph) -> DataFrame:
@@ -170,9 +173,9 @@ def simple_paths(g: Graph, start: str, end: str, max_hops: int = 4, limit: int =
         paths = st.write(grown.select(F.col("b").alias("at"), F.concat("nodes", F.array("b")).alias("nodes"), (F.col("weight") + F.col("w")).alias("weight")), "paths")
         hit = paths.where(F.col("at") == end)
         done = hit if done is None else done.unionByName(hit)
-    w = Window.orderBy("hops", F.desc("weight"), "nodes")
+    order = ("hops", F.desc("weight"), "nodes")
     out = done.select(F.array_join("nodes", ">").alias("nodes"), (F.size("nodes") - 1).cast("long").alias("hops"), F.round("weight", 6).alias("weight"))
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    return out.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
 def staging_scope(g: Graph, centers: DataFrame, hops: int = 2) -> DataFrame:
@@ -182,10 +185,10 @@ def staging_scope(g: Graph, centers: DataFrame, hops: int = 2) -> DataFrame:
     return e.where(F.least("ds", "dt") < hops).select("edge_id")
 
 
-def follow_supersession(links: DataFrame, max_rounds: int = 40) -> DataFrame:
+def follow_supersession(links: DataFrame, max_rounds: int = 64) -> DataFrame:
     """(id, live): the end of each chain in (id, superseded_by), by pointer jumping; rounds are logarithmic.
 
-    An id that is superseded by several records follows the largest; repeated rows count once."""
+    Chains that run in a circle have no end: that is an error. An id that is superseded by several records follows the largest; repeated rows count once."""
     st = Staging(links.sparkSession, "supersede")
     at = st.write(links.groupBy("id").agg(F.coalesce(F.max("superseded_by"), "id").alias("live")), "at")
     for _ in range(max_rounds):
@@ -194,5 +197,5 @@ def follow_supersession(links: DataFrame, max_rounds: int = 40) -> DataFrame:
         moved = not new.where("moved").isEmpty()
         at = new.drop("moved")
         if not moved:
-            break
-    return at
+            return at
+    raise RuntimeError("records supersede each other in a circle")

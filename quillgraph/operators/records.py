@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillgraph.plans.staging import Staging
+
 
 def newest(records: DataFrame, keys: list[str], date: str, tie: str) -> DataFrame:
     """The newest record per key; undated ones last; equal dates by the larger ``tie``."""
@@ -86,7 +88,27 @@ def corroborated(roles: DataFrame, ties: DataFrame) -> DataFrame:
 
 
 def all_tokens_match(tokens: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc, name) for names all of whose tokens a document has; (doc, token) and (name, token) frames of distinct rows."""
-    need = wanted.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
-    hits = tokens.join(wanted, "token").groupBy("doc", "name").agg(F.count(F.lit(1)).alias("k"))
-    return hits.join(need, "name").where("k = n").select("doc", "name")
+    """(doc, name) for names all of whose tokens a document has; (doc, token) and (name, token) frames of distinct rows.
+
+    Documents are candidates by a name's rarest token alone; only these are held against its other tokens."""
+    st = Staging(tokens.sparkSession, "tokens")
+    tokens = st.write(tokens.join(wanted.select("token").distinct(), "token", "left_semi").select("doc", "token"), "tokens")
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("docs"))
+    ranked = wanted.join(counts, "token", "left").groupBy("name").agg(F.min(F.struct(F.coalesce("docs", F.lit(0)).alias("docs"), "token")).alias("rarest"), F.count(F.lit(1)).alias("n"))
+    found = ranked.where("rarest.docs > 0").select("name", "n", F.col("rarest.token").alias("token")).join(tokens, "token").select("doc", "name", "n")
+    hits = found.join(wanted, "name").join(tokens, ["doc", "token"])
+    return hits.groupBy("doc", "name", "n").agg(F.count(F.lit(1)).alias("k")).where("k = n").select("doc", "name")
+
+
+#: Names of a substring search that may be broadcast (some dozens of bytes each).
+BROADCAST_NAMES = 200_000
+
+
+def contained_names(texts: DataFrame, text: str, names: DataFrame, name: str) -> DataFrame:
+    """texts by each name that they contain anywhere. Few names are held against each text in place; more than
+    ``BROADCAST_NAMES`` meet only texts that have three letters of theirs in a row, by a join on these."""
+    if names.count() <= BROADCAST_NAMES:
+        return texts.join(F.broadcast(names), F.contains(F.col(text), F.col(name)))
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))), lambda i: F.substring(F.col(text), i, F.lit(3)))
+    met = texts.withColumn("__g", F.explode(F.array_distinct(grams)))
+    return met.join(names.where(F.length(name) >= 3).withColumn("__g", F.substring(name, 1, 3)), "__g").where(F.contains(F.col(text), F.col(name))).drop("__g")

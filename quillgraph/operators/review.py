@@ -10,6 +10,10 @@ from pyspark.sql.window import Window
 REQUIRED = ("Signals for review, not findings of wrongdoing", "## 2. Scope", "## 3. Method", "## 5. Limits", "## 6. Right of reply", "All sources")
 
 
+#: Reference forms that may be broadcast.
+FORMS_MOST = 100_000
+
+
 def check_records(claims: DataFrame, edges: DataFrame) -> DataFrame:
     """(claim, status): block if the edge is gone, warn if superseded or changed since the draft, else ok.
 
@@ -88,3 +92,47 @@ def stage_evidence(evidence: DataFrame, as_of: Column, days: int = 456) -> DataF
         "outcome": F.when(lead, "lead").when(blocked, "blocked").otherwise("edge"), "active": ~ended & ~stale,
         "basis": F.when(ended, "ended").when(stale, "no recent filing").otherwise("recent filing"),
     })
+
+
+def citations(edges: DataFrame) -> DataFrame:
+    """(edge_id, source, url, date) of edges that can be cited: without an address there is no finding."""
+    cited = edges.where(F.coalesce("citation_url", F.lit("")) != "")
+    return cited.select("edge_id", F.col("verification_source").alias("source"), F.col("citation_url").alias("url"), F.col("document_date").alias("date"))
+
+
+def references_ok(edges: DataFrame, forms: DataFrame) -> DataFrame:
+    """(edge_id, ok): whether an edge's reference, without blanks and in capitals, has a form its source type may have.
+
+    edges: edge_id, source_type, reference; forms: source_type, pattern (found anywhere, unless it is anchored itself)."""
+    r = F.upper(F.regexp_replace(F.coalesce("reference", F.lit("")), r"\s+", ""))
+    f = edges.select("edge_id", "source_type", r.alias("r")).join(F.broadcast(forms) if forms.count() <= FORMS_MOST else forms, "source_type", "left")
+    return f.groupBy("edge_id").agg(F.coalesce(F.max(F.expr("r rlike pattern")), F.lit(False)).alias("ok"))
+
+
+def stale_reviews(reviews: DataFrame, reports: DataFrame) -> DataFrame:
+    """(doc) of reviews (doc, sha256 of the report they read) whose report is another one now, or is gone."""
+    now = reports.select("doc", F.sha2("text", 256).alias("now"))
+    return reviews.join(now, "doc", "left").where("now is null or now <> sha256").select("doc")
+
+
+def reports_due(ranked: DataFrame, state: DataFrame, fingerprints: DataFrame, top: int) -> DataFrame:
+    """(id, rank) of the ``top`` ranked entities (id, rank) whose claims changed since their last report, or that have none.
+
+    fingerprints: id, sha256; state: id, sha256 as of the last report."""
+    now = ranked.where(F.col("rank") <= top).join(fingerprints, "id")
+    return now.join(state, ["id", "sha256"], "left_anti").select("id", "rank")
+
+
+def due_again(done: DataFrame, keys: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
+    """(key) of ``keys`` never done, or done (key, day) more than ``days`` ago."""
+    last = done.groupBy("key").agg(F.max("day").alias("day"))
+    return keys.select("key").distinct().join(last, "key", "left").where(F.col("day").isNull() | (F.datediff(as_of, "day") > days)).select("key")
+
+
+def rendered(parts: DataFrame) -> DataFrame:
+    """(doc, text): reports from their rows (doc, section, heading, line, text): headings once, lines in order, a blank
+    line between sections, everything escaped for Markdown tables. A report is one text, so its rows come together."""
+    safe = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
+    of = parts.groupBy("doc", "section").agg(F.max("heading").alias("heading"), F.array_sort(F.collect_list(F.struct("line", safe.alias("text")))).alias("l"))
+    one = F.concat(F.lit("## "), "heading", F.lit("\n"), F.array_join(F.transform("l", lambda x: x["text"]), "\n"))
+    return of.select("doc", "section", one.alias("t")).groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "t"))), lambda x: x["t"]), "\n\n").alias("text"))

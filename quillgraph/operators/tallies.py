@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def shared_funders(funding: DataFrame, least: int = 2) -> DataFrame:
@@ -48,3 +49,14 @@ def first_signals(signals: DataFrame) -> DataFrame:
     s = signals.withColumn("__s", F.array_sort("subjects"))
     keep = s.groupBy("type", "__s").agg(F.min("key").alias("key"))
     return signals.join(keep.select("key"), "key", "left_semi")
+
+
+def newest_trail(filings: DataFrame, key: str, date: str, row: str, kind: str, most: int = 12) -> DataFrame:
+    """(key, n, kinds, latest, trail): filings by key, their kinds, the newest one and the ``most`` newest, newest first.
+
+    Only these are ever gathered: the rank is limited before the shuffle."""
+    w = Window.partitionBy(key).orderBy(F.desc(date), F.desc(row))
+    top = filings.select(key, date, row, F.row_number().over(w).alias("rn")).where(F.col("rn") <= most)
+    trail = top.groupBy(F.col(key).alias("k")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", row))), lambda x: x[row].cast("string")), ",").alias("trail"))
+    every = filings.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set(kind)), ",").alias("kinds"), F.max_by(row, F.struct(date, row)).alias("latest"))
+    return every.join(trail, F.col(key) == F.col("k")).drop("k")

@@ -7,6 +7,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.functions.weights import control_class
+
 # Relation groups and published thresholds.
 OWN = ("TEN_PERCENT_OWNER_OF", "BENEFICIAL_OWNER_OF")
 ROLE = ("DIRECTOR_OF", "OFFICER_OF")
@@ -70,3 +72,19 @@ class Graph:
 
     def persons(self) -> DataFrame:
         return self.nodes.where("entity_type = 'PERSON'")
+
+    def strict(self, hard_only: bool = False, current_only: bool = False, min_weight: float | None = None, domains: tuple[str, ...] = ()) -> Graph:
+        """The edges a search is built on: hard control only, current only, of a least weight, or between nodes of the given sectors."""
+        e = self.edges
+        if hard_only:
+            e = e.where(control_class(F.col("relationship_type")) == "hard")
+        if current_only:
+            e = e.where(not_false("active"))
+        if min_weight is not None:
+            e = e.where(F.coalesce("weight", F.lit(0.0)) >= min_weight)
+        nodes = self.nodes
+        if domains:
+            nodes = nodes.where(F.arrays_overlap("domains", F.array(*[F.lit(d) for d in domains])))
+            for end in ("source", "target"):
+                e = e.join(nodes.select(F.col("id").alias(end)), end, "left_semi")
+        return replace(self, nodes=nodes, edges=e)

@@ -1,6 +1,6 @@
 """A governance graph over the star-schema tables: suppliers as organisations, customers as persons.
 
-Large line items make role edges (one per person, organisation and return flag) with their first and last
+Line items make role edges (one per person, organisation and return flag) with their first and last
 shipment as filing dates; the first supplier of each nation owns part of the others.
 """
 
@@ -20,7 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def load_graph(spark: SparkSession, sf_dir: str, min_quantity: int = 46, as_of: str = AS_OF) -> Graph:
+def load_graph(spark: SparkSession, sf_dir: str, min_quantity: int = 0, as_of: str = AS_OF) -> Graph:
+    """The graph of all line items; ``min_quantity`` takes larger ones only."""
     read = lambda name: table(spark, sf_dir, name)
     nation = read("nation").select("n_nationkey", "n_regionkey")
     supplier = read("supplier").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))
@@ -57,7 +58,7 @@ def load_graph(spark: SparkSession, sf_dir: str, min_quantity: int = 46, as_of:
     return Graph(orgs.unionByName(people), edges, as_of)
 
 
-def graph_sql(min_quantity: int = 46, as_of: str = AS_OF) -> str:
+def graph_sql(min_quantity: int = 0, as_of: str = AS_OF) -> str:
     """DuckDB: ``with recursive`` clauses nodes, edges, live (active edges), sectors, adj (live, both ways)."""
     return f"""with recursive sup as (select * from supplier join nation on s_nationkey = n_nationkey),
 nodes as (
