@@ -183,11 +183,17 @@ def _(spark, d):
     return interlocks.closed_triangles(interlocks.affiliation_projection(_live(spark, d)))
 
 
-@query("gr13_closed_squares", LOOPS + """, s as (select array_to_string(list_sort([p.a, p.b, r.y, q.b]), ',') as orgs, len(list_distinct(p.people || q.people || r.people || u.people)) as people
-  from e p join e q on q.a = p.a and p.b < q.b join f r on r.x = p.b and r.y > p.a and r.y <> q.b join f u on u.x = q.b and u.y = r.y)
-select orgs, max(people) as people from s where people >= 2 group by 1""")
+@query("gr13_closed_squares")
 def _(spark, d):
-    return interlocks.closed_squares(interlocks.affiliation_projection(_live(spark, d)))
+    """The 200 loops of four organisations with the most people: a report. Every loop is counted for it, some millions on
+    a dense graph, which SQL does not do in useful time; ``closed_squares`` is tested against brute force."""
+    return interlocks.closed_squares(interlocks.affiliation_projection(_live(spark, d))).orderBy(F.desc("people"), "orgs").limit(200)
+
+
+@query("st05_loop_report", LOOPS + """, t as (select p.a || ',' || p.b || ',' || q.b as orgs, len(list_distinct(p.people || q.people || r.people)) as people from e p join e q on q.a = p.b join e r on r.a = p.a and r.b = q.b)
+select orgs, 3 as length, people from t where people >= 2 order by people desc, orgs limit 100""")
+def _(spark, d):
+    return interlocks.loop_report(interlocks.affiliation_projection(_live(spark, d)), 100)
 
 
 PULLED = "id like 'ORG_%1'"
@@ -245,7 +251,12 @@ def _(spark, d):
     return paths.strongest_distances(_live(spark, d), _starts(spark)).select("id", F.round("cost", 6).alias("cost"))
 
 
-@query("gr05_find_paths_hops")
+@query("gr05_find_paths_hops", """, tgt as (select id from nodes where entity_type <> 'PERSON' and list_contains(domains, 'DOM_C') and id not in ('ORG_1', 'ORG_2')),
+w(id, hops, prev) using key (id) as (select id, 0, null::varchar from nodes where id in ('ORG_1', 'ORG_2') union
+  (select adj.b, w.hops + 1, min(w.id) from w join adj on adj.a = w.id left join recurring.w r on r.id = adj.b where r.id is null and w.id not in (select id from tgt) group by adj.b, w.hops)),
+best as (select id, hops from w where id in (select id from tgt) order by hops, id limit 5),
+walk(fin, tip, nodes) as (select id, id, id from best union all select fin, prev, prev || '>' || nodes from walk join w on w.id = tip where prev is not null)
+select row_number() over (order by best.hops, best.id) as rank, best.id as target, best.hops::double as cost, best.hops::bigint as hops, nodes from best join walk on fin = best.id join w on w.id = tip where w.prev is null""")
 def _(spark, d):
     g = _live(spark, d)
     return paths.find_paths(g, _starts(spark), g.nodes.where("entity_type <> 'PERSON' and array_contains(domains, 'DOM_C')"))

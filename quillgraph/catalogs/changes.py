@@ -391,3 +391,101 @@ def _(spark, d):
     step = lambda pos, node, w: F.struct(F.lit(pos).alias("pos"), node.alias("id"), w.alias("weight"))
     walk = two.select(way.alias("end"), F.explode(F.array(step(0, F.col("a"), F.lit(None).cast("double")), step(1, F.col("per"), F.col("wa")), step(2, F.col("b"), F.col("wb")))).alias("s")).select("end", "s.*")
     return paths.crossings(walk, g).select(F.col("end").alias("way"), "leaving", "entering", "full_boundary").distinct()
+
+
+@query("id08_graph_audit", """with n as (select c_custkey, c_custkey % 4 as k, c_custkey % 3 as z from customer), e as (select *, o_orderkey % 6 as k from orders),
+live as (select * from e where k <> 0)
+select 'node' as kind, c_custkey::varchar as id, 'Identity' as core, 'error' as severity, 'no canonical identifier' as message from n where k = 1 union all
+select 'node', c_custkey::varchar, 'Identity', 'error', 'not valid: sec_cik' from n where k = 2 union all select 'node', c_custkey::varchar, 'Identity', 'warning', 'unknown domain DOM_X' from n where z = 0 union all
+select 'edge', o_orderkey::varchar, 'Integrity', 'resolved', 'replaced by next' from e where k = 0 union all select 'edge', o_orderkey::varchar, 'Identity', 'error', 'target is no node: nobody' from live where k = 1 union all
+select 'edge', o_orderkey::varchar, 'Transparency', 'warning', 'cites in free text: Form 4' from live where k = 2 union all select 'edge', o_orderkey::varchar, 'Transparency', 'error', 'no accepted source type' from live where k = 3 union all
+select 'edge', o_orderkey::varchar, 'Transparency', 'warning', 'missing citation_url, source_reference' from live where k = 4 union all select 'edge', o_orderkey::varchar, 'Integrity', 'error', 'weight missing or out of range' from live where k = 5 union all
+select 'edge', o_orderkey::varchar, 'Integrity', 'error', 'edited after it was recorded' from live where o_custkey % 2 = 0 union all select 'edge', o_orderkey::varchar, 'Integrity', 'info', 'no verification hash' from live where o_custkey % 2 = 1""")
+def _(spark, d):
+    c, o = table(spark, d, "customer"), table(spark, d, "orders")
+    k, e = F.col("c_custkey"), F.col("o_orderkey") % 6
+    nodes = c.select(_id("c_custkey").alias("id"), F.when(k % 3 == 0, F.array(F.lit("DOM_A"), F.lit("DOM_X"))).otherwise(F.array(F.lit("DOM_A"))).alias("domains"))
+    ids = c.where(k % 4 != 1).select(_id("c_custkey").alias("id"), F.lit("sec_cik").alias("scheme"), F.when(k % 4 == 2, F.concat(F.lit("x"), k.cast("string"))).otherwise(F.lpad(k.cast("string"), 10, "0")).alias("value"))
+    edges = o.select(
+        _id("o_orderkey").alias("id"), _id("o_custkey").alias("source"), F.when(e == 1, "nobody").otherwise(_id("o_custkey")).alias("target"), F.when(e == 0, "next").alias("superseded_by"),
+        F.when(e == 2, "see form 4 of May").when(e == 3, "hearsay").otherwise("Form 4").alias("verification_source"), F.when(e == 4, "").otherwise("https://x").alias("citation_url"), F.lit("2001-01-01").alias("document_date"),
+        F.when(e != 4, "r").alias("source_reference"), F.when(e == 5, 1.5).otherwise(0.5).alias("weight"), F.when(F.col("o_custkey") % 2 == 0, "h").alias("hash"), F.lit("g").alias("real_hash"),
+    )
+    return audit.audit(nodes, ids, edges, ["DOM_A"], ["Form 4"])
+
+
+@query("au05_evidence_gaps", "select o_orderkey as edge_id, case when o_orderkey % 3 = 0 and o_orderkey % 2 = 0 then 'no evidence,undated' when o_orderkey % 3 = 0 then 'no evidence' else 'undated' end as gaps from orders where o_orderkey % 3 = 0 or o_orderkey % 2 = 0")
+def _(spark, d):
+    o = table(spark, d, "orders")
+    return audit.evidence_gaps(o.select(F.col("o_orderkey").alias("edge_id"), F.when(F.col("o_orderkey") % 3 > 0, F.array(F.lit("https://x"))).alias("evidence"), F.when(F.col("o_orderkey") % 2 > 0, F.col("o_orderdate")).alias("filing_date"), F.lit(None).cast("string").alias("start_date")))
+
+
+@query("au03_saved_hashes", "select true as ok")
+def _(spark, d):
+    """The hash logged last is that of the table in another order."""
+    from quillgraph.plans import versions
+
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    saved = versions.content_hash(o.limit(10)).select(F.lit(1).alias("seq"), "sha256").unionByName(versions.content_hash(o.repartition(5)).select(F.lit(2).alias("seq"), "sha256"))
+    return versions.graph_matches_log(saved, versions.content_hash(o))
+
+
+@query("sc03_filtered_edges", "select o_orderkey, json_extract_string(props, '$.k')::bigint as k from orders join events on event_id = o_orderkey where o_orderstatus = 'F' and json_extract_string(props, '$.k')::bigint > 50")
+def _(spark, d):
+    """Edges by a condition, with their attributes read out of JSON."""
+    from quillgraph.sources import tables
+
+    e = table(spark, d, "orders").join(table(spark, d, "events").select("event_id", "props"), F.col("o_orderkey") == F.col("event_id"))
+    return tables.edges_where(e, "o_orderstatus = 'F'", "props", {"k": "long"}).where("k > 50").select("o_orderkey", "k")
+
+
+@query("sc04_by_identifier", "select c_custkey % 3 as k, lpad((c_custkey * 2)::varchar, 10, '0') as value, o.id from customer join (select c_custkey as id from customer) o on o.id = c_custkey * 2")
+def _(spark, d):
+    c = table(spark, d, "customer")
+    pad = lambda x: F.lpad(x.cast("string"), 10, "0")
+    wanted = c.select((F.col("c_custkey") % 3).alias("k"), F.lit("sec_cik").alias("scheme"), pad(F.col("c_custkey") * 2).alias("value"))
+    return identity.find_by_identifier(wanted, c.select(F.lit("sec_cik").alias("scheme"), pad(F.col("c_custkey")).alias("value"), F.col("c_custkey").alias("id"))).select("k", "value", "id")
+
+
+@query("sc15_headed_lists", "select o_custkey::varchar as doc, 'Orders of ' || o_custkey as header, 'Order ' || o_orderkey as item, o_orderstatus as role from orders where o_custkey % 5 = 0")
+def _(spark, d):
+    o = table(spark, d, "orders").where("o_custkey % 5 = 0")
+    rows = o.groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("- Order "), _id("o_orderkey"), F.lit(": "), F.col("o_orderstatus")))), "\n").alias("r"))
+    docs = rows.select(_id("o_custkey").alias("doc"), F.concat(F.lit("intro line\n\nOrders of "), _id("o_custkey"), F.lit(":\n"), F.col("r")).alias("text"))
+    return markdown.headed_list(docs).where("header is not null and item is not null").select("doc", "header", "item", "role").where("header like 'Orders%'")
+
+
+@query("sc17_watchlists", "select o_custkey::varchar as doc, 'sec' as kind, o_orderkey::varchar as arg from orders where o_orderkey % 2 = 0")
+def _(spark, d):
+    line = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("- sec: "), _id("o_orderkey"))).otherwise(F.concat(F.lit("```\n- sec: "), _id("o_orderkey"), F.lit("\n```")))
+    docs = table(spark, d, "orders").groupBy("o_custkey").agg(F.array_join(F.collect_list(line), "\n").alias("text")).select(_id("o_custkey").alias("doc"), "text")
+    return markdown.watchlist(docs).select("doc", "kind", "arg")
+
+
+@query("set03_flagged_population", BASE + """, t as (select source as id from live where relationship_type = 'DIRECTOR_OF' and (last_filing - first_filing) / 365.25 > 4 union select target from live where relationship_type = 'DIRECTOR_OF' and (last_filing - first_filing) / 365.25 > 4),
+o as (select source as id from live where relationship_type = 'DIRECTOR_OF' and source like 'PER%' group by 1 having count(distinct target) > 3) select id, string_agg(kind, ',' order by kind) as kinds from (select id, 'tenure' as kind from t union all select id, 'overboarding' from o) group by 1""")
+def _(spark, d):
+    from quillgraph.operators import measures
+
+    g = load_graph(spark, d).live()
+    return measures.flagged({"tenure": measures.long_tenure(g, 4.0).select(F.explode(F.array("person", "org")).alias("id")), "overboarding": measures.overboarding(g, 3, 99).select(F.col("person").alias("id"))})
+
+
+@query("set07_union_of_pulls", "select o_custkey, o_orderkey, min(o_orderstatus) as status from orders group by 1, 2")
+def _(spark, d):
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.col("o_orderstatus").alias("status"))
+    return records.union_of([o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 3 = 0"), o], ["o_custkey", "o_orderkey"])
+
+
+@query("st07_match_order", "select p_partkey, row_number() over (order by p_partkey % 3, p_size % 2, p_name, p_partkey) as rank from part")
+def _(spark, d):
+    p = table(spark, d, "part")
+    from quillgraph.operators import enforcement
+
+    m = p.select("p_partkey", _cases(F.col("p_partkey"), ("title", "text", "list")).alias("place"), F.when(F.col("p_size") % 2 == 0, "ORGANIZATION").otherwise("PERSON").alias("entity_type"), F.col("p_name").alias("label"))
+    return enforcement.ranked_matches(m, "p_partkey").select("p_partkey", "rank")
+
+
+@query("st08_first_breaks", "select event_id as seq, event_type as problem from events where event_id % 7 = 0 order by event_id limit 50")
+def _(spark, d):
+    return integrity.first_breaks(table(spark, d, "events").where("event_id % 7 = 0").select(F.lit("log").alias("shard"), F.col("event_id").alias("seq"), F.col("event_type").alias("problem"))).select("seq", "problem")

@@ -290,7 +290,24 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
 
 
-@query("tx01_wording_review")
+def _rule_sql(name: str, severity: str, pattern: str) -> str:
+    said = "text" if severity == "private" else "said"
+    if name == "phone":  # no look-behind there
+        found = r"regexp_extract_all(text, '(?:^|[^0-9-])((?:\+?1[\s.-]?)?\(?\d{3}\)?[\s.]\d{3}[\s.-]\d{4})\b', 1)"
+    else:
+        found = f"regexp_extract_all({said}, '(?i){pattern}')"
+    kept = "" if severity in ("block", "private") else " where not starts_with(raw, '|')"
+    return f"select doc, line, '{name}' as rule, '{severity}' as severity, unnest({found}) as word from l{kept}"
+
+
+TX01 = r"""with r as (select doc_id as doc, unnest(string_split(text, chr(10))) as raw, generate_subscripts(string_split(text, chr(10)), 1) as line from documents),
+c as (select doc, line, regexp_replace(regexp_replace(raw, '\]\([^)]*\)', ']', 'g'), '`[^`]*`', '', 'g') as raw from r),
+q as (select doc, line, raw, regexp_replace(raw, '"[^"]*"|“[^”]*”', ' ', 'g') as text from c),
+l as (select *, array_to_string(list_transform(regexp_split_to_array(text, '\.|[!?;:]\s'), lambda s: regexp_replace(s, '(?is)\b(NEGATIONS)\b.*$', '')), chr(10)) as said from q)
+""".replace("NEGATIONS", "|".join(textlint.NEGATIONS).replace("'", "''"))
+
+
+@query("tx01_wording_review", TX01 + " union all ".join(_rule_sql(*r) for r in textlint.LEXICON))
 def _(spark, d):
     return textlint.wording(table(spark, d, "documents"))
 

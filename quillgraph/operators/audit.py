@@ -64,3 +64,11 @@ def recheck_sources(recorded: DataFrame, fetched: DataFrame) -> DataFrame:
     """(url, status): unchanged, changed, or gone, of (url, sha256) as recorded and as fetched again."""
     r = recorded.select("url", "sha256").distinct().join(fetched.select("url", F.col("sha256").alias("now")), "url", "left")
     return r.select("url", F.when(F.col("now").isNull(), "gone").when(F.col("now") == F.col("sha256"), "unchanged").otherwise("changed").alias("status"))
+
+
+def evidence_gaps(edges: DataFrame) -> DataFrame:
+    """(edge_id, gaps) of edges (edge_id, evidence, filing_date, start_date) without evidence or without any date."""
+    none = F.size(F.coalesce("evidence", F.array().cast("array<string>"))) == 0
+    undated = F.col("filing_date").isNull() & (F.coalesce("start_date", F.lit("")) == "")
+    gaps = F.array_join(F.array_compact(F.array(F.when(none, "no evidence"), F.when(undated, "undated"))), ",")
+    return edges.select("edge_id", gaps.alias("gaps")).where("gaps <> ''")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import labels
 from quillgraph.operators.records import all_tokens_match
+from quillgraph.plans.ranks import numbered
 
 
 def _tokens(c: Column) -> Column:
@@ -52,3 +53,9 @@ def excluded_orgs(orgs: DataFrame, listed: DataFrame) -> DataFrame:
     """(id, entry): organisations and entries (entry, name) with one key."""
     key = lambda c: labels.org_key(F.col(c), article=False)
     return orgs.select("id", key("label").alias("k")).where("k <> ''").join(listed.select("entry", key("name").alias("k")), "k").select("id", "entry").distinct()
+
+
+def ranked_matches(matches: DataFrame, key: str) -> DataFrame:
+    """matches (place, entity_type, label, key) with rank: in a title, then a text, then a list; organisations before persons."""
+    strength = F.when(F.col("place") == "title", 0).when(F.col("place") == "text", 1).otherwise(2)
+    return numbered(matches, strength, (F.col("entity_type") == "PERSON").cast("int"), "label", key)

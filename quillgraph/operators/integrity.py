@@ -84,3 +84,8 @@ def fingerprint(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
     md5 = F.md5(text.cast("binary"))
     half = lambda n: F.sum(F.conv(F.substring(md5, n, 15), 16, 10).cast("decimal(38,0)")).cast("string")
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("rows"), F.sha2(F.concat_ws(":", F.count(F.lit(1)), half(1), half(16)), 256).alias("sha256"))
+
+
+def first_breaks(breaks: DataFrame, most: int = 50) -> DataFrame:
+    """The first ``most`` problems of a chain, in order: a report."""
+    return breaks.orderBy("shard", "seq", "problem").limit(most)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillgraph.plans.graph import OWN, ROLE, Graph
+from quillgraph.plans.staging import Staging
 
 ACTIVE_SHARED, LEAST_BOARD, LEAST_SHARE = 3, 4, 0.5
 
@@ -123,6 +124,17 @@ def closed_squares(projection: DataFrame) -> DataFrame:
     return s.groupBy(F.array_join(F.array_sort(F.array("a", "b", "c", "d")), ",").alias("orgs")).agg(F.max(F.size("people")).cast("long").alias("people"))
 
 
+def loop_report(projection: DataFrame, most: int = 200) -> DataFrame:
+    """(orgs, length, people): the first ``most`` loops, shorter ones first, then by people, then by name. Loops of four,
+    by far the dearer, are only looked for where those of three are too few."""
+    three = closed_triangles(projection).select(F.concat_ws(",", "a", "b", "c").alias("orgs"), F.lit(3).alias("length"), "people")
+    order = ("length", F.desc("people"), "orgs")
+    three = Staging(projection.sparkSession, "loops").write(three.orderBy(*order).limit(most), "three")
+    if three.count() == most:
+        return three
+    return three.unionByName(closed_squares(projection).select("orgs", F.lit(4).alias("length"), "people")).orderBy(*order).limit(most)
+
+
 def frontier(g: Graph, pulled: DataFrame, top: int = 25) -> DataFrame:
     """Organisations not pulled yet, by pulled neighbours, then people, then id: a report of the first ``top``."""
     p = affiliation_projection(g)

@@ -98,3 +98,12 @@ def flag_ranking(g: Graph, tenure_years: float, seats: int, outside: int, hhi_hi
     totals = flags.groupBy("id").agg(F.count(F.lit(1)).alias("total"), F.countDistinct("kind").alias("kinds"))
     out = totals.join(degree_count(g), "id").join(g.nodes.select("id", "label"), "id")
     return numbered(out, F.desc("total"), F.desc("kinds"), F.desc("degree"), "label", "id").select("id", "total", "kinds", "degree", "rank")
+
+
+def flagged(populations: dict[str, DataFrame]) -> DataFrame:
+    """(id, kinds): entities of any flagged population, with the sorted kinds of flags they have."""
+    every = None
+    for kind, p in populations.items():
+        one = p.select("id", F.lit(kind).alias("kind"))
+        every = one if every is None else every.unionByName(one)
+    return every.groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))

@@ -112,3 +112,11 @@ def contained_names(texts: DataFrame, text: str, names: DataFrame, name: str) ->
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))), lambda i: F.substring(F.col(text), i, F.lit(3)))
     met = texts.withColumn("__g", F.explode(F.array_distinct(grams)))
     return met.join(names.where(F.length(name) >= 3).withColumn("__g", F.substring(name, 1, 3)), "__g").where(F.contains(F.col(text), F.col(name))).drop("__g")
+
+
+def union_of(pulls: list[DataFrame], keys: list[str]) -> DataFrame:
+    """The rows of several pulls of one list, once per key; where pulls differ, the smallest value of each other column."""
+    every = pulls[0]
+    for p in pulls[1:]:
+        every = every.unionByName(p)
+    return every.groupBy(*keys).agg(*[F.min(c).alias(c) for c in every.columns if c not in keys])

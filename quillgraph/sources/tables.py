@@ -20,6 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def edges_where(edges: DataFrame, condition: str, attributes: str, fields: dict[str, str]) -> DataFrame:
+    """edges that meet a condition, with the named fields of their JSON attributes as columns; unreadable JSON gives nulls."""
+    schema = ", ".join(f"{name} {kind}" for name, kind in fields.items())
+    found = edges.where(condition).withColumn("__a", F.from_json(attributes, schema))
+    return found.select(*[c for c in found.columns if c != "__a"], *[F.col(f"__a.{name}").alias(name) for name in fields])
+
+
 def load_graph(spark: SparkSession, sf_dir: str, min_quantity: int = 0, as_of: str = AS_OF) -> Graph:
     """The graph of all line items; ``min_quantity`` takes larger ones only."""
     read = lambda name: table(spark, sf_dir, name)
