@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.operators import interlocks, measures, paths
-from quillgraph.sources.tables import graph_sql, load_graph
+from quillgraph.sources.tables import graph_sql, live_graph, load_graph
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _live(spark: SparkSession, d: str):
-    return load_graph(spark, d).live()
+    return live_graph(spark, d)
 
 
 SEATS_SQL = """, roles as (select *, row_number() over (partition by source, target order by relationship_type <> 'DIRECTOR_OF', last_filing desc, edge_id) as rn

@@ -9,7 +9,7 @@ from quillgraph.operators import audit, changes, claims, identity, integrity, pa
 from quillgraph.plans.graph import STANDARDS
 from quillgraph.plans.staging import Staging
 from quillgraph.sources import markdown
-from quillgraph.sources.tables import AS_OF, graph_sql, load_graph, table
+from quillgraph.sources.tables import AS_OF, graph_sql, live_graph, load_graph, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -193,7 +193,7 @@ def _(spark, d):
     """Claims made of live edges: as they are, with another organisation, another person, or at the first supplier.
 
     Labels are turned into names: each person's is two words of its number in letters."""
-    g = load_graph(spark, d).live()
+    g = live_graph(spark, d)
     letters = lambda c: F.translate(F.regexp_extract(c, r"([0-9]+)$", 1), "0123456789", "abcdefghij")
     person, org = lambda c: F.concat(F.lit("Ann x"), letters(c)), lambda c: F.concat(F.lit("Firm "), letters(c), F.lit(" Inc"))
     nodes = g.nodes.select("id", "entity_type", F.when(F.col("entity_type") == "PERSON", person(F.col("id"))).otherwise(org(F.col("id"))).alias("label"))
@@ -384,7 +384,7 @@ def _(spark, d):
     """Crossings on every way from a board over a director to another board."""
     from quillgraph.operators import paths
 
-    g = load_graph(spark, d).live()
+    g = live_graph(spark, d)
     s = g.of("DIRECTOR_OF").select(F.col("source").alias("per"), F.col("target").alias("org"), "weight")
     two = s.select("per", F.col("org").alias("a"), F.col("weight").alias("wa")).join(s.select("per", F.col("org").alias("b"), F.col("weight").alias("wb")), "per").where("a < b")
     way = F.concat_ws(">", "a", "per", "b")
@@ -467,7 +467,7 @@ o as (select source as id from live where relationship_type = 'DIRECTOR_OF' and
 def _(spark, d):
     from quillgraph.operators import measures
 
-    g = load_graph(spark, d).live()
+    g = live_graph(spark, d)
     return measures.flagged({"tenure": measures.long_tenure(g, 4.0).select(F.explode(F.array("person", "org")).alias("id")), "overboarding": measures.overboarding(g, 3, 99).select(F.col("person").alias("id"))})
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import labels, predicates
 from quillgraph.operators import audit, identity, review, tallies
 from quillgraph.plans.staging import Staging
-from quillgraph.sources.tables import AS_OF, graph_sql, load_graph, table
+from quillgraph.sources.tables import AS_OF, graph_sql, live_graph, load_graph, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -163,7 +163,7 @@ def _(spark, d):
 @query("id23_inherited_domains", BASE + """, p as (select distinct source as person, domain from live join sectors on sectors.id = target where relationship_type in ('DIRECTOR_OF', 'OFFICER_OF'))
 select person, string_agg(domain, ',' order by domain) || case when count(*) >= 2 then ',BRIDGE_HUMAN' else '' end as domains from p group by 1""")
 def _(spark, d):
-    g = load_graph(spark, d).live()
+    g = live_graph(spark, d)
     return identity.inherited_domains(g.of("DIRECTOR_OF", "OFFICER_OF"), g.nodes).withColumn("domains", F.array_join("domains", ","))
 
 
@@ -241,14 +241,14 @@ def _(spark, d):
 @query("ag28_bridge_persons", BASE + """, r as (select source as person, target as org, sic from live join nodes on id = target where relationship_type in ('DIRECTOR_OF', 'OFFICER_OF'))
 select * from (select person, count(distinct case when sic < 3000 then org end) as corporate, count(distinct case when sic >= 3000 then org end) as nonprofit from r group by 1) where corporate > 0 and nonprofit > 0""")
 def _(spark, d):
-    g = load_graph(spark, d).live()
+    g = live_graph(spark, d)
     r = g.of("DIRECTOR_OF", "OFFICER_OF").join(g.nodes.select(F.col("id").alias("target"), "sic"), "target").select(F.col("source").alias("person"), F.col("target").alias("org"), "sic")
     return tallies.bridge_persons(r, F.col("sic") < 3000, F.col("sic") >= 3000)
 
 
 @query("ag31_confirmed_bridges", BASE + "select source as person, count(distinct target) as companies from live where percent >= 3 and target like 'ORG_%' group by 1 having count(distinct target) >= 2")
 def _(spark, d):
-    e = load_graph(spark, d).live().edges
+    e = live_graph(spark, d).edges
     return tallies.confirmed_bridges(e.select(F.col("source").alias("person"), F.col("target").alias("company"), F.when(F.col("percent") >= 3, "CONFIRMED").otherwise("OPEN").alias("status")))
 
 

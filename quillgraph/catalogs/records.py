@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from quillgraph.functions import scalars
 from quillgraph.functions.names import match_people
 from quillgraph.operators import central, claims, classify, integrity, records, tallies, textlint
-from quillgraph.sources.tables import AS_OF, graph_sql, load_graph, table
+from quillgraph.sources.tables import AS_OF, graph_sql, live_graph, load_graph, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -222,23 +222,23 @@ def _(spark, d):
 @query("pt02_oversight_overlap", BASE + """select distinct x.source as person, x.target as office, y.target as seat, array_to_string(list_sort(list_intersect(a.domains, b.domains)), ',') as shared from live x join live y on x.source = y.source and x.target <> y.target
   join nodes a on a.id = x.target join nodes b on b.id = y.target where x.relationship_type = 'OFFICER_OF' and y.relationship_type = 'DIRECTOR_OF' and len(list_intersect(a.domains, b.domains)) > 0""")
 def _(spark, d):
-    return claims.oversight_overlap(load_graph(spark, d).live())
+    return claims.oversight_overlap(live_graph(spark, d))
 
 
 @query("pt04_enforcement_proximity", BASE + "select distinct x.target as flagged, y.target as other, x.source as person from live x join live y on x.source = y.source and x.target <> y.target where x.relationship_type = 'DIRECTOR_OF' and y.relationship_type = 'DIRECTOR_OF' and x.target like '%3'")
 def _(spark, d):
-    g = load_graph(spark, d).live()
+    g = live_graph(spark, d)
     return claims.enforcement_proximity(g, g.nodes.where("id like 'ORG_%3'"))
 
 
 @query("gr07_betweenness")
 def _(spark, d):
-    return central.betweenness(load_graph(spark, d).live())
+    return central.betweenness(live_graph(spark, d))
 
 
 @query("gr11_single_points")
 def _(spark, d):
-    return central.single_points(load_graph(spark, d).live())
+    return central.single_points(live_graph(spark, d))
 
 
 @query("sc11_html_links", "select page_id, h.u as href, count(*) as n from pages, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) as h(u) group by 1, 2")

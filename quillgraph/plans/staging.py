@@ -65,3 +65,18 @@ class Staging:
             path = getattr(df, "_staged_path", None)
             if path:
                 _delete(self.spark, path)
+
+
+_REUSED: dict[tuple[str, str], DataFrame] = {}
+
+
+def reused(spark: SparkSession, key: str, make) -> DataFrame:
+    """The frame of ``make()`` as a table staged once a session under ``key``, staged anew if its files are gone."""
+    known = (spark.sparkContext.applicationId, key)
+    found = _REUSED.get(known)
+    if found is not None:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{found._staged_path}/_SUCCESS")
+        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return found
+    _REUSED[known] = Staging(spark, "reused").write(make())
+    return _REUSED[known]
