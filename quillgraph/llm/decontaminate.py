@@ -51,7 +51,7 @@ BROADCAST_WINDOWS, SALTS = 500_000, 32
 #: Largest bitmap in bits; bits for each window up to there; bits of one piece.
 BITMAP_MOST, BITMAP_EACH, PIECE = 1 << 26, 256, 1 << 16
 #: Bytes of text read at a time.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 # Words that are units.
 UNITS = frozenset(
@@ -102,7 +102,7 @@ class Words(dict):
         return n
 
     def fresh(self) -> None:
-        if len(self) > 3 * CACHE_WORDS:
+        if len(self) > CACHE_WORDS:
             self.clear()
             self.words.clear()
 
