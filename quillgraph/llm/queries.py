@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph.llm.audit import audit_filters, audit_sql
 from quillgraph.llm.decontaminate import decontaminate
 from quillgraph.llm.html import extract_text
 from quillgraph.llm.lattice import near_vectors
 from quillgraph.llm.licenses import scan_licenses
 from quillgraph.llm.lines import dedup_lines, dedup_lines_sql
+from quillgraph.llm.merkle import manifest, manifest_sql
 from quillgraph.llm.minhash import near_duplicates
 from quillgraph.llm.mixing import mix, mix_sql
 from quillgraph.llm.pii import find_pii
@@ -61,6 +63,14 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(_table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_lattice_near_dedup": op1_lattice_near_dedup,
     "op2_decontamination": op2_decontamination,
@@ -72,9 +82,13 @@ QUERIES = {
     "op8_source_mixing": op8_source_mixing,
     "op9_line_dedup": op9_line_dedup,
     "op10_url_filter": op10_url_filter,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_filter_audit": op12_filter_audit,
 }
 ORACLE_SQL: dict[str, str] = {
     "op8_source_mixing": mix_sql(),
     "op9_line_dedup": dedup_lines_sql(),
     "op10_url_filter": filter_urls_sql(),
+    "op11_merkle_manifest": manifest_sql(),
+    "op12_filter_audit": audit_sql(),
 }
