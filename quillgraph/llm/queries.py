@@ -15,6 +15,7 @@ from quillgraph.llm.merkle import manifest, manifest_sql
 from quillgraph.llm.minhash import near_duplicates
 from quillgraph.llm.mixing import mix, mix_sql
 from quillgraph.llm.pii import find_pii
+from quillgraph.llm.substrings import dedup_substrings
 from quillgraph.llm.toxicity import toxicity
 from quillgraph.llm.urls import filter_urls, filter_urls_sql
 
@@ -71,6 +72,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_lattice_near_dedup": op1_lattice_near_dedup,
     "op2_decontamination": op2_decontamination,
@@ -84,6 +89,7 @@ QUERIES = {
     "op10_url_filter": op10_url_filter,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_filter_audit": op12_filter_audit,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
     "op8_source_mixing": mix_sql(),
