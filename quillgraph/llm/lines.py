@@ -3,13 +3,12 @@
 A line is boilerplate on a host if the pages of that host that contain it, divided by the host's pages,
 exceed ``ratio`` and number at least ``least_pages``. For lines of ``LONG_CHARS`` or more, which never repeat by
 chance, the ratio is ``long_ratio``. Lines are compared without the white space around them; blank lines are never
-boilerplate. What is left keeps its order and its line breaks.
+boilerplate. What is left keeps its order and its line breaks. Equal texts on a host count as one page.
 
-Pages that are copies of each other are no evidence of boilerplate: they are for near-duplicate removal, which needs
-their lines. So equal texts on a host count as one page, and of edited copies those count once that agree in the
-line with the smallest MD5, or in that with the largest, apart from the line in question (the larger of the two counts
-is taken). A line with less than half as many such pages as different texts stands in copies, and stays. Pages of
-fewer than ``TELLING_LINES`` lines cannot be told from copies in this way; they are no evidence against long lines.
+Edited copies of a page are for near-duplicate removal, which needs their lines. They are told by what a page has beside
+the lines above the ratio, so that a template cannot speak for itself: pages whose own words agree in the five words
+of smallest MD5, and pages that agree in those of largest, are of one kind (the larger number of kinds is taken). A line
+above the ratio whose pages are of fewer kinds than half their number stands in copies, and stays.
 
 Only hashes and hosts move through the shuffle, combined before it; texts stay where they are: the hosts'
 boilerplate hashes, of which each host has at most (lines of an average page) / ratio, go to the texts as one array
@@ -33,8 +32,8 @@ from quillgraph.plans.staging import Staging
 RATIO, LONG_RATIO, LEAST_PAGES = 0.02, 0.0001, 3
 #: Characters from which a line is long.
 LONG_CHARS = 200
-#: Different lines from which a page is evidence against its long lines.
-TELLING_LINES = 4
+#: Words that tell what a page has of its own.
+OWN_WORDS = 5
 #: Boilerplate lines (8 bytes each) that may be broadcast; parts of a host beyond that.
 BROADCAST_LINES, SALTS = 2_000_000, 64
 SPACES = " \t\r\x0b\x0c\n"
@@ -49,43 +48,57 @@ def _key(line: Column) -> Column:
     return F.xxhash64(line).bitwiseAND(F.lit(-2)).bitwiseOR((F.length(line) >= LONG_CHARS).cast("long"))
 
 
-def boilerplate(docs: DataFrame, host: str, text: str, ratio: float, long_ratio: float, least_pages: int, st: Staging) -> DataFrame:
-    """(h, k): keys of the lines that are boilerplate on a host."""
-    lines = F.transform(F.filter(F.transform(F.split("text", "\n"), _trimmed), lambda x: x != ""), lambda x: F.struct(F.md5(x.cast("binary")).alias("m"), _key(x).alias("k")))
+def _keys(text: Column) -> Column:
+    return F.transform(F.filter(F.transform(F.split(text, "\n"), _trimmed), lambda x: x != ""), _key)
+
+
+def frequent(docs: DataFrame, host: str, text: str, ratio: float, long_ratio: float, least_pages: int, st: Staging) -> DataFrame:
+    """(h, k, n): keys of the lines above the ratio on a host, and their pages there."""
     pages = docs.select(at(docs, host).alias("h"), at(docs, text).cast("string").alias("text"))
-    pages = pages.select("h", F.xxhash64("text").alias("t"), F.array_sort(F.array_distinct(F.coalesce(lines, F.array().cast("array<struct<m:string,k:bigint>>")))).alias("l"))
-    key = lambda i: F.get("l", i)["k"]
-    n = F.size("l")
     # The null entry is the page itself, counted among its lines: one aggregation gives both counts.
-    pair = lambda k, least, most: F.array(F.struct(k.alias("k"), F.lit(0).alias("w"), least.alias("s")), F.struct(k.alias("k"), F.lit(1).alias("w"), most.alias("s")))
-    own = pair(F.lit(None).cast("long"), key(F.lit(0)), key(n - 1))
-    other = lambda x, end, next_: F.when(x["k"] == key(end), key(next_)).otherwise(key(end))
-    telling = F.filter("l", lambda x: (x["k"].bitwiseAND(F.lit(1)) == 0) | (n >= TELLING_LINES))
-    of_lines = F.flatten(F.transform(telling, lambda x: pair(x["k"], other(x, F.lit(0), F.lit(1)), other(x, n - 1, n - 2))))
-    pages = pages.select("h", "t", F.concat(own, of_lines).alias("e")).groupBy("h", "t").agg(F.any_value("e").alias("e"))
-    entries = pages.select("h", F.explode("e").alias("e")).groupBy("h", *[F.col(f"e.{c}").alias(c) for c in "kws"]).agg(F.count(F.lit(1)).alias("texts"))
-    one = lambda w, c: F.sum(F.when(F.col("w") == w, c).otherwise(0))
-    counts = entries.groupBy("h", "k").agg(F.greatest(one(0, F.lit(1)), one(1, F.lit(1))).alias("n"), one(0, F.col("texts")).alias("texts"))
+    entries = F.array_append(F.coalesce(F.array_distinct(_keys(F.col("text"))), F.array().cast("array<bigint>")), F.lit(None).cast("long"))
+    pages = pages.select("h", F.xxhash64("text").alias("t"), entries.alias("l")).groupBy("h", "t").agg(F.any_value("l").alias("l"))
+    counts = pages.select("h", F.explode("l").alias("k")).groupBy("h", "k").agg(F.count(F.lit(1)).alias("n"))
     counts = st.write(counts.where((F.col("n") >= least_pages) | F.col("k").isNull()), "counts")
     totals = counts.where("k is null").select(F.col("h").alias("th"), F.col("n").alias("pages"))
     share = F.when(F.col("k").bitwiseAND(F.lit(1)) == 1, F.lit(long_ratio)).otherwise(F.lit(ratio))
-    found = counts.where("k is not null and 2 * n >= texts").join(totals, F.col("h").eqNullSafe(F.col("th")))
-    return found.where(F.col("n") > share * F.col("pages")).select("h", "k")
+    found = counts.where("k is not null").join(totals, F.col("h").eqNullSafe(F.col("th")))
+    return st.write(found.where(F.col("n") > share * F.col("pages")).select("h", "k", "n"), "frequent")
+
+
+def _with_lines(docs: DataFrame, host: str, text: str, lines: DataFrame, name: str, st: Staging) -> DataFrame:
+    """``docs`` with the keys of its host's ``lines`` (h, k) in the array column ``name``, null if it has none."""
+    by, salt, part = unused([*docs.columns, name], "by", "salt", "part")
+    per = st.write(lines.groupBy(F.col("h").alias(by)).agg(F.collect_list("k").alias(name)), "per_host")
+    if per.agg(F.coalesce(F.sum(F.size(name)), F.lit(0)).alias("n")).first()["n"] <= BROADCAST_LINES:
+        return docs.join(F.broadcast(per), at(docs, host).eqNullSafe(F.col(by)), "left")
+    dealt = docs.withColumn(salt, F.pmod(F.xxhash64(at(docs, text)), F.lit(SALTS)))
+    copies = per.withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return dealt.join(copies, at(dealt, host).eqNullSafe(F.col(by)) & (F.col(salt) == F.col(part)), "left")
+
+
+def boilerplate(docs: DataFrame, host: str, text: str, ratio: float, long_ratio: float, least_pages: int, st: Staging) -> DataFrame:
+    """(h, k): keys of the lines that are boilerplate on a host."""
+    found = frequent(docs, host, text, ratio, long_ratio, least_pages, st)
+    pages = docs.select(at(docs, host).alias("h"), at(docs, text).cast("string").alias("text"))
+    pages = _with_lines(pages, "h", "text", found, "above", st).where("above is not null")
+    pages = pages.select("h", "text", F.array_intersect(_keys(F.col("text")), "above").alias("hit")).where(F.size("hit") > 0)
+    own = F.filter(F.transform(F.split("text", "\n"), _trimmed), lambda x: (x != "") & ~F.array_contains("hit", _key(x)))
+    words = F.filter(F.split(F.array_join(own, " "), "[\\x20\\x09-\\x0D]+"), lambda x: x != "")
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (OWN_WORDS - 1), F.lit(1))), lambda i: F.md5(F.array_join(F.slice(w, i, OWN_WORDS), " ").cast("binary")))
+    pages = pages.select("h", "hit", words.alias("w")).select("h", "hit", runs(F.col("w")).alias("r"))
+    ends = F.array(F.struct(F.lit(0).alias("end"), F.xxhash64(F.array_min("r")).alias("s")), F.struct(F.lit(1).alias("end"), F.xxhash64(F.array_max("r")).alias("s")))
+    kinds = pages.select("h", "hit", F.explode(ends).alias("e")).select("h", F.explode("hit").alias("k"), "e.end", "e.s")
+    kinds = kinds.groupBy("h", "k", "end", "s").agg(F.lit(1).alias("one")).groupBy("h", "k", "end").agg(F.count("one").alias("c"))
+    kinds = kinds.groupBy(F.col("h").alias("kh"), F.col("k").alias("kk")).agg(F.max("c").alias("kinds"))
+    return found.join(kinds, F.col("h").eqNullSafe(F.col("kh")) & (F.col("k") == F.col("kk"))).where("2 * kinds >= n").select("h", "k")
 
 
 def dedup_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, long_ratio: float = LONG_RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``; all rows and columns stay."""
     st = Staging(docs.sparkSession, "lines")
-    bad, by, salt, part = unused(docs.columns, "bad", "by", "salt", "part")
-    drop = boilerplate(docs, host, text, ratio, long_ratio, least_pages, st).groupBy(F.col("h").alias(by)).agg(F.collect_list("k").alias(bad))
-    drop = st.write(drop, "drop")
-    n = drop.agg(F.coalesce(F.sum(F.size(bad)), F.lit(0)).alias("n")).first()["n"]
-    if n <= BROADCAST_LINES:
-        d = docs.join(F.broadcast(drop), at(docs, host).eqNullSafe(F.col(by)), "left")
-    else:
-        dealt = docs.withColumn(salt, F.pmod(F.xxhash64(at(docs, text)), F.lit(SALTS)))
-        copies = drop.withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-        d = dealt.join(copies, at(dealt, host).eqNullSafe(F.col(by)) & (F.col(salt) == F.col(part)), "left")
+    bad = unused(docs.columns, "bad")[0]
+    d = _with_lines(docs, host, text, boilerplate(docs, host, text, ratio, long_ratio, least_pages, st), bad, st)
     kept = F.filter(F.split(at(d, text), "\n"), lambda x: (_trimmed(x) == "") | ~F.array_contains(F.col(bad), _key(_trimmed(x))))
     return d.select(*[F.when(F.col(bad).isNull(), at(d, c)).otherwise(F.array_join(kept, "\n")).alias(c) if c == text else at(d, c) for c in docs.columns])
 
@@ -97,13 +110,17 @@ with p as (select row_number() over () as rid, * from {docs}),
 l as (select rid, source, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from p),
 t as (select rid, source, i, line, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as k from l),
 one as (select min(rid) as rid, source, text from p group by source, text),
-u as (select distinct rid, source, k, md5(k) as m from t where k <> '' and rid in (select rid from one)),
-m as (select one.rid, one.source, coalesce(list(m order by m) filter (m is not null), []) as m from one left join u using (rid) group by one.rid, one.source),
-pages as (select source, greatest(count(distinct [m[1]]), count(distinct [m[-1]])) as pages from m group by source),
-e as (select u.source, u.k, [case when u.m = m.m[1] then m.m[2] else m.m[1] end] as s0, [case when u.m = m.m[-1] then m.m[-2] else m.m[-1] end] as s1 from u join m using (rid) where length(u.k) < {LONG_CHARS} or len(m.m) >= {TELLING_LINES}),
-c as (select source, k, greatest(count(distinct s0), count(distinct s1)) as n, count(*) as texts from e group by source, k),
-bad as (select c.source, k from c join pages on c.source is not distinct from pages.source
-        where n >= {least_pages} and 2 * n >= texts and n > (case when length(k) >= {LONG_CHARS} then {long_ratio} else {ratio} end) * pages),
+u as (select distinct rid, source, k from t where k <> '' and rid in (select rid from one)),
+pages as (select source, count(*) as pages from one group by source),
+c as (select source, k, count(*) as n from u group by source, k),
+above as (select c.source, k, n from c join pages on c.source is not distinct from pages.source
+        where n >= {least_pages} and n > (case when length(k) >= {LONG_CHARS} then {long_ratio} else {ratio} end) * pages),
+own as (select one.rid, string_agg(t.k, ' ' order by t.i) filter (t.k <> '' and a.k is null) as own from one join t using (rid)
+        left join above a on a.source is not distinct from t.source and a.k = t.k group by one.rid),
+w as (select rid, list_filter(regexp_split_to_array(coalesce(own, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from own),
+r as (select rid, list_transform(range(1, greatest(len(w) - {OWN_WORDS - 1}, 1) + 1), lambda i: md5(array_to_string(w[i:i + {OWN_WORDS - 1}], ' '))) as r from w),
+bad as (select a.source, a.k from above a join u on a.source is not distinct from u.source and a.k = u.k join r using (rid)
+        group by a.source, a.k, a.n having 2 * greatest(count(distinct list_min(r)), count(distinct list_max(r))) >= a.n),
 kept as (select rid, string_agg(line, chr(10) order by i) as text from t where not exists (select 1 from bad where bad.source is not distinct from t.source and bad.k = t.k) group by rid)
 select p.doc_id, case when p.text is null then null else coalesce(kept.text, '') end as text, p.lang, p.source, length(case when p.text is null then null else coalesce(kept.text, '') end)::bigint as n_chars
 from p left join kept using (rid)"""
