@@ -35,38 +35,63 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillgraph.llm.columns import at
-from quillgraph.llm.words import WordHashes, rolling, scramble, slices, texts
+from quillgraph.llm.words import rolling, scramble, slices, texts
 from quillgraph.plans.staging import Staging
 
-WINDOW, GRAM = 13, 7
+WINDOW, GRAM = 13, 5
 #: Documents (16 bytes each) of which a list may be broadcast; longer lists join by shuffle.
 BROADCAST_DOCS = 2_000_000
-#: Bytes of text split into words at a time.
-PIECE = 1 << 20
+#: Bytes of text taken apart at a time; a longer word is taken whole.
+PIECE = 1 << 18
+SPACES = (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")
 SPACE = re.compile(rb"[\x09-\x0d\x20]")
 #: Odd multiplier of the rolling sums, and what keeps them apart from the hashes of segments.
 BASE, APART = np.uint64(0xD1342543DE82EF95), np.uint64(0xA5A5F00DC0FFEE11)
 
+with np.errstate(over="ignore"):
+    POWERS = np.cumprod(np.concatenate([[np.uint64(1)], np.full(PIECE, BASE)]), dtype=np.uint64)
+    INVERSES = np.cumprod(np.concatenate([[np.uint64(1)], np.full(PIECE, np.uint64(pow(int(BASE), -1, 2**64)))]), dtype=np.uint64)
+#: Whether a byte is part of a word, and a fixed random value of each.
+LETTER = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)])
+BYTES = np.random.default_rng(13).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
 HIT = "doc_id long, t long, start int, n int, key long, form long, next long, prev long"
 
 
-def _pieces(text: bytes) -> Iterator[list[bytes]]:
-    """Words of a text, a bounded piece at a time."""
+def _pieces(text: bytes) -> Iterator[bytes]:
+    """A text in pieces cut at white space, of at most PIECE bytes unless they are one longer word."""
     lo = 0
-    while lo < len(text):
-        cut = SPACE.search(text, lo + PIECE) if len(text) - lo > PIECE else None
-        hi = cut.start() if cut else len(text)
-        yield text[lo:hi].split()
-        lo = hi + 1
-
-
-def _hashed(text: bytes, hashes: WordHashes) -> np.ndarray:
-    parts = [hashes.of(w) for w in _pieces(text)]
+    while len(text) - lo > PIECE:
+        cut = max(text.rfind(c, lo, lo + PIECE + 1) for c in SPACES)
+        if cut < 0:
+            found = SPACE.search(text, lo + PIECE)
+            cut = found.start() if found else len(text)
+        yield text[lo:cut]
+        lo = cut + 1
+    yield text[lo:]
+
+
+def _hashed(text: bytes) -> np.ndarray:
+    """64-bit hashes of a text's words: sums of a value for each byte times BASE to its place in the word, mixed."""
+    parts = []
+    for piece in _pieces(text):
+        if len(piece) > PIECE:
+            parts.append(np.array([xxhash.xxh3_64_intdigest(piece)], np.uint64))
+            continue
+        raw = np.frombuffer(piece, np.uint8)
+        edge = np.flatnonzero(np.diff(LETTER[raw], prepend=False, append=False))
+        if len(edge):
+            lo, hi = edge[::2], edge[1::2]
+            with np.errstate(over="ignore"):
+                sums = np.zeros(len(raw) + 1, np.uint64)
+                np.cumsum(BYTES[raw] * POWERS[: len(raw)], out=sums[1:])
+                parts.append(scramble((sums[hi] - sums[lo]) * INVERSES[lo] + (hi - lo).astype(np.uint64)))
     return np.concatenate(parts) if parts else np.empty(0, np.uint64)
 
 
@@ -75,10 +100,16 @@ def _segments(h: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.nda
     if len(h) < window:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
     grams = rolling(h, gram)
-    width = window - gram + 1
-    least = np.lib.stride_tricks.sliding_window_view(grams, width).argmin(axis=1) + np.arange(len(h) - window + 1)
-    starts = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    return starts, np.diff(np.append(starts, len(least))), grams[least[starts]]
+    n = len(h) - window + 1
+    # The low bits hold the place in the window, so that the first of equal grams counts.
+    bits = np.uint64((window - gram).bit_length())
+    slot = (grams >> bits) << bits
+    least = slot[:n].copy()
+    for j in range(1, window - gram + 1):
+        np.minimum(least, slot[j : j + n] | np.uint64(j), out=least)
+    place = np.arange(n) + (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    starts = np.flatnonzero(np.diff(place, prepend=-1))
+    return starts, np.diff(np.append(starts, n)), grams[place[starts]]
 
 
 def _forms(h: np.ndarray, starts: np.ndarray, n: np.ndarray, window: int) -> np.ndarray:
@@ -97,9 +128,8 @@ def _sums(h: np.ndarray) -> np.ndarray:
 
 def _key_lists(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in slices(batches):
-            keys = [_segments(_hashed(x, hashes), window, gram)[2].view(np.int64) for x in texts(batch.column(2))]
+            keys = [_segments(_hashed(x), window, gram)[2].view(np.int64) for x in texts(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "t", "keys"])
 
     return run
@@ -107,24 +137,21 @@ def _key_lists(window: int, gram: int):
 
 def _hit_segments(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in slices(batches, 64):
-            out: list[list[np.ndarray]] = [[] for _ in range(7)]
-            ids, ts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i, (text, wanted) in enumerate(zip(texts(batch.column(2)), batch.column(3), strict=True)):
-                at_ = np.unique(wanted.values.to_numpy(zero_copy_only=False))
-                h = _hashed(text, hashes)
+        for batch in slices(batches, 256):
+            rows, out = [], []
+            for text, wanted in zip(texts(batch.column(2)), batch.column(3), strict=True):
+                at_ = wanted.values.to_numpy(zero_copy_only=False)
+                h = _hashed(text)
                 starts, n, keys = _segments(h, window, gram)
-                forms = _forms(h, starts, n, window).view(np.int64)
-                missing = np.zeros(1, np.int64)  # a text's ends have no neighbour
-                after, before = np.concatenate([forms[1:], missing]), np.concatenate([missing, forms[:-1]])
-                columns = (np.full(len(at_), i), starts[at_], n[at_], keys.view(np.int64)[at_], forms[at_], after[at_], before[at_])
-                for into, values in zip(out, columns, strict=True):
-                    into.append(values)
-            row, start, n, key, form, after, before = (np.concatenate(x) if x else np.empty(0, np.int64) for x in out)
+                forms = np.zeros(len(starts) + 2, np.int64)  # a text's ends have no neighbour
+                forms[1:-1] = _forms(h, starts, n, window).view(np.int64)
+                rows.append(len(at_))
+                out.append(np.stack([starts[at_], n[at_], keys.view(np.int64)[at_], forms[at_ + 1], forms[at_ + 2], forms[at_]]))
+            start, n, key, form, after, before = np.concatenate(out, axis=1)
+            row = np.repeat(np.arange(len(rows)), rows)
             side = lambda x: pa.array(x, pa.int64(), mask=x == 0)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[i] for i in row], pa.int64()), pa.array([ts[i] for i in row], pa.int64()), pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(key, pa.int64()), pa.array(form, pa.int64()), side(after), side(before)],
+                [batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(key), pa.array(form), side(after), side(before)],
                 ["doc_id", "t", "start", "n", "key", "form", "next", "prev"],
             )
 
@@ -132,35 +159,38 @@ def _hit_segments(window: int, gram: int):
 
 
 def _edges(window: int):
-    """(doc_id, t, place, key, form, edge) of each window of the segments asked for."""
+    """(doc_id, t, place, j, key, form, edge) of each window, the j-th of its segment, of the segments asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in slices(batches, 64):
-            out: list[tuple] = []
-            for doc_id, t, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2)), batch.column(3), strict=True):
-                edges = rolling(_hashed(text, hashes), window).view(np.int64)
-                for w in wanted.as_py():
-                    out += [(doc_id, t, w["start"] + j, j, w["key"], w["form"], int(edges[w["start"] + j])) for j in range(w["n"])]
-            columns = list(zip(*out, strict=True)) or [[]] * 7
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "t", "place", "j", "key", "form", "edge"])
+        for batch in slices(batches, 256):
+            rows, out = [], []
+            for text, wanted in zip(texts(batch.column(2)), batch.column(3), strict=True):
+                start, n, key, form = (wanted.values.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4))
+                j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                place = np.repeat(start, n) + j
+                rows.append(len(j))
+                out.append(np.stack([place, j, np.repeat(key, n), np.repeat(form, n), rolling(_hashed(text), window).view(np.int64)[place]]))
+            place, j, key, form, edge = np.concatenate(out, axis=1)
+            row = pa.array(np.repeat(np.arange(len(rows)), rows))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(row), batch.column(1).take(row), pa.array(place.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(key), pa.array(form), pa.array(edge)],
+                ["doc_id", "t", "place", "j", "key", "form", "edge"],
+            )
 
     return run
 
 
 def _sums_at(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, t, place, value): rolling sums of a text at the places asked for."""
-    hashes = WordHashes()
-    for batch in slices(batches, 64):
-        ids, ts, places, values = [], [], [], []
-        for doc_id, t, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2)), batch.column(3), strict=True):
-            at_ = np.unique(wanted.values.to_numpy(zero_copy_only=False))
-            ids += [doc_id] * len(at_)
-            ts += [t] * len(at_)
-            places += at_.tolist()
-            values += _sums(_hashed(text, hashes)).view(np.int64)[at_].tolist()
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ts, pa.int64()), pa.array(places, pa.int32()), pa.array(values, pa.int64())], ["doc_id", "t", "place", "value"])
+    for batch in slices(batches, 256):
+        rows, out = [], []
+        for text, wanted in zip(texts(batch.column(2)), batch.column(3), strict=True):
+            place = wanted.values.to_numpy(zero_copy_only=False).astype(np.int64)
+            rows.append(len(place))
+            out.append(np.stack([place, _sums(_hashed(text)).view(np.int64)[place]]))
+        place, value = np.concatenate(out, axis=1)
+        row = pa.array(np.repeat(np.arange(len(rows)), rows))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(place.astype(np.int32)), pa.array(value)], ["doc_id", "t", "place", "value"])
 
 
 def _verified(h: np.ndarray, spans: pa.ListScalar) -> np.ndarray:
@@ -190,16 +220,14 @@ def _power(exponents: np.ndarray) -> np.ndarray:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
     for batch in slices(batches, 256):
         n_words, n_removed, digests = [], [], []
         for text, spans in zip(texts(batch.column(1)), batch.column(2), strict=True):
             digest = hashlib.sha256()
-            gone = _verified(_hashed(text, hashes), spans) if spans.is_valid else None
+            gone = _verified(_hashed(text), spans) if spans.is_valid else None
             done, first = 0, True
-            for words in _pieces(text):
-                if not words:
-                    continue
+            for piece in _pieces(text):
+                words = piece.split()
                 kept = words if gone is None else [w for w, g in zip(words, gone[done : done + len(words)].tolist(), strict=True) if not g]
                 done += len(words)
                 if kept:
@@ -247,9 +275,11 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     # 2. distinct segments: first document, source coordinates, neighbours.
     own = ["key", "form", "n"]
     ends = [f(c).alias(f"{name}_{c}") for c in ("next", "prev") for name, f in (("lo", F.min), ("hi", F.max))]
-    forms = segments.groupBy(*own).agg(F.min(F.struct("doc_id", "t", "start")).alias("at"), F.max("doc_id").alias("last"), *ends)
+    # Both come from one row of the first document; which of several does not matter.
+    source = [F.min_by("t", "doc_id").alias("first_t"), F.min_by("start", "doc_id").alias("place")]
+    forms = segments.groupBy(*own).agg(F.min("doc_id").alias("first"), *source, F.max("doc_id").alias("last"), *ends)
     alone = lambda c: F.col(f"lo_{c}").eqNullSafe(F.col(f"hi_{c}"))
-    forms = forms.select(*own, F.col("at.doc_id").alias("first"), F.col("at.t").alias("first_t"), F.col("at.start").alias("place"), "last", F.when(alone("next"), F.col("lo_next")).alias("next"), F.when(alone("prev"), F.col("lo_prev")).alias("prev"))
+    forms = forms.select(*own, "first", "first_t", "place", "last", F.when(alone("next"), F.col("lo_next")).alias("next"), F.when(alone("prev"), F.col("lo_prev")).alias("prev"))
     forms = st.write(forms, "forms")
 
     # 3. paths without branches, and their occurrences in later documents as spans.
@@ -270,17 +300,21 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     apart = st.write(forms.join(many, "key").select("first", "first_t", "place", "key", "form", "n"), "apart")
     asked = apart.select(F.col("first").alias("doc_id"), F.col("first_t").alias("t"), F.struct(F.col("place").alias("start"), "n", "key", "form").alias("w"))
     edges = st.write(found.asked(asked, F.col("w")).mapInArrow(_edges(window), "doc_id long, t long, place int, j int, key long, form long, edge long"), "edges")
-    least = edges.groupBy(F.col("key").alias("k"), F.col("edge").alias("e")).agg(F.min(F.struct("doc_id", "t", "place")).alias("at"), F.max("doc_id").alias("last")).where("at.doc_id < last")
-    least = st.write(least.select("k", "e", F.col("at.doc_id").alias("first"), F.col("at.t").alias("first_t"), F.col("at.place").alias("place")), "least")
+    least = edges.groupBy(F.col("key").alias("k"), F.col("edge").alias("e")).agg(F.min("doc_id").alias("first"), F.min_by("t", "doc_id").alias("first_t"), F.min_by("place", "doc_id").alias("place"), F.max("doc_id").alias("last"))
+    least = st.write(least.where("first < last").drop("last"), "least")
+    st.drop(many, apart)
     partly = edges.select("doc_id", "j", "key", "form", "edge").join(least, (F.col("key") == F.col("k")) & (F.col("edge") == F.col("e"))).where("doc_id > first")
     partly = st.write(partly.select("doc_id", "key", "form", "j", "first", "first_t", "place"), "partly")
+    st.drop(edges, least)
     # The first document of a segment may hold it more than once, and in several rows of its id.
     windows = segments.select("doc_id", "t", "start", "key", "form").join(partly, ["doc_id", "key", "form"])
     windows = windows.select("doc_id", "t", (F.col("start") + F.col("j")).alias("lo"), "first", "first_t", "place").distinct().withColumn("diagonal", F.col("lo") - F.col("place"))
     run = Window.partitionBy("doc_id", "t", "first", "first_t", "diagonal").orderBy("lo")
     runs = windows.withColumn("run", F.col("lo") - F.row_number().over(run)).groupBy("doc_id", "t", "first", "first_t", "diagonal", "run")
     runs = runs.agg(F.min("lo").alias("lo"), (F.max("lo") + 1).alias("end"), F.min("place").alias("place")).select(*span)
-    return st.write(spans.unionByName(runs), "spans")
+    out = st.write(spans.unionByName(runs), "spans")
+    st.drop(segments, forms, paths, partly)
+    return out
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -293,5 +327,6 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     end = lambda name: sums.select(F.col("doc_id").alias("first"), F.col("t").alias("first_t"), F.col("place").alias(f"at_{name}"), F.col("value").alias(name))
     checked = spans.withColumn("at_s0", F.col("place")).withColumn("at_s1", F.col("place") + F.col("size")).join(end("s0"), ["first", "first_t", "at_s0"]).join(end("s1"), ["first", "first_t", "at_s1"])
     per = st.write(checked.groupBy(F.col("doc_id").alias("of"), F.col("t").alias("of_t")).agg(F.collect_list(F.struct("lo", "size", "place", "s0", "s1")).alias("spans")), "checked")
+    st.drop(spans, sums)
     rows = found.rows.join(per, (F.col("doc_id") == F.col("of")) & (F.col("t") == F.col("of_t")), "left").select("doc_id", "text", "spans")
     return rows.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_sha256 string")
