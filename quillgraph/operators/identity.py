@@ -11,6 +11,7 @@ from quillgraph.functions.predicates import ID_FORMS, NODE_ID, TYPE_FORM, identi
 from quillgraph.functions.scalars import ID_PRIORITY, norm_name, pad_cik
 from quillgraph.functions.texts import alias_key
 from quillgraph.operators.components import connected_components
+from quillgraph.operators.paths import follow_supersession
 from quillgraph.plans.staging import Staging
 
 OFFICIAL = ("sec_cik", "uk_officer", "lei")
@@ -137,6 +138,60 @@ def same_person(people: DataFrame, ties: DataFrame, listed: DataFrame | None = N
     return merges.unionByName(found.where("decision = 'held'"))
 
 
+def first_matching(pairs: DataFrame, staging: Staging) -> DataFrame:
+    """The pairs (a, b, keep) that one after the other in the order (keep, a, b) would take if a record were in one pair only.
+
+    Each round takes all pairs that come first for both their records, and drops those that touch them; that is the
+    same choice as the sequential one."""
+    rank = F.struct("keep", "a", "b")
+    left, taken = staging.write(pairs.select("a", "b", "keep").distinct(), "left"), []
+    while not left.isEmpty():
+        least = left.select(F.explode(F.array("a", "b")).alias("id"), rank.alias("r")).groupBy("id").agg(F.min("r").alias("r"))
+        now = left
+        for end in ("a", "b"):
+            now = now.join(least.select(F.col("id").alias(end), F.col("r").alias(f"r_{end}")), end)
+        taken.append(staging.write(now.where((F.col("r_a") == rank) & (F.col("r_b") == rank)).select("a", "b", "keep"), "taken"))
+        used = taken[-1].select(F.explode(F.array("a", "b")).alias("id"))
+        for end in ("a", "b"):
+            left = left.join(used.select(F.col("id").alias(end)), end, "left_anti")
+        left = staging.write(left.select("a", "b", "keep"), "left")
+    return staging.together(taken) if taken else left
+
+
+def settle_people(people: DataFrame, ties: DataFrame, listed: DataFrame | None = None) -> DataFrame:
+    """(id, keep): each record and the one it is merged into in the end, itself if none.
+
+    Runs of ``same_person`` go on until one merges nothing. In each run the merges are taken in order, a record in one of
+    them; then ties, listings and identifiers of the records that went are those of the ones that stay (whose own
+    values come first), so that what two records know together can bring in a third."""
+    st = Staging(people.sparkSession, "settle")
+    now = st.write(people.select("id", "name", F.coalesce("ids", F.create_map().cast("map<string,string>")).alias("ids")), "people")
+    ties = st.write(ties.select("person", "org").distinct(), "ties")
+    moves = []
+    while True:
+        found = st.write(same_person(now, ties, listed).where("decision in ('merge', 'later')"), "found")
+        pairs = st.write(first_matching(found, st), "pairs")
+        if pairs.isEmpty():
+            break
+        moved = st.write(pairs.select(F.when(F.col("keep") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("gone"), "keep"), "moved")
+        moves.append(moved)
+        at = lambda c: F.coalesce(f"to_{c}", c)
+        to = lambda c: moved.select(F.col("gone").alias(c), F.col("keep").alias(f"to_{c}"))
+        ties = st.write(ties.join(to("person"), "person", "left").select(at("person").alias("person"), "org").distinct(), "ties")
+        if listed is not None:
+            both = listed.join(to("a"), "a", "left").join(to("b"), "b", "left").select(at("a").alias("x"), at("b").alias("y")).where("x <> y")
+            listed = st.write(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "listed")
+        given = now.join(moved.withColumnRenamed("gone", "id"), "id").select(F.col("keep").alias("id"), F.col("ids").alias("more"))
+        missing = F.map_filter(F.coalesce("more", F.create_map().cast("map<string,string>")), lambda k, v: ~F.map_contains_key("ids", k))
+        now = now.join(moved.select(F.col("gone").alias("id")), "id", "left_anti").join(given, "id", "left").select("id", "name", F.map_concat("ids", missing).alias("ids"))
+        now = st.write(now, "people")
+    links = people.select("id").distinct()
+    if not moves:
+        return links.select("id", F.col("id").alias("keep"))
+    links = links.join(st.together(moves).withColumnsRenamed({"gone": "id", "keep": "superseded_by"}), "id", "left")
+    return follow_supersession(links).select("id", F.col("live").alias("keep"))
+
+
 def surname_change_pairs(people: DataFrame, ties: DataFrame) -> DataFrame:
     """(a, b, shared): one first name, other surnames, one of which is the other's middle name, and shared organisations.
 

@@ -106,12 +106,12 @@ BROADCAST_NAMES = 200_000
 
 def contained_names(texts: DataFrame, text: str, names: DataFrame, name: str) -> DataFrame:
     """texts by each name that they contain anywhere. Few names are held against each text in place; more than
-    ``BROADCAST_NAMES`` meet only texts that have three letters of theirs in a row, by a join on these."""
+    ``BROADCAST_NAMES`` meet only texts that have their first three letters in a row, or all of a shorter name, by a join on these."""
     if names.count() <= BROADCAST_NAMES:
         return texts.join(F.broadcast(names), F.contains(F.col(text), F.col(name)))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))), lambda i: F.substring(F.col(text), i, F.lit(3)))
-    met = texts.withColumn("__g", F.explode(F.array_distinct(grams)))
-    return met.join(names.where(F.length(name) >= 3).withColumn("__g", F.substring(name, 1, 3)), "__g").where(F.contains(F.col(text), F.col(name))).drop("__g")
+    grams = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (k - 1), F.lit(1))), lambda i: F.substring(F.col(text), i, F.lit(k)))
+    met = texts.withColumn("__g", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), grams(1), grams(2), grams(3)))))
+    return met.join(names.withColumn("__g", F.substring(name, 1, 3)), "__g").where(F.contains(F.col(text), F.col(name))).drop("__g")
 
 
 def union_of(pulls: list[DataFrame], keys: list[str]) -> DataFrame:
