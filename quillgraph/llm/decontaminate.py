@@ -23,12 +23,13 @@ Odd input: a null text is empty and clean; an item without words matches nothing
 ``least_words`` words is found in a document that has just these words; an item shorter than a window is one window
 of its own length; items repeated with other ids are all reported; every row gives a row, exact repeats included; a
 null doc_id keeps its row, a null item_id drops the item; an empty benchmark finds nothing; extra columns are ignored.
+Texts are read by some ``CHUNK`` bytes and hits leave by ``HITS`` rows; a longer text is held as numbers, about ten bytes
+a byte of text.
 Names are told by letter case: in capitals only, or in scripts without case, other names count as other words.
 """
 
 from __future__ import annotations
 
-import itertools
 import re
 from collections.abc import Iterator
 
@@ -50,8 +51,8 @@ RUN, TEMPLATE_WORDS = 13, 4
 BROADCAST_WINDOWS, SALTS = 500_000, 32
 #: Largest bitmap in bits; bits for each window up to there; bits of one piece.
 BITMAP_MOST, BITMAP_EACH, PIECE = 1 << 26, 256, 1 << 16
-#: Bytes of text read at a time.
-CHUNK = 1 << 20
+#: Bytes of text read at a time; hits that leave a task at a time.
+CHUNK, HITS = 1 << 20, 1 << 13
 
 # Words that are units.
 UNITS = frozenset(
@@ -157,23 +158,40 @@ class Stream:
             self._values[at] = xxhash.xxh3_64_intdigest(out) >> 4 << 3 | kind
         return self._values[at]
 
-    def around(self, at: np.ndarray, k: int, reach: int) -> list[list[int]]:
+    def around(self, at: np.ndarray, k: int, reach: int) -> np.ndarray:
         """Words of the windows ``at`` and ``reach`` beyond; values of slots, else 0, in template forms; 0 outside the text."""
         i = at[:, None] + np.arange(-reach, k + reach)
         safe = np.clip(i, 0, len(self.token) - 1)
         same = (i == safe) & (self.owner[safe] == self.owner[at][:, None])
         if self.form == VERBATIM:
-            return np.where(same, self.token[safe], 0).view(np.int64).tolist()
-        return [[self._value(x) if y else 0 for x, y in zip(xs, ys, strict=True)] for xs, ys in zip(safe.tolist(), (same & self.slot[safe]).tolist(), strict=True)]
-
-
-def streams(words: Words, chunk: list[bytes]) -> list[Stream]:
-    """The texts of a chunk in the first three forms."""
+            return np.where(same, self.token[safe], 0).view(np.int64)
+        out = np.zeros(i.shape, np.int64)
+        slots = same & self.slot[safe]
+        out[slots] = [self._value(x) for x in safe[slots].tolist()]
+        return out
+
+
+def _pieces(text: bytes) -> Iterator[bytes]:
+    """A text in pieces of ``CHUNK`` bytes or a little more, cut at blanks, so that a long one's words need not all be held as objects."""
+    at = 0
+    while len(text) - at > CHUNK:
+        end = text.find(b" ", at + CHUNK)
+        if end < 0:
+            break
+        yield text[at:end]
+        at = end
+    yield text[at:] if at else text
+
+
+def streams(words: Words, chunk: list[bytes]) -> Iterator[Stream]:
+    """The texts of a chunk in the first three forms, one after the other."""
     words.fresh()
-    split = [words.split(t) for t in chunk]
-    ids = np.fromiter(map(words.__getitem__, itertools.chain.from_iterable(split)), np.int32)
-    owner = np.repeat(np.arange(len(split), dtype=np.int32), [len(ws) for ws in split])
-    return [Stream(words, ids, owner, form) for form in (NAMED, PLAIN, VERBATIM)]
+    parts = [[np.fromiter(map(words.__getitem__, words.split(x)), np.int32) for x in _pieces(t)] for t in chunk]
+    owner = np.repeat(np.arange(len(chunk), dtype=np.int32), [sum(map(len, ps)) for ps in parts])
+    ids = np.concatenate([x for ps in parts for x in ps] or [np.empty(0, np.int32)])
+    del parts
+    for form in (NAMED, PLAIN, VERBATIM):
+        yield Stream(words, ids, owner, form)
 
 
 ROW = "gram long, item long, form int, ipos int, size int, n long, values array<bigint>"
@@ -186,11 +204,11 @@ def item_windows(item: int, text: str, words: Words, k: int, least_words: int) -
         n = len(s.token)
         if s.form == VERBATIM:
             if n and n < least_words:
-                out.append((int(s.windows(n)[0].view(np.int64)[0]), item, WHOLE, 0, n, n, s.around(np.zeros(1, int), n, 0)[0]))
+                out.append((int(s.windows(n)[0].view(np.int64)[0]), item, WHOLE, 0, n, n, s.around(np.zeros(1, int), n, 0)[0].tolist()))
             elif n:
                 size = min(k, n)
                 at = np.arange(n - size + 1)
-                out += [(int(g), item, VERBATIM, i, size, n, v) for g, i, v in zip(s.windows(size)[0].view(np.int64), at.tolist(), s.around(at, size, k - 1), strict=True)]
+                out += [(int(g), item, VERBATIM, i, size, n, v) for g, i, v in zip(s.windows(size)[0].view(np.int64), at.tolist(), s.around(at, size, k - 1).tolist(), strict=True)]
             continue
         if n < least_words or (s.form == NAMED and not (s.words.kinds[s.ids] == NAME).any()):
             continue
@@ -201,7 +219,7 @@ def item_windows(item: int, text: str, words: Words, k: int, least_words: int) -
             covered[i : i + size] = True
         if covered.sum() * 2 >= n and (covered & ~s.slot).sum() >= TEMPLATE_WORDS:
             grams = s.windows(size)[0].view(np.int64)
-            out += [(int(grams[i]), item, s.form, i, size, int(covered.sum()), v) for i, v in zip(at.tolist(), s.around(at, size, k - 1), strict=True)]
+            out += [(int(grams[i]), item, s.form, i, size, int(covered.sum()), v) for i, v in zip(at.tolist(), s.around(at, size, k - 1).tolist(), strict=True)]
     return out
 
 
@@ -250,6 +268,21 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[list, list[bytes]]]:
         yield ids[at:], whole[at:]
 
 
+FOUND = ["uid", "row", "doc_id", "dform", "pos", "dgram", "found"]
+
+
+def _hits(s: Stream, form: int, at: np.ndarray, size: int, reach: int, grams: np.ndarray, first: np.ndarray, uid: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The windows ``at`` as rows, at most ``HITS`` at a time."""
+    for i in range(0, len(at), HITS):
+        some = at[i : i + HITS]
+        n, of = len(some), s.owner[some]
+        found = s.around(some, size, reach)
+        listed = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * found.shape[1]), pa.array(found.ravel()))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(uid[of]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(np.full(n, form, np.int32)), pa.array((some - first[of]).astype(np.int32)), pa.array(grams[some].view(np.int64)), listed], FOUND
+        )
+
+
 def _finder(lengths: list[int], k: int, least_words: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -258,7 +291,7 @@ def _finder(lengths: list[int], k: int, least_words: int, shared):
         shift = np.uint64(64 - (len(bits).bit_length() - 1))
         for batch in batches:
             for ids, chunk in _chunks(batch):
-                out: list[list] = [[], [], [], [], []]
+                uid = np.array([i[0] for i in ids], np.int64)
                 for s in streams(words, chunk):
                     first = np.searchsorted(s.owner, np.arange(len(chunk)))
                     for size in lengths:
@@ -267,27 +300,15 @@ def _finder(lengths: list[int], k: int, least_words: int, shared):
                         if known is not None:
                             near = np.minimum(np.searchsorted(known, grams[at]), len(known) - 1)
                             at = at[known[near] == grams[at]]
+                        form, reach = s.form, k - 1
                         if s.form == VERBATIM and size < least_words:
                             # The windows of such items are whole texts.
                             alone = np.bincount(s.owner, minlength=len(chunk))[s.owner[at]] == size
                             form, at, reach = WHOLE, at[alone], 0
-                        else:
-                            form, reach = s.form, k - 1
-                        if len(at):
-                            out[0] += s.owner[at].tolist()
-                            out[1] += [form] * len(at)
-                            out[2] += (at - first[s.owner[at]]).tolist()
-                            out[3] += grams[at].view(np.int64).tolist()
-                            out[4] += s.around(at, size, reach)
-                uid = [ids[i][0] for i in out[0]]
-                closing = len(ids)
+                        yield from _hits(s, form, at, size, reach, grams, first, uid)
+                n = len(ids)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(uid + [i[0] for i in ids], pa.int64()), pa.array([None] * len(uid) + [i[1] for i in ids], pa.int64()), pa.array([None] * len(uid) + [i[2] for i in ids], pa.int64()),
-                        pa.array(out[1] + [None] * closing, pa.int32()), pa.array(out[2] + [None] * closing, pa.int32()), pa.array(out[3] + [None] * closing, pa.int64()),
-                        pa.array(out[4] + [None] * closing, pa.list_(pa.int64())),
-                    ],
-                    ["uid", "row", "doc_id", "dform", "pos", "dgram", "found"],
+                    [pa.array(uid), pa.array([i[1] for i in ids], pa.int64()), pa.array([i[2] for i in ids], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64()))], FOUND
                 )
 
     return run
