@@ -268,6 +268,32 @@ def _(spark, d):
     return paths.find_paths(g, _starts(spark), g.nodes.where("entity_type <> 'PERSON' and array_contains(domains, 'DOM_C')"), mode="strongest")
 
 
+@query("gr05_sector_path_report", """, src as (select id from nodes where entity_type <> 'PERSON' and list_contains(domains, 'DOM_A')),
+every as (select id from nodes where entity_type <> 'PERSON' and list_contains(domains, 'DOM_B')), tgt as (select id from every where id not in (select id from src)),
+w(id, hops, prev, via) using key (id) as (select id, 0, null::varchar, null::varchar from src union
+  (select b, hops, p[1], p[2] from (select adj.b, w.hops + 1 as hops, min([w.id, adj.edge_id]) as p from w join adj on adj.a = w.id left join recurring.w r on r.id = adj.b where r.id is null and w.id not in (select id from tgt) group by adj.b, w.hops))),
+best as (select id, hops from w where id in (select id from tgt) order by hops, id limit 5),
+walk(fin, tip, pos) as (select id, id, hops from best union all select fin, prev, pos - 1 from walk join w on w.id = tip where prev is not null),
+steps as (select fin, pos, tip as id, via, weight, entity_type <> 'PERSON' as org, list_sort(domains) as d from walk join w on w.id = tip join nodes n on n.id = tip left join live on edge_id = via),
+parts as (select *, coalesce(sum(org::int) over (partition by fin order by pos rows between unbounded preceding and 1 preceding), 0) as seg from steps),
+segs as (select fin, seg, max(id) filter (where org) as o, any_value(d) filter (where org) as d, min(weight) as weight, string_agg(id, ',' order by pos) filter (where not org) as via, max(pos) as hop from parts group by fin, seg having bool_or(org)),
+turns as (select *, lag(o) over v as a, lag(d) over v as da from segs window v as (partition by fin order by seg)),
+crossed as (select fin, string_agg(hop || ' ' || a || '>' || o || ' via ' || coalesce(via, '') || ' -' || array_to_string(list_filter(da, lambda x: not list_contains(d, x)), ',') || ' +' || array_to_string(list_filter(d, lambda x: not list_contains(da, x)), ',')
+  || case when list_has_any(da, d) then '' else ' full' end || ' ' || (weight * 1000)::bigint, ';' order by hop) as crossings from turns where a is not null and da <> d group by fin)
+select 'path' as kind, (row_number() over (order by best.hops, best.id))::int as rank, best.id, best.hops::bigint as hops, nodes, edges, min_weight, mean_weight, coalesce(crossings, '') as crossings
+from best join (select fin, string_agg(id, '>' order by pos) as nodes, string_agg(via, ';' order by pos) as edges, min(weight) as min_weight, round(avg(weight), 3) as mean_weight from steps group by fin) s on s.fin = best.id left join crossed c on c.fin = best.id
+union all select 'spanning', null, id, null, null, null, null, null, null from src where id in (select id from every)""")
+def _(spark, d):
+    g = _live(spark, d)
+    orgs = g.nodes.where("entity_type <> 'PERSON'")
+    found = paths.path_report(g, orgs.where("array_contains(domains, 'DOM_A')"), orgs.where("array_contains(domains, 'DOM_B')"))
+    turn = F.transform("crossings", lambda x: F.concat(
+        x["hop"].cast("string"), F.lit(" "), x["from_org"], F.lit(">"), x["to_org"], F.lit(" via "), x["via"], F.lit(" -"), x["leaving"], F.lit(" +"), x["entering"],
+        F.when(x["full_boundary"], " full").otherwise(""), F.lit(" "), F.round(x["weight"] * 1000).cast("long").cast("string"),
+    ))
+    return found.select("kind", "rank", "id", "hops", F.array_join("nodes", ">").alias("nodes"), F.array_join("edges", ";").alias("edges"), "min_weight", "mean_weight", F.array_join(turn, ";").alias("crossings"))
+
+
 @query("gr06_simple_paths", """, one as (select a, b, max(weight) as w from adj where a <> b group by 1, 2),
 p(tip, nodes, weight) as (select 'ORG_1', ['ORG_1'], 0.0::double union all select b, list_append(nodes, b), weight + w from p join one on a = tip where len(nodes) <= 4 and tip <> 'ORG_2' and not list_contains(nodes, b))
 select * from (select array_to_string(nodes, '>') as nodes, (len(nodes) - 1)::bigint as hops, round(weight, 6) as weight,

@@ -70,12 +70,16 @@ def hop_distances(
     return st.together(fronts) if free is None else seen
 
 
-def strongest_distances(g: Graph, sources: DataFrame, targets: DataFrame | None = None, cost: Callable[[Column], Column] = edge_cost) -> DataFrame:
+def strongest_distances(g: Graph, sources: DataFrame, targets: DataFrame | None = None, cost: Callable[[Column], Column] = edge_cost, allowed: DataFrame | None = None) -> DataFrame:
     """(id, cost, prev, edge_id): least total cost from any source, by relaxation until nothing improves.
 
-    Improvements must exceed 1e-12. A target that is no source is not expanded."""
+    Improvements must exceed 1e-12. A target that is no source is not expanded; ``allowed`` as in ``hop_distances``."""
     st = Staging(g.nodes.sparkSession, "strongest")
-    adj = st.write(g.adjacency().select("a", "b", "edge_id", cost(F.col("weight")).alias("step")).where("a <> b"), "adjacency")
+    adj = g.adjacency().select("a", "b", "edge_id", cost(F.col("weight")).alias("step")).where("a <> b")
+    if allowed is not None:
+        entered = allowed.select("id") if targets is None else allowed.select("id").union(targets.select("id")).distinct()
+        adj = adj.join(entered.select(F.col("id").alias("b")), "b", "left_semi")
+    adj = st.write(adj.select("a", "b", "edge_id", "step"), "adjacency")
     starts = sources.select("id").distinct()
     best = st.write(starts.select("id", F.lit(0.0).alias("cost"), F.lit(None).cast("string").alias("prev"), F.lit(None).cast("string").alias("edge_id")), "best")
     front = best
@@ -109,47 +113,113 @@ def path_rows(found: DataFrame, ends: DataFrame) -> DataFrame:
     return st.together(rows).drop("prev")
 
 
-def find_paths(g: Graph, sources: DataFrame, targets: DataFrame, mode: str = "hops", allowed: DataFrame | None = None, limit: int = 5) -> DataFrame:
-    """(rank, target, cost, hops, nodes): the ``limit`` best paths by cost, hops, target; nodes from source to target.
-
-    Nodes on both sides are no targets (they span both); an empty side or no path gives no rows."""
+def _best_walks(g: Graph, sources: DataFrame, targets: DataFrame, mode: str, allowed: DataFrame | None, limit: int, cost: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
+    """The ``limit`` best ends as (end, cost, hops) and the walks to them as (end, hop, id, edge_id); both are small tables."""
     ends = targets.select("id").distinct().join(sources.select("id"), "id", "left_anti")
     if mode == "hops":
         found = hop_distances(g, sources, ends, allowed).withColumn("cost", F.col("hops").cast("double"))
     else:
-        found = strongest_distances(g, sources, ends)
+        found = strongest_distances(g, sources, ends, cost, allowed)
     reached = found.join(ends, "id", "left_semi")
     # Only ends that can be among the best are walked: those no dearer than the last of them, ties included.
     last = reached.orderBy("cost").limit(limit).agg(F.max("cost").alias("last"))
-    best = reached.join(F.broadcast(last), F.col("cost") <= F.col("last"))
-    walk = path_rows(found, best.select("id"))
-    nodes = walk.groupBy("end").agg(F.array_join(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("hop", "id")))), lambda x: x["id"]), ">").alias("nodes"), (F.count(F.lit(1)) - 1).cast("long").alias("hops"))
-    out = nodes.join(reached.select(F.col("id").alias("end"), "cost"), "end")
-    best = out.orderBy("cost", "hops", "end").limit(limit)
-    return best.select(F.row_number().over(Window.orderBy("cost", "hops", "end")).alias("rank"), F.col("end").alias("target"), F.round("cost", 6).alias("cost"), "hops", "nodes")
+    near = reached.join(F.broadcast(last), F.col("cost") <= F.col("last"))
+    walk = path_rows(found, near.select("id"))
+    hops = walk.groupBy("end").agg((F.count(F.lit(1)) - 1).cast("long").alias("hops"))
+    best = hops.join(reached.select(F.col("id").alias("end"), "cost"), "end").select("end", "cost", "hops").orderBy("cost", "hops", "end").limit(limit)
+    best = Staging(g.nodes.sparkSession, "best").write(best, "ends")
+    return best, walk.join(best.select("end"), "end", "left_semi")
+
+
+def _in_order(of: str) -> Column:
+    """The values of a walk's column from its start to its end."""
+    return F.transform(F.reverse(F.array_sort(F.collect_list(F.when(F.col(of).isNotNull(), F.struct("hop", of))))), lambda x: x[of])
+
+
+def find_paths(g: Graph, sources: DataFrame, targets: DataFrame, mode: str = "hops", allowed: DataFrame | None = None, limit: int = 5) -> DataFrame:
+    """(rank, target, cost, hops, nodes): the ``limit`` best paths by cost, hops, target; nodes from source to target.
 
+    Nodes on both sides are no targets (they span both); an empty side or no path gives no rows. ``path_report`` tells more."""
+    best, walk = _best_walks(g, sources, targets, mode, allowed, limit, edge_cost)
+    out = best.join(walk.groupBy("end").agg(F.array_join(_in_order("id"), ">").alias("nodes")), "end")
+    return out.select(F.row_number().over(Window.orderBy("cost", "hops", "end")).alias("rank"), F.col("end").alias("target"), F.round("cost", 6).alias("cost"), "hops", "nodes")
 
-def crossings(walk: DataFrame, g: Graph) -> DataFrame:
+
+def recorded_weight(weight: Column, leaving: Column, entering: Column) -> Column:
+    """The default measure of an edge on the way between two organisations: its recorded weight, 0 without one."""
+    return F.coalesce(weight, F.lit(0.0))
+
+
+def crossings(walk: DataFrame, g: Graph, measure: Callable[[Column, Column, Column], Column] = recorded_weight) -> DataFrame:
     """Sector crossings along walks (end, pos, id, weight of the edge into it), positions from the start.
 
-    Measured from organisation to organisation; persons between are the way; the weight is the least on it."""
-    nodes = g.nodes.select("id", "entity_type", F.filter("domains", lambda d: d.startswith("DOM_")).alias("d"))
+    Measured from organisation to organisation; persons between are the way. The weight is the least ``measure`` of the
+    edges on it, each given with the sorted sectors of both organisations."""
+    sectors = F.array_sort(F.filter(F.coalesce("domains", F.array().cast("array<string>")), lambda d: d.startswith("DOM_")))
+    nodes = g.nodes.select("id", "entity_type", F.array_distinct(sectors).alias("d"))
     w = Window.partitionBy("end").orderBy("pos")
-    x = walk.join(nodes, "id").withColumn("org", (F.col("entity_type") != "PERSON").cast("int"))
+    x = walk.join(nodes, "id").withColumn("org", (~F.col("entity_type").eqNullSafe("PERSON")).cast("int"))
     # A segment ends at an organisation: rows up to and with the next one belong together.
     x = x.withColumn("seg", F.sum("org").over(w) - F.col("org"))
     seg = x.groupBy("end", "seg").agg(
-        F.max(F.when(F.col("org") == 1, F.col("id"))).alias("b"), F.max_by("d", F.col("org")).alias("db"), F.min("weight").alias("weight"),
+        F.max(F.when(F.col("org") == 1, F.col("id"))).alias("b"), F.max_by("d", F.col("org")).alias("db"), F.collect_list(F.struct("pos", "weight")).alias("edges"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("org") == 0, F.struct("pos", "id")))), lambda p: p["id"]), ",").alias("via"), F.max("pos").alias("hop"),
     ).where("b is not null")
     v = Window.partitionBy("end").orderBy("seg")
     seg = seg.withColumn("a", F.lag("b").over(v)).withColumn("da", F.lag("db").over(v)).where("a is not null")
-    differ = F.array_sort("da") != F.array_sort("db")
     join = lambda c: F.array_join(F.array_sort(c), ",")
-    return seg.where(differ).select(
+    least = F.array_min(F.transform("edges", lambda e: measure(e["weight"], F.col("da"), F.col("db"))))
+    return seg.where(F.col("da") != F.col("db")).select(
         "end", "hop", F.col("a").alias("from_org"), F.col("b").alias("to_org"), "via", join(F.array_except("da", "db")).alias("leaving"), join(F.array_except("db", "da")).alias("entering"),
-        (~F.arrays_overlap("da", "db")).alias("full_boundary"), "weight",
+        (~F.arrays_overlap("da", "db")).alias("full_boundary"), least.alias("weight"),
+    )
+
+
+REPORT = (
+    "kind string, rank int, id string, cost double, hops long, nodes array<string>, edges array<string>, min_weight double, mean_weight double,"
+    " crossings array<struct<hop:int,from_org:string,to_org:string,via:string,leaving:string,entering:string,full_boundary:boolean,weight:double>>, component string"
+)
+NOTHING_SELECTED, NO_PATH = "nothing selected on one side", "no documented path connects these with the current filters"
+
+
+def path_report(
+    g: Graph, sources: DataFrame, targets: DataFrame, mode: str = "hops", allowed: DataFrame | None = None, limit: int = 5,
+    cost: Callable[[Column], Column] = edge_cost, measure: Callable[[Column, Column, Column], Column] = recorded_weight,
+) -> DataFrame:
+    """The answer to a path question, one row per ``kind`` and ``id``:
+
+    * ``path``: a path to the target ``id`` with its nodes and edges from the start, least and mean weight of the edges
+      that have one, and its sector crossings in order;
+    * ``spanning``: a node on both sides;
+    * without a path: the reason as the ``kind`` of a row without id, and, if both sides hold something, a row
+      ``source`` or ``target`` for each of their ids with its component (smallest id that it reaches)."""
+    spark = g.nodes.sparkSession
+    st = Staging(spark, "report")
+    a, b = (st.write(x.select("id").distinct(), n) for x, n in ((sources, "sources"), (targets, "targets")))
+    empty = spark.createDataFrame([], REPORT)
+    reason = lambda kind: spark.createDataFrame([(kind,)], "kind string")
+    if a.isEmpty() or b.isEmpty():
+        return empty.unionByName(reason(NOTHING_SELECTED), allowMissingColumns=True)
+    spanning = a.join(b, "id", "left_semi").select(F.lit("spanning").alias("kind"), "id")
+    best, walk = _best_walks(g, a, b, mode, allowed, limit, cost)
+    if best.isEmpty():
+        label = component_labels(g).select("id", "component")
+        sides = a.select(F.lit("source").alias("kind"), "id").unionByName(b.select(F.lit("target").alias("kind"), "id")).join(label, "id", "left")
+        out = empty.unionByName(reason(NO_PATH), allowMissingColumns=True).unionByName(sides, allowMissingColumns=True)
+        return out.unionByName(spanning, allowMissingColumns=True)
+    walk = walk.join(g.edges.select("edge_id", "weight"), "edge_id", "left")
+    walk = st.write(walk.join(best.select("end", "hops"), "end").withColumn("pos", (F.col("hops") - F.col("hop")).cast("int")), "walk")
+    crossed = crossings(walk.select("end", "pos", "id", "weight"), g, measure)
+    each = F.struct("hop", "from_org", "to_org", "via", "leaving", "entering", "full_boundary", "weight")
+    crossed = crossed.groupBy("end").agg(F.array_sort(F.collect_list(each)).alias("crossings"))
+    told = walk.groupBy("end").agg(
+        _in_order("id").alias("nodes"), _in_order("edge_id").alias("edges"), F.min("weight").alias("min_weight"), F.round(F.avg("weight"), 3).alias("mean_weight")
+    )
+    rank = F.row_number().over(Window.orderBy("cost", "hops", "end"))
+    found = best.join(told, "end").join(crossed, "end", "left").select(
+        F.lit("path").alias("kind"), rank.alias("rank"), F.col("end").alias("id"), F.round("cost", 6).alias("cost"), "hops", "nodes", "edges", "min_weight", "mean_weight", F.coalesce("crossings", F.array()).alias("crossings"),
     )
+    return empty.unionByName(found, allowMissingColumns=True).unionByName(spanning, allowMissingColumns=True)
 
 
 def simple_paths(g: Graph, start: str, end: str, max_hops: int = 4, limit: int = 25, avoid_degree: int | None = None) -> DataFrame:
