@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from quillgraph.catalogs import analytics, changes, identity, logs, records, values
+from quillgraph.catalogs import analytics, changes, identity, landed, logs, records, values
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for part in (analytics, records, identity, values, changes, logs):
+for part in (analytics, records, identity, values, changes, logs, landed):
     QUERIES |= part.QUERIES
     ORACLE_SQL |= part.ORACLE_SQL
 FLAGSHIP = "ag10_interlock_org_pairs"
