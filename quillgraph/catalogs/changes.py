@@ -353,8 +353,8 @@ def _(spark, d):
     """The table graph written as JSON documents, a file each, and read again."""
     from quillgraph.sources import graph_json
 
-    e = load_graph(spark, d).edges.select(F.pmod(F.xxhash64("edge_id"), F.lit(16)).alias("shard"), F.struct("edge_id", "source", "target", "relationship_type").alias("e"))
-    docs = e.groupBy("shard").agg(F.collect_list("e").alias("edges")).select("shard", F.array().cast("array<struct<id:string>>").alias("nodes"), "edges")
+    e = Staging(spark, "documents").write(load_graph(spark, d).edges.select("edge_id", "source", "target", "relationship_type"), "edges")
+    docs = graph_json.documents(e)
     path = f"{Staging(spark, 'json').root}/graph"
     docs.write.partitionBy("shard").json(path)
     return graph_json.read_graph(spark, path, AS_OF).edges.select("edge_id", "source", "target", "relationship_type")

@@ -16,6 +16,17 @@ INTEGRITY = "struct<control_type:string,control_class:string,conflict_weight:dou
 EDGE = f"struct<edge_id:string,source:string,target:string,relationship_type:string,human_bridge:string,transparency:{TRANSPARENCY},integrity:{INTEGRITY}>"
 
 
+#: Edges of a document, about: a reader holds a whole document, so their number grows with the graph, not their size.
+DOCUMENT_EDGES = 20_000
+
+
+def documents(edges: DataFrame, size: int = DOCUMENT_EDGES) -> DataFrame:
+    """(shard, nodes, edges): a graph's edges dealt by their ids into documents of about ``size`` edges, at least sixteen. Nodes are empty."""
+    shards = max(16, -(-edges.count() // size))
+    dealt = edges.select(F.pmod(F.xxhash64("edge_id"), F.lit(shards)).alias("shard"), F.struct(*edges.columns).alias("e"))
+    return dealt.groupBy("shard").agg(F.collect_list("e").alias("edges")).select("shard", F.array().cast("array<struct<id:string>>").alias("nodes"), "edges")
+
+
 def read_graph(spark: SparkSession, path: str, as_of: str) -> Graph:
     """A graph from one JSON document. Dates that do not parse are null; the first filing falls back on the last."""
     doc = spark.read.schema(f"nodes array<{NODE}>, edges array<{EDGE}>").option("multiLine", True).json(path)
