@@ -234,8 +234,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
 
     # 3. buckets that still hold several components, and pairs without their lead.
     labelled = members.join(comp, members.id == comp.node, "left").select("band", "bucket", "id", "lead", F.coalesce("component", "id").alias("label"))
-    mixed = labelled.groupBy("band", "bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi and n > 2").select("band", "bucket")
-    open_ = st.write(labelled.join(mixed, ["band", "bucket"]).distinct(), "open")
+    open_ = st.write(_open(labelled), "open")
     if not open_.isEmpty():
         more = _across(docs, st, open_, live, sig, k, num, den, floor)
         comp = connected_components(links.union(same).union(more), st)
@@ -247,6 +246,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     )
 
 
+def _open(labelled: DataFrame) -> DataFrame:
+    """The members, without the lead, of buckets that hold several components besides the lead: its pairs are known from the stars."""
+    rest = labelled.where("id <> lead")
+    mixed = rest.groupBy("band", "bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band", "bucket")
+    return rest.join(mixed, ["band", "bucket"]).distinct()
+
+
 def _blocks(rows: DataFrame, size: str | None) -> DataFrame:
     """(band, bucket, cut, part, stray, columns of ``rows``): each bucket's members, and those outside its largest
     component, dealt out so that each of these meets each of those in one block."""
