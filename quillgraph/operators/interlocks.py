@@ -30,7 +30,7 @@ def interlock_persons(g: Graph, least: int = 2) -> DataFrame:
 
 
 def _pairs(s: DataFrame) -> DataFrame:
-    """Organisation pairs (a < b) of each person."""
+    """Organisation pairs (a < b) of each person, each once: ``s`` has one seat per person and organisation."""
     a = s.select("person", F.col("org").alias("a"), F.col("edge_id").alias("edge_a"), F.col("active").alias("active_a"))
     b = s.select("person", F.col("org").alias("b"), F.col("edge_id").alias("edge_b"), F.col("active").alias("active_b"))
     return a.join(b, "person").where("a < b")
@@ -42,13 +42,13 @@ def affiliation_projection(g: Graph) -> DataFrame:
 
 
 def org_pairs(g: Graph) -> DataFrame:
-    return affiliation_projection(g).groupBy("a", "b").agg(F.countDistinct("person").alias("shared"))
+    return affiliation_projection(g).groupBy("a", "b").agg(F.count("person").alias("shared"))
 
 
 def via_pairs(g: Graph) -> DataFrame:
     """Pairs over all filings; active if some person holds both roles now."""
     both = F.coalesce(F.col("active_a"), F.lit(True)) & F.coalesce(F.col("active_b"), F.lit(True))
-    return _pairs(seats(g)).groupBy("a", "b").agg(F.countDistinct("person").alias("people"), F.max(both).alias("active"))
+    return _pairs(seats(g)).groupBy("a", "b").agg(F.count("person").alias("people"), F.max(both).alias("active"))
 
 
 def common_owners(g: Graph, least: int = 2) -> DataFrame:
