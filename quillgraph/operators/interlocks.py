@@ -70,12 +70,13 @@ def cross_domain_bridges(g: Graph, least: int = 2) -> DataFrame:
     return n.agg(F.countDistinct("domain").alias("domains"), F.countDistinct("b").alias("members")).where(F.col("domains") >= least)
 
 
-def _affiliates(g: Graph) -> DataFrame:
-    """(a, b), a < b: pairs that are one enterprise: a recorded parent tie, or boards that overlap by half."""
+def _affiliates(g: Graph, trade: DataFrame) -> DataFrame:
+    """(a, b), a < b: pairs that are one enterprise: a recorded parent tie, or boards of one ``trade`` (org, sic) that overlap by half."""
     parents = g.of("BENEFICIAL_OWNER_OF").select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"))
     d = g.of("DIRECTOR_OF").select(F.col("source").alias("person"), F.col("target").alias("org")).distinct()
     n = d.groupBy("org").agg(F.count(F.lit(1)).alias("n"))
-    shared = d.withColumnRenamed("org", "a").join(d.withColumnRenamed("org", "b"), "person").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("s"))
+    traded = d.join(trade, "org")
+    shared = traded.withColumnRenamed("org", "a").join(traded.withColumnRenamed("org", "b"), ["person", "sic"]).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("s"))
     sized = shared.join(n.select(F.col("org").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("org").alias("b"), F.col("n").alias("nb")), "b")
     small = F.least("na", "nb")
     return parents.union(sized.where((F.col("s") >= ACTIVE_SHARED) & (small >= LEAST_BOARD) & (F.col("s") / small >= LEAST_SHARE)).select("a", "b")).distinct()
@@ -83,9 +84,11 @@ def _affiliates(g: Graph) -> DataFrame:
 
 def competitor_links(g: Graph) -> DataFrame:
     """(person, a, b, kind): pairs of unaffiliated organisations of one trade; both roles active is an interlock, one is a hop."""
-    sic = g.nodes.where("sic is not null").select("id", "sic")
-    p = _pairs(seats(g)).join(sic.select(F.col("id").alias("a"), F.col("sic").alias("sa")), "a").join(sic.select(F.col("id").alias("b"), F.col("sic").alias("sb")), "b")
-    p = p.where("sa = sb").join(_affiliates(g.live()), ["a", "b"], "left_anti")
+    # Seats meet on person and trade, so pairs of other trades are not made.
+    trade = g.nodes.where("sic is not null").select(F.col("id").alias("org"), "sic")
+    s = seats(g).select("person", "org", "active").join(trade, "org")
+    a, b = (s.select("person", "sic", F.col("org").alias(c), F.col("active").alias(f"active_{c}")) for c in ("a", "b"))
+    p = a.join(b, ["person", "sic"]).where("a < b").join(_affiliates(g.live(), trade), ["a", "b"], "left_anti")
     kind = F.when(F.col("active_a") & F.col("active_b"), "interlock").when(F.col("active_a") != F.col("active_b"), "hop")
     return p.select("person", "a", "b", kind.alias("kind")).where("kind is not null")
 
