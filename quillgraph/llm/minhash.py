@@ -270,16 +270,24 @@ def _blocks(rows: DataFrame, size: str | None) -> DataFrame:
     return members.unionByName(strays)
 
 
+def _once_an_id(rows: DataFrame, of: DataFrame) -> DataFrame:
+    """``rows`` joined with what ``of`` has of their id: one row an id goes through the join, its places (at most one a
+    band and block) are dealt out again behind it."""
+    own = [c for c in rows.columns if c != "id"]
+    places = rows.groupBy("id").agg(F.collect_list(F.struct(*own)).alias("places"))
+    return places.join(of, "id").select("id", *[c for c in of.columns if c != "id"], F.inline("places"))
+
+
 def _across(docs: DataFrame, st: Staging, open_: DataFrame, live: DataFrame, sig: DataFrame, k: int, num: int, den: int, floor: float) -> DataFrame:
     """Links between components inside the buckets ``open_``."""
-    signed = open_.join(sig.withColumnRenamed("doc_id", "id"), "id").select("band", "bucket", "id", "label", "lead", "sig", "bands")
+    signed = _once_an_id(open_, sig.withColumnRenamed("doc_id", "id")).select("band", "bucket", "id", "label", "lead", "sig", "bands")
     keys = ["band", "bucket", "cut", "part"]
     dealt = _blocks(signed, None).select(*keys, "stray", "id", "label", "lead", "sig", "bands").repartition(*keys).sortWithinPartitions(*keys)
     likely = dealt.mapInArrow(_likely(floor), "band int, bucket long, id long")
     likely = st.write(likely.distinct(), "likely")
     sizes = live.groupBy(F.col("doc_id").alias("id")).agg(F.max("n_shingles").alias("n"))
-    wanted = st.write(open_.drop("lead").join(likely, ["band", "bucket", "id"]).join(sizes, "id"), "wanted")
+    wanted = st.write(_once_an_id(open_.drop("lead").join(likely, ["band", "bucket", "id"]), sizes), "wanted")
     ids = wanted.select("id").distinct()
-    dealt = _blocks(wanted, "n").join(shingle_sets(docs, ids, ids.count(), k), "id")
+    dealt = _once_an_id(_blocks(wanted, "n"), shingle_sets(docs, ids, ids.count(), k))
     dealt = dealt.select(*keys, "stray", "id", "label", "shingles").repartition(*keys).sortWithinPartitions(*keys)
     return st.write(dealt.mapInArrow(_block_links(num, den), "src long, dst long"), "across")
