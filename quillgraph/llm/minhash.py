@@ -160,8 +160,8 @@ def _likely(least: float):
     return run
 
 
-def _links_of(ids: np.ndarray, labels: np.ndarray, stray: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> tuple[list, list]:
-    """Links of one block's strays with its members of other components, one per stray and component."""
+def _links_of(labels: np.ndarray, stray: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> tuple[list, list]:
+    """Links of one block's strays with its members of other components, one per stray and component, as pairs of labels."""
     src, dst = [], []
     members, strays = np.flatnonzero(~stray), np.flatnonzero(stray)
     if len(members) and len(strays):
@@ -174,22 +174,22 @@ def _links_of(ids: np.ndarray, labels: np.ndarray, stray: np.ndarray, sets: list
             mark[at[every[at] == sets[i]]] = 1
             both = np.add.reduceat(mark[codes], starts)
             hit = members[(den * both >= num * (size[i] + size[members] - both)) & (labels[members] != labels[i])]
-            _, first = np.unique(labels[hit], return_index=True)
-            src += [ids[i]] * len(first)
-            dst += ids[hit[first]].tolist()
+            others = np.unique(labels[hit]).tolist()
+            src += [labels[i]] * len(others)
+            dst += others
     return src, dst
 
 
 def _block_links(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts, ends in runs(batches, 4):
-            ids, labels, stray = (table[c].to_numpy() for c in ("id", "label", "stray"))
+            labels, stray = (table[c].to_numpy() for c in ("label", "stray"))
             held = table["shingles"]
             src, dst = [], []
             for lo, hi in zip(starts, ends, strict=True):
                 if hi - lo > 1:
                     sets = [np.frombuffer(x, np.uint64) for x in held.slice(lo, hi - lo).to_pylist()]
-                    a, b = _links_of(ids[lo:hi], labels[lo:hi], stray[lo:hi], sets, num, den)
+                    a, b = _links_of(labels[lo:hi], stray[lo:hi], sets, num, den)
                     src += a
                     dst += b
             yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
@@ -235,15 +235,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     # 3. buckets that still hold several components, and pairs without their lead.
     labelled = members.join(comp, members.id == comp.node, "left").select("band", "bucket", "id", "lead", F.coalesce("component", "id").alias("label"))
     open_ = st.write(_open(labelled), "open")
+    out = signed.select("doc_id", "n_shingles").join(comp, signed.doc_id == comp.node, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("label"))
     if not open_.isEmpty():
-        more = _across(docs, st, open_, live, sig, k, num, den, floor)
-        comp = connected_components(links.union(same).union(more), st)
-
-    out = signed.select("doc_id", "n_shingles").join(comp, signed.doc_id == comp.node, "left")
-    return out.select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"),
-        F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(True)).alias("kept"),
-    )
+        # What is found now links components, so only these are joined anew.
+        moved = connected_components(_across(docs, st, open_, live, sig, k, num, den, floor), st)
+        moved = st.write(moved.select(F.col("node").alias("old"), F.col("component").alias("new")).where("old <> new"), "moved")
+        out = out.join(_bounded(moved, 2 * moved.count()), F.col("label") == F.col("old"), "left").select("doc_id", "n_shingles", F.coalesce("new", "label").alias("label"))
+    return out.select("doc_id", "n_shingles", F.col("label").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("label"), F.lit(True)).alias("kept"))
 
 
 def _open(labelled: DataFrame) -> DataFrame:
@@ -279,7 +277,7 @@ def _once_an_id(rows: DataFrame, of: DataFrame) -> DataFrame:
 
 
 def _across(docs: DataFrame, st: Staging, open_: DataFrame, live: DataFrame, sig: DataFrame, k: int, num: int, den: int, floor: float) -> DataFrame:
-    """Links between components inside the buckets ``open_``."""
+    """Links between components inside the buckets ``open_``, by their labels."""
     signed = _once_an_id(open_, sig.withColumnRenamed("doc_id", "id")).select("band", "bucket", "id", "label", "lead", "sig", "bands")
     keys = ["band", "bucket", "cut", "part"]
     dealt = _blocks(signed, None).select(*keys, "stray", "id", "label", "lead", "sig", "bands").repartition(*keys).sortWithinPartitions(*keys)

@@ -17,6 +17,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import groupby
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from quillgraph.llm.words import CACHE_WORDS, plain_words, slices, texts
 
 BITS, RANK = 20, 4
+#: Features whose first factors are drawn at a time.
+DRAWN = 1 << 16
 #: Bound on labelled rows that are fitted on.
 SAMPLE = 12_000
 #: Lengths in characters of the word beginnings that are features.
@@ -74,10 +77,17 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 6, rate: float
     absolute penalty keeps terms at zero unless rows agree on them, and Adagrad for the factors of terms
     whose weight is not zero."""
     rng = np.random.default_rng(seed)
-    n = 1 << BITS
+    # Features that no row has are not fitted: those of the rows, in order, are numbered from 0.
+    here = np.zeros(1 << BITS, bool)
+    for x in rows:
+        here[x] = True
+    known = np.flatnonzero(here)
+    place = np.cumsum(here, dtype=np.int32) - 1
+    n = len(known)
     share = min(max(float(labels.mean()), 1e-3), 1 - 1e-3)
     z, sq, gv = np.zeros(n), np.zeros(n), np.full((n, RANK), 1.0)
-    v, gb, b = rng.normal(0, 0.05, (n, RANK)), 1.0, float(np.log(share / (1 - share)))
+    v = np.concatenate([rng.normal(0, 0.05, (DRAWN, RANK))[here[i : i + DRAWN]] for i in range(0, 1 << BITS, DRAWN)])
+    gb, b = 1.0, float(np.log(share / (1 - share)))
 
     def weights(x: np.ndarray) -> np.ndarray:
         zx = z[x]
@@ -85,7 +95,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 6, rate: float
 
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
-            x = rows[i]
+            x = place[rows[i]]
             w = weights(x)
             on = x[w != 0]
             vx = v[on]
@@ -103,17 +113,28 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 6, rate: float
     del gv
     w = weights(np.arange(n))
     v[w == 0] = 0.0
-    return Machine(b, w.astype(np.float32), v.astype(np.float32))
+    every, factors = np.zeros(1 << BITS, np.float32), np.zeros((1 << BITS, RANK), np.float32)
+    every[known], factors[known] = w, v
+    return Machine(b, every, factors)
 
 
 def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Ascending numbers as compressed steps, of which the driver collects many."""
+    return zlib.compress(np.diff(x, prepend=np.int32(0)).tobytes(), 1)
+
+
+def _unpacked(x: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(x), np.int32), dtype=np.int32)
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     terms = Terms()
     for batch in slices(batches):
-        yield pa.RecordBatch.from_arrays([pa.array([terms.of(t) for t in texts(batch.column(0))], pa.list_(pa.int32())), batch.column(1)], ["x", "y"])
+        yield pa.RecordBatch.from_arrays([pa.array([_packed(terms.of(t)) for t in texts(batch.column(0))], pa.binary()), batch.column(1)], ["x", "y"])
 
 
 def _ordered(rows: list[np.ndarray], y: np.ndarray) -> list[int]:
@@ -127,9 +148,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     y = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.min("toxic").alias("lo"), F.max("toxic").alias("y")).where("lo = y")
     y = y.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", F.col("y").cast("double").alias("y"))
     found = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(y), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
-    got = found.select("text", "y").mapInArrow(_features, "x array<int>, y double").toArrow()
-    rows = [np.asarray(x.values) for x in got["x"]]
+    got = found.select("text", "y").mapInArrow(_features, "x binary, y double").toArrow()
+    rows = [_unpacked(x.as_py()) for x in got["x"]]
     y = got["y"].to_numpy()
+    del got
     order = _ordered(rows, y)  # tasks end in any order
     return fit([rows[i] for i in order], y[order]) if rows else Machine(-np.inf, np.zeros(1 << BITS, np.float32), np.zeros((1 << BITS, RANK), np.float32))
 
