@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillgraph.plans.graph import few
 from quillgraph.plans.staging import Staging
 
 
@@ -41,7 +42,7 @@ def roster_difference(recorded: DataFrame, roster: DataFrame, keys: list[str]) -
 
 def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(edge_id, side, id) of ends that are no node."""
-    known = nodes.select("id")
+    known = few(nodes.select("id"))
     out = [edges.select("edge_id", F.lit(side).alias("side"), F.col(side).alias("id")).join(known, "id", "left_anti").select("edge_id", "side", "id") for side in ("source", "target")]
     return out[0].unionByName(out[1])
 
