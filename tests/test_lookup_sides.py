@@ -1,6 +1,6 @@
 """Sides of joins that look up nodes: few nodes go to the edges, merges are hashed, searches carry what is asked for."""
 
-from quillgraph.operators import records
+from quillgraph.operators import identity, records
 from quillgraph.plans import graph
 
 
@@ -18,3 +18,11 @@ def test_few_nodes_go_to_the_edges(spark, monkeypatch):
     monkeypatch.setattr(graph, "BROADCAST_IDS", 1)
     found = records.dangling(edges, nodes)
     assert sorted(tuple(r) for r in found.collect()) == want and "strategy=broadcast" not in _plan(found)
+
+
+def test_merges_are_hashed_not_sorted_with_the_edges(spark):
+    edges = spark.createDataFrame([("a", "x", "t"), ("b", "x", "t"), ("a", "b", "t"), ("c", "y", "u")], "source string, target string, relationship_type string")
+    merges = spark.createDataFrame([("a", "a"), ("b", "a"), ("y", "x")], "id string, keep string")
+    found = identity.apply_merges(edges, merges)
+    assert sorted(tuple(r) for r in found.collect()) == [("a", "x", "t", 2), ("c", "x", "u", 1)]
+    assert _plan(found).count("rightHint=(strategy=shuffle_hash)") == 2
