@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillgraph.operators.loops import closed_squares, closed_triangles, loop_report  # noqa: F401
 from quillgraph.plans.graph import OWN, ROLE, Graph
-from quillgraph.plans.staging import Staging, dealt_once
 
 ACTIVE_SHARED, LEAST_BOARD, LEAST_SHARE = 3, 4, 0.5
-#: Ties between two blocks of organisations, about; blocks at least.
-BLOCK_TIES, LEAST_BLOCKS = 1_000_000, 4
 
 
 def seats(g: Graph) -> DataFrame:
@@ -109,110 +105,6 @@ def common_ownership_by_sector(g: Graph, least: int = 2, percent: int = 5) -> Da
     return held.groupBy(F.col("source").alias("holder"), "sic").agg(F.countDistinct("target").alias("targets")).where(F.col("targets") >= least)
 
 
-def _tied(projection: DataFrame) -> DataFrame:
-    """(a, b, n): organisation pairs and the number of people they share."""
-    return projection.groupBy("a", "b").agg(F.countDistinct("person").alias("n"))
-
-
-def closed_triangles(projection: DataFrame, most: int | None = None) -> DataFrame:
-    """(a, b, c, people): loops of three organisations a < b < c over (a, b, person), with two people or more; with
-    ``most`` the first so many by people, then by name.
-
-    A person of two sides of a loop has seats at all its corners, so is on the third side too: with t such people, the sides'
-    numbers of people less 2 t are the loop's people. Organisations are dealt into blocks; ties go to the triples of
-    blocks that they can be in, and loops close inside a triple: open ones, far more, are neither shuffled nor sorted."""
-    st = Staging(projection.sparkSession, "triangles")
-    pairs = st.write(projection.select("a", "b", "person").distinct(), "pairs")
-    ties = st.write(_tied(pairs), "ties")
-    blocks = max(LEAST_BLOCKS, math.ceil(math.sqrt(ties.count() / BLOCK_TIES)))
-    of = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    part = lambda i, j, k: ((i * blocks + j) * blocks + k).alias("part")
-    o = F.col("other")
-    ab = ties.select("a", "b", F.col("n").alias("n1"), every.alias("other")).select(part(of("a"), of("b"), o), "a", "b", "n1").repartition("part")
-    bc = ties.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("n").alias("n2"), every.alias("other")).select(part(o, of("b"), of("c")), "b", "c", "n2").repartition("part")
-    ac = ties.select("a", F.col("b").alias("c"), F.col("n").alias("n3"), every.alias("other")).select(part(of("a"), o, of("c")), "a", "c", "n3").repartition("part")
-    # People with seats at all three corners.
-    all3 = pairs.join(pairs.select("person", F.col("a").alias("b"), F.col("b").alias("c")), ["person", "b"]).select(part(of("a"), of("b"), of("c")), "a", "b", "c").repartition("part")
-    all3 = all3.groupBy("part", "a", "b", "c").agg(F.count(F.lit(1)).alias("t"))
-    t = ab.join(bc.hint("shuffle_hash"), ["part", "b"]).join(ac.hint("shuffle_hash"), ["part", "a", "c"]).join(all3.hint("shuffle_hash"), ["part", "a", "b", "c"], "left")
-    people = F.col("n1") + F.col("n2") + F.col("n3") - 2 * F.coalesce("t", F.lit(0))
-    out = t.select("a", "b", "c", people.cast("long").alias("people")).where("people >= 2")
-    if most is not None:
-        out = out.orderBy(F.desc("people"), F.concat_ws(",", "a", "b", "c")).limit(most)
-    with dealt_once(projection.sparkSession):
-        out = st.write(out, "loops")
-    st.drop(pairs, ties)
-    return out
-
-
-def _ring_people(rings: DataFrame, projection: DataFrame) -> DataFrame:
-    """(orgs, people) of loops a, b, c, d: the distinct people on the four sides; per set of organisations its best loop."""
-    side = lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    sides = rings.select("a", "b", "c", "d", F.explode(F.array(side("a", "b"), side("b", "c"), side("c", "d"), side("d", "a"))).alias("s"))
-    sides = sides.select(F.struct("a", "b", "c", "d").alias("ring"), "s.*")
-    people = sides.join(projection.select("a", "b", "person"), ["a", "b"]).groupBy("ring").agg(F.countDistinct("person").alias("people")).where("people >= 2")
-    orgs = F.array_join(F.array_sort(F.array("ring.a", "ring.b", "ring.c", "ring.d")), ",")
-    return people.groupBy(orgs.alias("orgs")).agg(F.max("people").alias("people"))
-
-
-def _rings(ties: DataFrame, least: int) -> DataFrame:
-    """(a, b, c, d): loops whose four ties sum to ``least`` or more, from wedges b - a - d with b < d that meet on b and d.
-
-    A wedge is kept only if, with the strongest ties of b and of d, it can be half of such a loop."""
-    both = ties.select(F.col("a").alias("x"), F.col("b").alias("y"), "n").union(ties.select(F.col("b").alias("x"), F.col("a").alias("y"), "n"))
-    top = both.groupBy("y").agg(F.max("n").alias("top"))
-    arm = both.join(top, "y")
-    one = arm.select(F.col("x").alias("m"), F.col("y").alias("b"), F.col("n").alias("n1"), F.col("top").alias("t1"))
-    two = arm.select(F.col("x").alias("m"), F.col("y").alias("d"), F.col("n").alias("n2"), F.col("top").alias("t2"))
-    wedge = one.join(two, "m").where((F.col("b") < F.col("d")) & (F.col("n1") + F.col("n2") + F.col("t1") + F.col("t2") >= least)).select("b", "d", "m", (F.col("n1") + F.col("n2")).alias("w"))
-    meet = wedge.where("m < b").withColumnRenamed("m", "a").join(wedge.select("b", "d", F.col("m").alias("c"), F.col("w").alias("v")), ["b", "d"])
-    # Both diagonals give the loop; the one with the least organisation as a middle is kept.
-    return meet.where((F.col("a") < F.col("c")) & (F.col("w") + F.col("v") >= least)).select("a", "b", "c", "d")
-
-
-def closed_squares(projection: DataFrame, most: int | None = None) -> DataFrame:
-    """(orgs, people): loops of four organisations, one per set, with the people of its best loop, two or more.
-
-    With ``most``, the first so many by people, then by name. A loop has at most as many people as its four ties together:
-    the loops among the strongest ties give a number that the last of the result reaches, and only loops that can reach it
-    are made. None that belongs to the result is lost."""
-    if most is None:
-        return _ring_people(_rings(_tied(projection), 0), projection)
-    st = Staging(projection.sparkSession, "squares")
-    ties = st.write(_tied(projection), "ties")
-    order = (F.desc("people"), "orgs")
-    strengths = ties.groupBy("n").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("n")).collect()
-    least, tried, held = 0, 0, 0
-    for r in strengths:
-        # Strong ties alone, twice as many with every step, until they hold enough loops.
-        held += r["k"]
-        weakest = r is strengths[-1]
-        if held < 2 * tried and not weakest:
-            continue
-        tried = held
-        found = st.write(_ring_people(_rings(ties.where(F.col("n") >= r["n"]), 0), projection).orderBy(*order).limit(most), "found")
-        if weakest:
-            return found
-        size, last = found.agg(F.count(F.lit(1)), F.min("people")).first()
-        if size == most:
-            least = last
-            break
-    if not strengths:
-        return _ring_people(_rings(ties, 0), projection)
-    return st.write(_ring_people(_rings(ties, least), projection).orderBy(*order).limit(most), "best")
-
-
-def loop_report(projection: DataFrame, most: int = 200) -> DataFrame:
-    """(orgs, length, people): the first ``most`` loops, shorter ones first, then by people, then by name. Loops of four,
-    by far the dearer, are only looked for where those of three are too few."""
-    three = closed_triangles(projection, most).select(F.concat_ws(",", "a", "b", "c").alias("orgs"), F.lit(3).alias("length"), "people")
-    order = ("length", F.desc("people"), "orgs")
-    if three.count() == most:
-        return three.orderBy(*order)
-    return three.unionByName(closed_squares(projection, most).select("orgs", F.lit(4).alias("length"), "people")).orderBy(*order).limit(most)
-
-
 def frontier(g: Graph, pulled: DataFrame, top: int = 25) -> DataFrame:
     """Organisations not pulled yet, by pulled neighbours, then people, then id: a report of the first ``top``."""
     p = affiliation_projection(g)
