@@ -39,7 +39,7 @@ def test_equal_squares_are_taken_by_name(spark, monkeypatch, most):
     seats = {(f"P{a}{b}", f"O{x}") for a in range(11) for b in range(a) if r.random() < 0.8 for x in (a, b)}
     seats |= {("Q", f"O{x}") for x in (2, 3, 5, 7)}
     monkeypatch.setattr(loops, "MOST_OPEN", 3)
-    monkeypatch.setattr(loops, "FIRST_RUN", 200)
+    monkeypatch.setattr(loops, "FIRST_RUN", 1)
     made = staged_rows(monkeypatch)
     want = sorted(brute_squares(seats).items(), key=lambda x: (-x[1], x[0]))
     got = [(x.orgs, x.people) for x in loops.closed_squares(projection_of(spark, seats), most).collect()]
